@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def in_pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 20
     """The same rows in batches of about ``most`` bytes of text, so that memory doesn't grow with the batch's texts."""
     for batch in batches:
         n, start, held = batch.num_rows, 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         for i in range(n):
             if held and held + sizes[i] > most:
                 yield batch.slice(start, i - start)
