@@ -80,7 +80,7 @@ def get_file(uri: str) -> bytes:
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, wherever ``body`` uses it (also inside further lambdas)."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def free_name(taken: list[str], base: str) -> str:
