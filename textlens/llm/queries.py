@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pseudonyms, quality, simhash
+from . import langid, mixing, packing, pseudonyms, quality, simhash, topk, warc
 
 
 #: The queries' key; a deployment passes its own secret.
@@ -29,6 +29,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms, and how many values that were."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +57,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every twentieth embedding."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -59,10 +69,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_warc": op3_warc,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_top_k": op9_top_k,
     "op10_source_mix": op10_source_mix,
 }
 
