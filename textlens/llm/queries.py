@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pseudonyms, quality, simhash, topk, warc
+from . import langid, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
 
 
 #: The queries' key; a deployment passes its own secret.
@@ -29,6 +29,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without passages of smaller documents."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -69,6 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_repeats": op2_repeats,
     "op3_warc": op3_warc,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_language_id": op5_language_id,
