@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
+from . import langid, lm, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
 
 
 #: The queries' key; a deployment passes its own secret.
@@ -56,6 +56,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more every document reads like the well-labelled ones than like all."""
+    return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _tokenizer())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and risk-controlled verdict of every document."""
     out = quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pseudonyms": op4_pseudonyms,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_cross_entropy": op7_cross_entropy,
     "op8_quality_rules": op8_quality_rules,
     "op9_top_k": op9_top_k,
     "op10_source_mix": op10_source_mix,
