@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators import corpus
 
@@ -25,7 +26,7 @@ def _folders(spark: SparkSession, path: str) -> list[str] | None:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _gbk(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def read(b: bytes) -> str:
         try:
@@ -56,7 +57,7 @@ def scan(spark: SparkSession, path: str, category: str | None = None, read=toler
     folders = _folders(spark, path)
     if folders is None or (folders and category is not None and category not in folders):
         return spark.createDataFrame([], SCHEMA)
-    where = f"{path.rstrip('/')}/{category if category is not None else '*'}" if folders else path
+    where = [f"{path.rstrip('/')}/{f}" for f in folders if category in (None, f)] or [path]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
     try:
         found = files.load(where)
