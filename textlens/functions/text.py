@@ -18,7 +18,8 @@ def letter(p: LanguageProfile) -> str:
 
 
 def letter_count(t: Column, p: LanguageProfile) -> Column:
-    return F.regexp_count(t, F.lit(letter(p))).cast("long")
+    """By what goes when runs of letters go: one match a word instead of one a letter."""
+    return (F.length(t) - F.length(F.regexp_replace(t, letter(p) + "+", ""))).cast("long")
 
 
 def literal_count(t: Column, k: str) -> Column:
@@ -113,6 +114,15 @@ def paragraphs(t: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n", -1), strip), lambda s: s != "")
 
 
+def paragraph_stats(t: Column, long: int = 200) -> Column:
+    """``struct(n, long, chars)`` of the paragraphs: how many, how many beyond ``long`` characters, and all their characters."""
+
+    def of(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n"), F.size(F.filter(x, lambda s: F.length(s) > long)).cast("long").alias("long"), F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("chars"))
+
+    return bind(paragraphs(t), of)
+
+
 def dialogue_spans(t: Column, p: LanguageProfile) -> Column:
     q = p.quotes
     return F.regexp_count(t, F.lit(f"[{q}][^{q}]{{1,50}}[{q}]")).cast("long")

@@ -24,16 +24,14 @@ def measured(df: DataFrame, p: LanguageProfile, genre: str | None = None, id_col
     def of_sections(s: Column) -> Column:
         return F.struct(F.size(s).cast("long").alias("n"), X.total_count(X.first_sections(s), g["climax"]).alias("climax"), X.contains_any(F.element_at(s, 1), g["setup"]).alias("setup"))
 
-    def of_paragraphs(x: Column) -> Column:
-        return F.struct(F.size(x).cast("long").alias("n"), F.size(F.filter(x, lambda s: F.length(s) > 200)).cast("long").alias("long"), F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("chars"))
-
     m = F.struct(
         X.letter_count(t, p).alias("letters"), X.sentence_count(t, p).alias("sentences"), X.literal_count(t, p.exclamation).alias("exclamations"), X.literal_count(t, p.comma).alias("commas"),
         counts("banned_marks").alias("marks"), X.quote_tally(t).alias("quotes"), counts("templates_check").alias("templates"), counts("thinking").alias("thinking"), counts("templates_audit").alias("templates_audit"), counts("patterns_audit").alias("patterns_audit"),
         X.bind(X.sections(t, p), of_sections).alias("sections"), X.total_count(t, g["emotion"]).alias("emotion"), X.total_count(end, lists["open_endings"]).alias("open"), X.total_count(end, lists["ending_power"]).alias("power"),
-        (X.dialogue_spans(t, p) + X.dialogue_cues(t, p)).alias("dialogue"), X.bind(X.paragraphs(t), of_paragraphs).alias("paragraphs"), F.regexp_count(t, F.lit("[「」]")).cast("long").alias("corner_quotes"),
+        (X.dialogue_spans(t, p) + X.dialogue_cues(t, p)).alias("dialogue"), X.paragraph_stats(t).alias("paragraphs"), F.regexp_count(t, F.lit("[「」]")).cast("long").alias("corner_quotes"),
     )
-    return df.select(F.col(id_col).alias("doc_id"), m.alias("m"))
+    # bound, so that the optimizer doesn't compute a field again for each rule that reads it
+    return df.select(F.col(id_col).alias("doc_id"), X.bind(m, lambda x: x).alias("m"))
 
 
 def _finding(severity: Column | str, rule: str, value: Column, term: str = "", when: Column | None = None) -> Column:

@@ -44,7 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, if the input has fewer splits than there are: a single file would keep one core busy. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def q(s: str) -> str:
@@ -154,7 +160,7 @@ def ending_markers(spark, sf_dir):
 
 @query(f"WITH p AS (SELECT doc_id, {PARAGRAPHS} AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS n, len(list_filter(p, lambda s: length(s) > 200))::BIGINT AS long, list_sum(list_transform(p, lambda s: length(s)))::BIGINT / nullif(len(p), 0) AS average FROM p")
 def paragraph_rhythm(spark, sf_dir):
-    m = rules.measured(docs(spark, sf_dir), P).select("doc_id", "m.paragraphs.*")
+    m = docs(spark, sf_dir).select("doc_id", X.paragraph_stats(text_()).alias("p")).select("doc_id", "p.*")
     return m.select("doc_id", "n", "long", (F.col("chars") / F.nullif("n", F.lit(0))).alias("average"))
 
 
@@ -277,8 +283,7 @@ SELECT doc_id, item_id, count(*)::BIGINT AS matches FROM h JOIN g USING (gram) G
 
 
 def _overlap(spark, sf_dir) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", "text")
-    return overlap.overlap(d.repartition(spark.sparkContext.defaultParallelism), table(spark, sf_dir, "benchmark"), P, source_id="item_id")
+    return overlap.overlap(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"), P, source_id="item_id")
 
 
 @query(HITS)
