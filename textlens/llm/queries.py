@@ -90,4 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
+_TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+
+def _quality_sql() -> str:
+    per = lambda a, b, f="100.0::DOUBLE * ": f"CASE WHEN {b} > 0 THEN {f}{a} / {b} ELSE 0.0 END"
+    value = {"symbols_per_100_words": per("n_symbols", "n_words"), "dup_lines_per_100_lines": per("n_dup_lines", "n_lines"), "repeat_words_per_100_words": per("n_repeat_words", "n_words"), "chars_per_word": "(" + per("word_chars", "n_words") + ") / 100"}
+    rules = list(quality.RULES)
+    tests = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c}::DOUBLE AS cutoff, ({value[r]}) > {c} AS hit FROM held" for r in rules for c in quality.RULES[r])
+    share = quality.RISK / len(rules)
+    hits = ", ".join(f"CASE WHEN ({value[r]}) > (SELECT cutoff FROM cuts c WHERE c.rule = '{r}' AND c.lang IS NOT DISTINCT FROM j.lang) THEN '{r}' END" for r in rules)
+    space = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM g SEMI JOIN (SELECT doc_id, s FROM g GROUP BY doc_id, s HAVING count(*) > 1) d ON g.doc_id = d.doc_id AND g.s = d.s) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{space}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, ls AS lines, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w) w LEFT JOIN r ON w.doc_id = r.doc_id),
+j AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+held AS (SELECT * FROM j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1 AND max(coalesce(toxic, 1)) = 0)),
+tests AS (SELECT lang, rule, cutoff, count(*) AS good, count(*) FILTER (hit) AS rejected FROM ({tests}) GROUP BY ALL),
+cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tests WHERE rejected < good * {share} AND list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(good + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(good - i + 1) + i * ln({share}) + (good - i) * ln(1 - {share})))) <= {quality.DELTA} / (SELECT count(*) FROM tests) GROUP BY lang, rule),
+v AS (SELECT *, array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',') AS rejected_by FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op8_quality_rules": _quality_sql(), "op9_top_k": _TOP_SQL}
