@@ -14,7 +14,8 @@ import tempfile
 
 import numpy as np
 
-CHUNK = 1 << 20
+#: Entries that are read at a time.
+CHUNK = 1 << 18
 
 
 class Collection:
@@ -43,18 +44,17 @@ class Collection:
 
 
 class _Files:
-    """The three sequential files of one round."""
+    """The sequential files of one round: symbols, names and, once suffixes are long enough, marks."""
 
-    kinds = (("bwt", np.dtype("<u2")), ("name", np.dtype("<i8")), ("same", np.dtype("?")))
-
-    def __init__(self, folder: str, number: int):
-        self.paths = [os.path.join(folder, f"{kind}{number}") for kind, _ in self.kinds]
+    def __init__(self, folder: str, number: int, types: list[np.dtype]):
+        self.types = types
+        self.paths = [os.path.join(folder, f"{number}-{i}") for i in range(len(types))]
 
     def chunks(self, *which: int):
         files = [open(self.paths[i], "rb") for i in which]  # noqa: SIM115
         try:
-            while len(first := np.fromfile(files[0], self.kinds[which[0]][1], CHUNK)):
-                yield first, *(np.fromfile(f, self.kinds[i][1], CHUNK) for f, i in zip(files[1:], which[1:], strict=True))
+            while len(first := np.fromfile(files[0], self.types[which[0]], CHUNK)):
+                yield first, *(np.fromfile(f, self.types[i], CHUNK) for f, i in zip(files[1:], which[1:], strict=True))
         finally:
             for f in files:
                 f.close()
@@ -64,82 +64,98 @@ class _Files:
             os.remove(p)
 
 
+def _merged(old: np.ndarray, stay: np.ndarray, own: np.ndarray, new: np.ndarray | bool) -> np.ndarray:
+    out = np.empty(len(stay), dtype=old.dtype)
+    out[stay] = old
+    out[own] = new
+    return out
+
+
 def sorted_suffixes(strings: Collection) -> tuple[np.ndarray, np.ndarray]:
     """Names of the suffixes of at least ``common`` bytes in order, and whether each shares that prefix with the one before."""
     n, lengths = len(strings.lengths), strings.lengths
-    code = strings.matrix
+    # symbols are numbered in byte order from 1; 0 stands before a whole string
+    used = np.flatnonzero(np.bincount(strings.matrix.ravel(), minlength=256))
+    number = np.zeros(256, dtype=np.int64)
+    number[used] = np.arange(len(used)) + 1
+    small = np.dtype("u1") if len(used) < 256 else np.dtype("<u2")
+    code = number.astype(small)[strings.matrix]
+    sigma = len(used) + 1
+    types = [small, np.dtype("<u4") if n < 1 << 24 else np.dtype("<i8"), np.dtype("?")]
     with tempfile.TemporaryDirectory() as folder:
-        # the empty suffixes, in the strings' order; symbol 0 stands before a whole string
-        now = _Files(folder, 0)
-        symbol = code[np.arange(n), np.maximum(lengths - 1, 0)].astype("<u2") + 1
-        symbol[lengths == 0] = 0
-        symbol.astype("<u2").tofile(now.paths[0])
-        (np.arange(n, dtype="<i8") << 8).tofile(now.paths[1])
-        np.zeros(n, dtype=bool).tofile(now.paths[2])
-        totals = np.bincount(symbol, minlength=257)
+        # the empty suffixes, in the strings' order
+        now = _Files(folder, 0, types[:2])
+        symbol = np.where(lengths > 0, code[np.arange(n), np.maximum(lengths - 1, 0)], 0).astype(small)
+        symbol.tofile(now.paths[0])
+        (np.arange(n, dtype=np.int64) << 8).astype(types[1]).tofile(now.paths[1])
+        totals = np.bincount(symbol, minlength=sigma)
         live = np.flatnonzero(symbol)
         at = live.copy()  # where the latest suffix of each live string stands
         for j in range(1, int(lengths.max(initial=0)) + 1):
             if not len(live):
                 break
             below = n + np.cumsum(totals) - totals - totals[0]
-            # 1. read the transform: the new places
+            # 1. read the symbols: the new places
             put = np.empty(len(live), dtype=np.int64)
-            seen, start, k = np.zeros(257, dtype=np.int64), 0, 0
+            seen, start, k = np.zeros(sigma, dtype=np.int64), 0, 0
             for (bwt,) in now.chunks(0):
                 stop = int(np.searchsorted(at, start + len(bwt)))
-                counts = np.bincount(bwt, minlength=257)
+                counts = np.bincount(bwt, minlength=sigma)
                 if stop > k:
-                    order = np.argsort(bwt, kind="stable")
-                    rank = np.empty(len(bwt), dtype=np.int64)
-                    rank[order] = np.arange(len(bwt))
+                    rank = np.empty(len(bwt), dtype=np.int32)
+                    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
                     own = at[k:stop] - start
                     c = bwt[own]
-                    put[k:stop] = below[c] + seen[c] + rank[own] - (np.cumsum(counts) - counts)[c]
+                    put[k:stop] = (below + seen - np.cumsum(counts) + counts)[c] + rank[own]
                 seen += counts
                 start, k = start + len(bwt), stop
             order = np.argsort(put, kind="stable")
             put, live = put[order], live[order]
             left = lengths[live] - j
-            new = np.where(left > 0, code[live, np.maximum(left - 1, 0)].astype(np.int64) + 1, 0)
+            new = np.where(left > 0, code[live, np.maximum(left - 1, 0)], 0).astype(small)
             # 2. read the files and write them with the new suffixes in place
-            then = _Files(folder, j)
+            marks = j >= strings.common
+            then = _Files(folder, j, types if marks else types[:2])
             outs = [open(p, "wb") for p in then.paths]  # noqa: SIM115
             before = put - np.arange(len(put))  # in the old order
             start, k, wrote, last, pending = 0, 0, 0, None, False
             size = int(totals.sum())
-            for bwt, name, same in now.chunks(0, 1, 2):
+            for bwt, name, *same in now.chunks(*range(len(now.types))):
                 end = start + len(bwt)
                 stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))
-                here = before[k:stop] - start
-                bwt = np.insert(bwt, here, new[k:stop].astype("<u2"))
-                name = np.insert(name, here, (live[k:stop] << 8) + j)
-                same = np.insert(same, here, False)
                 own = put[k:stop] - wrote
-                if j >= strings.common:
+                stay = np.ones(len(bwt) + stop - k, dtype=bool)
+                stay[own] = False
+                bwt = _merged(bwt, stay, own, new[k:stop])
+                name = _merged(name, stay, own, ((live[k:stop] << 8) + j).astype(types[1]))
+                written = [bwt, name]
+                if marks:
+                    mark = _merged(same[0], stay, own, False) if same else np.zeros(len(stay), dtype=bool)
                     touch = np.zeros(len(name) + 1, dtype=bool)
                     touch[own] = True
                     touch[own + 1] = True
                     touch[0] |= pending
                     pending = bool(touch[-1])
                     t = np.flatnonzero(touch[:-1])
-                    prev = np.where(t > 0, name[np.maximum(t - 1, 0)], -1 if last is None else last)
+                    prev = np.where(t > 0, name[np.maximum(t - 1, 0)].astype(np.int64), -1 if last is None else last)
                     ok = prev >= 0
-                    same[t] = False
-                    same[t[ok]] = strings.same(prev[ok], name[t[ok]])
-                last = name[-1]
-                for f, x in zip(outs, (bwt, name, same), strict=True):
+                    mark[t] = False
+                    mark[t[ok]] = strings.same(prev[ok], name[t[ok]].astype(np.int64))
+                    written.append(mark)
+                last = int(name[-1])
+                for f, x in zip(outs, written, strict=True):
                     x.tofile(f)
                 start, k, wrote = end, stop, wrote + len(bwt)
             for f in outs:
                 f.close()
             now.drop()
             now = then
-            totals += np.bincount(new, minlength=257)
+            totals += np.bincount(new, minlength=sigma)
             at, live = put[new > 0], live[new > 0]
-        names, marks = [], []
-        for name, same in now.chunks(1, 2):
-            long = name & 255 >= strings.common
-            names.append(name[long])
-            marks.append(same[long])
-    return np.concatenate(names) if names else np.zeros(0, np.int64), np.concatenate(marks) if marks else np.zeros(0, bool)
+        names, found = [], []
+        if len(now.types) == 3:
+            for name, same in now.chunks(1, 2):
+                long = name & 255 >= strings.common
+                names.append(name[long].astype(np.int64))
+                found.append(same[long])
+    return np.concatenate(names) if names else np.zeros(0, np.int64), np.concatenate(found) if found else np.zeros(0, bool)

@@ -27,8 +27,8 @@ from .common import get_file, in_pieces, put_file, shared_dir, written
 SPAN, GRAM = 50, 20
 #: Strings of 50 bytes in a fragment at most: as many as share one occurrence of a minimizer.
 RUN = SPAN - GRAM + 1
-#: Bytes of text in a unit file, and about how many are dealt to a bucket.
-UNIT, BUCKET = 8 << 20, 32 << 20
+#: Bytes of text in a unit file, and about how many are dealt to a bucket up to 1,024 buckets (beyond, both grow alike).
+UNIT, BUCKET = 8 << 20, 4 << 20
 BITS = 48
 NONE = np.iinfo(np.int64).max
 
@@ -200,7 +200,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = shared_dir(spark, "repeats")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4, (int(total) // BUCKET).bit_length()))  # 2**bits buckets
+    bits = (int(total) // BUCKET).bit_length()  # 2**bits buckets
+    bits = min(16, max(4, bits if bits <= 10 else 10 + (bits - 10) // 2))
     buckets = 1 << bits
     lift = np.uint64(BITS - bits)
 
