@@ -12,6 +12,7 @@ _HAN = "[一-鿿]"
 _COMPOUND = "|".join(L.COMPOUND_SURNAMES)
 _SURE = L.STRONG_SURNAMES + L.MEDIUM_SURNAMES
 _AFTER = f"(?=[{L.NAME_CONTEXT}])"
+# A surname of each kind with one or two letters, before a context character.
 PATTERNS = [
     f"((?:{_COMPOUND}){_HAN}){_AFTER}",
     f"((?:{_COMPOUND}){_HAN}{{2}}){_AFTER}",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..profiles import LanguageProfile
 
+# Severities; the thresholds stand in the rules below.
 ISSUE, WARN, PASS = "issue", "warn", "pass"
 
 

@@ -39,6 +39,7 @@ class LanguageProfile:
         return spark.createDataFrame(rows, "profile string, list_name string, ord int, term string")
 
 
+# The Chinese profile's marks and patterns.
 ZH = LanguageProfile(
     name="zh",
     letters="一-鿿",
