@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -103,3 +105,11 @@ def in_pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 20
             held += int(sizes[i])
         if start < n:
             yield batch.slice(start, n - start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for the next task and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

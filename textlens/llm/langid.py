@@ -20,6 +20,8 @@ from .common import free_name, in_pieces
 BUCKETS, SWITCH, SMOOTH, OFF_SCRIPT = 1 << 16, 8.0, 0.1, 60.0
 #: Words of a block: the labelling runs over all blocks of a batch side by side, so long texts need no more steps.
 BLOCK = 192
+#: Bytes of text that are labelled together; arrays take some 60 times as much.
+PIECE = 2 << 20
 
 #: First code point of each script range, and its script; ranges end where the next starts.
 SCRIPTS = {
@@ -69,7 +71,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], np.ndarray] = {}
-        for batch in in_pieces(batches, "text", 8 << 20):
+        for batch in in_pieces(batches, "text", PIECE):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             words = _Letters(batch.column("text").to_pylist())
             per_letter = np.repeat(words.doc, words.size)
@@ -209,7 +211,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = max(1, len(model.languages))
-        for batch in in_pieces(batches, text_col, max(1 << 16, (8 << 20) // max(1, k * k // 64))):  # arrays hold the square of the languages a block
+        for batch in in_pieces(batches, text_col, max(1 << 16, PIECE // max(1, k * k // 64))):  # arrays hold the square of the languages a block
             texts = batch.column(text_col).to_pylist()
             words, labels = _label(texts, model, switch)
             share = np.bincount(words.doc * k + labels, weights=words.size, minlength=len(texts) * k).reshape(len(texts), k)

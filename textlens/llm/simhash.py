@@ -46,7 +46,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp",
     from pyspark.sql.types import LongType, StructField, StructType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, text_col, 16 << 20):
+        for batch in in_pieces(batches, text_col, 4 << 20):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(text_col).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
 
