@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_pieces
-from .tokens import WordTokenizer
+from . import tokens
 
 MAX_LEN, END = 2048, 1
 
@@ -42,7 +42,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint" + ", ids array<int>" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer)
+        tok = tokens.tokenizer(tokenizer)
         number = TaskContext.get().partitionId() << 40
         for batch in in_pieces(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -11,6 +12,12 @@ import numpy as np
 EDGES = '.,;:!?()"'
 
 
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a worker, whose tables last from task to task."""
+    return WordTokenizer(path)
+
+
 class WordTokenizer:
     """The ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives, for tokenizers that never join text across ASCII white space.
 
@@ -49,10 +56,6 @@ class WordTokenizer:
                     self.words[w] = self._plain(w)
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
         cut, need = [], set()
         for c in chunks:
             s = c.decode("utf-8", "replace")
@@ -66,6 +69,8 @@ class WordTokenizer:
                     continue
                 cut.pop()
             self.chunks[c] = self._plain(s)
+        if len(self.words) + len(need) > self.most:  # what is in use now stays
+            self.words = {w: self.words[w] for w in need if w in self.words}
         self._letters([w for w in need if w not in self.words])
         for c, before, low, after in cut:
             self.chunks[c] = self._mark(before) + self.words[low] + self._mark(after)
@@ -79,12 +84,12 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        known = self.chunks
         new: set[bytes] = set()
         for words in split:
             new.update(words)
-        if len(known) > self.most:
-            known.clear()
+        if len(self.chunks) + len(new) > self.most:  # what is in use now stays
+            self.chunks = {c: self.chunks[c] for c in new if c in self.chunks}
+        known = self.chunks
         new.difference_update(known)
         self._learn(new)
         return [np.frombuffer(b"".join([known[w] for w in words]), dtype=self.dtype) for words in split]
