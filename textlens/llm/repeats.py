@@ -148,7 +148,9 @@ class _Unit:
         return self.ids[np.searchsorted(self.stops, at, side="right")]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return runs(self.data, self.stops)
+        """Minimizers are small hashes; multiplied by an odd number they are spread evenly again, one to one."""
+        at, count, value = runs(self.data, self.stops)
+        return at, count, (value * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << BITS) - 1)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
