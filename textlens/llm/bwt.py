@@ -15,7 +15,7 @@ import tempfile
 import numpy as np
 
 #: Entries that are read at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 
 
 class Collection:
@@ -96,20 +96,21 @@ def sorted_suffixes(strings: Collection) -> tuple[np.ndarray, np.ndarray]:
                 break
             below = n + np.cumsum(totals) - totals - totals[0]
             # 1. read the symbols: the new places
-            put = np.empty(len(live), dtype=np.int64)
+            put, symbols = np.empty(len(live), dtype=np.int64), np.empty(len(live), dtype=small)
+            size = int(totals.sum())
             seen, start, k = np.zeros(sigma, dtype=np.int64), 0, 0
             for (bwt,) in now.chunks(0):
                 stop = int(np.searchsorted(at, start + len(bwt)))
-                counts = np.bincount(bwt, minlength=sigma)
+                counts = totals if len(bwt) == size else np.bincount(bwt, minlength=sigma)
                 if stop > k:
                     rank = np.empty(len(bwt), dtype=np.int32)
                     rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
                     own = at[k:stop] - start
-                    c = bwt[own]
+                    symbols[k:stop] = c = bwt[own]
                     put[k:stop] = (below + seen - np.cumsum(counts) + counts)[c] + rank[own]
                 seen += counts
                 start, k = start + len(bwt), stop
-            order = np.argsort(put, kind="stable")
+            order = np.argsort(symbols, kind="stable")  # places rise with the symbol, and inside one as before
             put, live = put[order], live[order]
             left = lengths[live] - j
             new = np.where(left > 0, code[live, np.maximum(left - 1, 0)], 0).astype(small)
@@ -119,7 +120,6 @@ def sorted_suffixes(strings: Collection) -> tuple[np.ndarray, np.ndarray]:
             outs = [open(p, "wb") for p in then.paths]  # noqa: SIM115
             before = put - np.arange(len(put))  # in the old order
             start, k, wrote, last, pending = 0, 0, 0, None, False
-            size = int(totals.sum())
             for bwt, name, *same in now.chunks(*range(len(now.types))):
                 end = start + len(bwt)
                 stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))

@@ -96,11 +96,9 @@ def _alike(matrix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
 WIDTH = -(-(SPAN + RUN - 1) // 8) * 8
 
 
-def _matrix(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Fragments as rows, padded with zeros."""
+def _matrix(view: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Fragments as rows, padded with zeros, from the view of ``WIDTH`` bytes at each place."""
     out = np.zeros((len(at), WIDTH), dtype=np.uint8)
-    flat = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)
     for a in range(0, len(at), 1 << 16):
         rows = view[at[a : a + (1 << 16)]]
         out[a : a + (1 << 16)] = np.where(np.arange(WIDTH) < (count[a : a + (1 << 16)] + SPAN - 1)[:, None], rows, 0)
@@ -270,9 +268,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at, count, value = at[order], count[order], value[order]
             doc = unit.doc_at(at)
             kinds = np.empty(len(at), dtype=np.int64)
+            view = np.lib.stride_tricks.sliding_window_view(np.concatenate([unit.data, np.zeros(WIDTH, np.uint8)]), WIDTH)
             out = []
             for b, a, z in by_bucket(value):
-                matrix = _matrix(unit.data, at[a:z], count[a:z])
+                matrix = _matrix(view, at[a:z], count[a:z])
                 first, kind = _alike(matrix, count[a:z])
                 least = np.full(len(first), NONE)
                 np.minimum.at(least, kind, doc[a:z])
