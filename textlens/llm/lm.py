@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, in_pieces, shared_dir
-from .tokens import WordTokenizer
+from . import tokens as words
 
 MU, ALPHA = 20.0, 0.1
 #: Rows of the bigram table that a worker holds at most (16 bytes each).
@@ -49,7 +49,7 @@ def tokens(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, path: st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer)
+        tok = words.tokenizer(tokenizer)
         for batch in in_pieces(batches, "text", 4 << 20):
             ids = [x.tobytes() for x in tok.encode_all(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -95,7 +95,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, tokenizer: str,
                     rows, n = [], 0
         yield _sums(rows, size)
 
-    flagged = held.join(good, held.doc_id == good.good_id, "left").select("ids", F.col("good_id").isNotNull().alias("good"))
+    # by merge at every size: a broadcast that stops at some number of labels would make the plan depend on it
+    flagged = held.join(good.hint("merge"), held.doc_id == good.good_id, "left").select("ids", F.col("good_id").isNotNull().alias("good"))
     flagged.mapInArrow(count, "key bigint, n bigint, t bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).write.parquet(f"{base}/bigrams")
     model = spark.read.schema("key bigint, n bigint, t bigint").parquet(f"{base}/bigrams")
     # one row a token at most: bounded by the vocabulary
