@@ -135,3 +135,20 @@ def test_long_and_repeated_texts(spark):
     got = run(spark, [long, long])
     assert got[0] == got[1] and got[0][1] == ["ip"] * 300 and "1.2.3.4" not in got[0][0]
     assert pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id int, text string"), KEY).count() == 0
+
+
+def test_values_next_to_digits_and_separators(spark):
+    cases = {
+        "3,john@example.com,berlin": ["email"], "id:3:john@example.com": ["email"], "7,4111111111111111,2026": ["card"], "10.0.0.1:8080": ["ip"], "10.0.0.1/24": ["ip"],
+        "1984-02-29T10:00:00Z": ["date"], "3,1984-02-29,4": ["date"], "1984-02-29/1985-03-01": ["date", "date"], "29.02.1984-01.03.1985": ["date", "date"], "邮箱john@example.com邮箱": ["email"],
+        "sha256:57f17a56c90cac3e893f4491169557bdc83d8148": ["secret"], "2:078-05-1120,5": ["ssn"], "1,017-555-7713,2": ["phone"], "4111111111111111/12/27": ["card"], "root@10.0.0.1,10.0.0.2:22": ["ip", "ip"],
+        "BE68 5390 0754 7034 EUR": ["iban"], "BE68539007547034 EUR 5": ["iban"], "REF AB12 BE68 5390 0754 7034 EUR": ["iban"], "3,BE68 5390 0754 7034,4": ["iban"],
+        "BE68 5390 0754 7034 4111 1111 1111 1111": ["iban", "card"], "ID42 4111 1111 1111 1111": ["card"],
+    }
+    stay = ["1.2.3.4.5", "v1.2.3.4", "0.4111111111111111", "4111111111111111.5", "1984-02-29-1", "1984-02-29Tx", "078-05-1120-3", "BE68 5390 0754 7035 EUR", "10.0.0.1x"]
+    for v, (text, kinds) in zip([*cases, *stay], run(spark, [*cases, *stay]), strict=True):
+        assert kinds == cases.get(v, []), v
+        assert (text == v) == (v in stay), v
+    [iban] = [t for t, _ in run(spark, ["BE68 5390 0754 7034 EUR"])]
+    assert re.fullmatch(r"BE\d\d \d{4} \d{4} \d{4} EUR", iban) and int("".join(str(int(c, 36)) for c in (iban[4:-4] + iban[:4]).replace(" ", ""))) % 97 == 1
+    assert re.fullmatch(r"3,user\w+@mail\w+\.example,berlin", run(spark, ["3,john@example.com,berlin"])[0][0])

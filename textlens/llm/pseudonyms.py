@@ -5,6 +5,7 @@ A validated number or date is a point of ``Z_a x Z_b`` for its format, and a key
 ``l += F(r) mod a; r += F(l) mod b``, each step invertible for any a and b. So a card stays a valid card with its
 separators, a date a valid date of the same century, and equal values get equal pseudonyms in every document.
 Mail addresses and hex secrets have no small domain; they get a keyed hash in the same form.
+Each kind has its own bounds, so values in rows, logs and timestamps are found; words behind an IBAN don't hide it.
 """
 
 from __future__ import annotations
@@ -30,8 +31,30 @@ PATTERNS = {
     "phone": r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
-ANY = r"(?<![\p{L}\p{N}_@])(?<![0-9][.,:/-])(?:" + "|".join(PATTERNS.values()) + r")(?![\p{L}\p{N}_@])(?![.,:/-][0-9])"
+#: What must not stand before and behind a value of each kind, besides an ASCII letter or digit: a digit behind a separator
+#: that the kind itself has, as this makes a longer number. Other separators (those of rows, ports, paths, times) may.
+BOUNDS = {
+    "email": ("", ""), "secret": ("", ""), "iban": ("", ""), "ip": (r"(?<![0-9]\.)", r"(?!\.[0-9])"), "ssn": ("(?<![0-9]-)", "(?!-[0-9])"),
+    "phone": ("(?<![0-9][.-])", "(?![.-][0-9])"), "card": ("(?<![0-9][.-])", "(?![.-][0-9])"),
+}
+_END = "(?![A-Za-z0-9])"
+
+
+def _bounded(kind: str) -> str:
+    if kind != "date":
+        return BOUNDS[kind][0] + f"(?:{PATTERNS[kind]})" + _END + BOUNDS[kind][1]
+    forms = zip("-/.", PATTERNS["date"][3:-1].replace("|[0-9]", "\n[0-9]").split("\n"), strict=True)
+    return "|".join(rf"(?<![0-9][{c}]){form}(?:{_END}|(?=[Tt][0-9]))(?![{c}][0-9])" for c, form in forms)
+
+
+def _any(kinds: list[str]) -> str:
+    return "(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:" + "|".join(map(_bounded, kinds)) + ")"
+
+
 KINDS = [*PATTERNS]
+ANY = _any(KINDS)
+#: For what an IBAN's pattern took in, but is no part of a valid one.
+INNER = _any([k for k in KINDS if k != "iban"])
 
 #: First day and the two factors of the number of days of each century.
 CENTURIES = {"19": ("1900-01-01", 92, 397), "20": ("2000-01-01", 75, 487)}
@@ -170,6 +193,42 @@ def pseudonym(key: Column, x: Column) -> Column:
     return F.get(F.filter(F.array(*tried), lambda p: p["value"].isNotNull()), 0)
 
 
+def _piece(text: Column | str, kind: Column | None = None, again: bool = False) -> Column:
+    """A piece of the new text: its kind, if it is a pseudonym, and whether values are to be looked for in it once more."""
+    return F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"), F.lit(again).alias("again"))
+
+
+def _pieces(t: Column, pattern: str, of: Callable[[Column], Column]) -> Column:
+    """``t`` as pieces, each match of the pattern as ``of`` it."""
+
+    def put(hits: Column) -> Column:
+        return F.flatten(F.transform(F.split(t, pattern, -1), lambda s, i: F.concat(F.array(_piece(s)), F.coalesce(F.get(hits, i), F.array().cast("array<struct<text:string,kind:string,again:boolean>>")))))  # no hit after the last
+
+    return let(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), of), put)
+
+
+def _whole(key: Column, x: Column, otherwise: Column) -> Column:
+    """Pieces of a found value."""
+    return let(pseudonym(key, x), lambda p: F.when(p.isNotNull(), F.array(_piece(p["value"], p["kind"]))).otherwise(otherwise))
+
+
+def _parted(key: Column, x: Column) -> Column:
+    """Pieces of what has an IBAN's pattern but isn't valid: the first, longest run of its words that is, and what stands beside it."""
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        run = lambda s, e: F.array_join(F.slice(words, s + 1, e - s), " ")
+        value = lambda t: F.when(t.rlike(f"^(?:{PATTERNS['iban']})$"), _iban(key, t))
+        at = lambda s, e: F.struct(s.alias("s"), e.alias("e"), let(run(s, e), value).alias("value"))
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(n, s + 1, F.lit(-1)), lambda e: at(s, e))))
+        before = lambda r: F.when(r["s"] > 0, F.concat(run(F.lit(0), r["s"]), F.lit(" "))).otherwise("")
+        after = lambda r: F.when(r["e"] < n, F.concat(F.lit(" "), run(r["e"] + 0, n))).otherwise("")
+        put = lambda r: F.array(_piece(before(r), again=True), _piece(r["value"], F.lit("iban")), _piece(after(r), again=True))
+        return let(F.get(F.filter(runs, lambda r: r["value"].isNotNull()), F.lit(0)), lambda r: F.when(r.isNotNull(), put(r)).otherwise(F.array(_piece(x, again=True))))
+
+    return let(F.split(x, " "), of)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced; ``kinds_col`` gets the kinds of the replaced values in text order.
 
@@ -178,21 +237,25 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
     """
     k = F.lit(key)
 
-    def replace(t: Column) -> Column:
-        return let(F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), pseudonym(k, x).alias("p"))), lambda hits: join(t, hits))
+    def first(t: Column) -> Column:
+        return _pieces(t, ANY, lambda x: _whole(k, x, F.when(x.rlike(f"^(?:{PATTERNS['iban']})$"), _parted(k, x)).otherwise(F.array(_piece(x)))))
+
+    def second(t: Column) -> Column:
+        return _pieces(t, INNER, lambda x: _whole(k, x, F.array(_piece(x))))
 
-    def join(t: Column, hits: Column) -> Column:
-        hit = lambda i: F.get(hits, i)  # noqa: E731  null after the last
-        parts = F.transform(F.split(t, ANY, -1), lambda s, i: F.concat(s, F.coalesce(hit(i)["p"]["value"], hit(i)["x"], F.lit(""))))
-        return F.struct(F.array_join(parts, "").alias("text"), F.transform(F.filter(hits, lambda h: h["p"].isNotNull()), lambda h: h["p"]["kind"]).alias("kinds"))
+    def done(pieces: Column) -> Column:
+        return F.flatten(F.transform(pieces, lambda p: F.when(p["again"], second(p["text"])).otherwise(F.array(p))))
 
     # a value has a mail sign or a digit and, but for mail addresses, seven characters of a number or more
     text = F.col(text_col)
-    done = F.when(text.rlike(r"[0-9][0-9a-fA-F .()/+-]{5,}|@"), let(text, replace)).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
     name = "_pseudonyms"
     while name in docs.columns:
         name = "_" + name
-    out = docs.withColumn(name, let(done, lambda x: x)).withColumn(text_col, F.col(name)["text"])
+    out = docs.withColumn(name, F.when(text.rlike(r"[0-9][0-9a-fA-F .()/+-]{5,}|@"), let(text, first)))
+    # in two steps, as the analyzer takes a round for each lambda inside another
+    out = out.withColumn(name, let(F.col(name), done))
+    found = F.col(name).isNotNull()
     if kinds_col:
-        out = out.withColumn(kinds_col, F.col(name)["kinds"])
-    return out.drop(name)
+        kinds = F.transform(F.filter(F.col(name), lambda p: p["kind"].isNotNull()), lambda p: p["kind"])
+        out = out.withColumn(kinds_col, F.when(found, kinds).otherwise(F.array().cast("array<string>")))
+    return out.withColumn(text_col, F.when(found, F.array_join(F.col(name)["text"], "")).otherwise(F.col(text_col))).drop(name)
