@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -23,10 +24,13 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run of an operator, under ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (local tests) a folder of this machine is used.
+    The setting is read from the session. Only where it is unset and the master is local a folder of this machine is
+    used; a cluster without the setting is an error, as its executors share no such folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = spark.conf.get("textlens.local.shared", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="textlens-")
@@ -80,6 +84,23 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def zipped(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block of bytes."""
+    raw = b"".join(len(b := np.ascontiguousarray(x).tobytes()).to_bytes(8, "little") + b for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unzipped(blob: bytes, *types: str) -> list[np.ndarray]:
+    """The arrays of ``zipped``, of the given types."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for t in types:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at + 8))
+        at += 8 + n
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, wherever ``body`` uses it (also inside further lambdas)."""
     return F.transform(F.array(value), lambda x: body(x))[0]

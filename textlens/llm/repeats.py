@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Collection, sorted_suffixes
-from .common import get_file, in_pieces, put_file, shared_dir, written
+from .common import get_file, in_pieces, put_file, shared_dir, unzipped, written, zipped
 
 SPAN, GRAM = 50, 20
 #: Strings of 50 bytes in a fragment at most: as many as share one occurrence of a minimizer.
@@ -105,21 +105,6 @@ def _matrix(view: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(len(b := np.ascontiguousarray(x).tobytes()).to_bytes(8, "little") + b for x in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unzip(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    for t in types:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at + 8))
-        at += 8 + n
-    return out
-
-
 class _Unit:
     """A unit file: documents' ids (null is larger than any), ends and bytes."""
 
@@ -136,11 +121,11 @@ class _Unit:
         return cls(ids.fill_null(int(NONE)).to_numpy(zero_copy_only=False), ends[1:] - ends[0], data, ids.is_valid().to_numpy(zero_copy_only=False))
 
     def put(self, path: str) -> None:
-        put_file(path, _zip(self.ids, self.stops, self.data, self.known))
+        put_file(path, zipped(self.ids, self.stops, self.data, self.known))
 
     @classmethod
     def get(cls, path: str) -> _Unit:
-        return cls(*_unzip(get_file(path), "<i8", "<i8", "u1", "?"))
+        return cls(*unzipped(get_file(path), "<i8", "<i8", "u1", "?"))
 
     def doc_at(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.stops, at, side="right")]
@@ -278,8 +263,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds[a:z] = kind
                 n = count[a:z][first]
                 whole = matrix[first][np.arange(WIDTH) < (n + SPAN - 1)[:, None]]
-                out.append((number, b, _zip(n.astype("u1"), least, whole)))
-            put_file(f"{base}/hot-{number}", _zip(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u4")))
+                out.append((number, b, zipped(n.astype("u1"), least, whole)))
+            put_file(f"{base}/hot-{number}", zipped(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u4")))
             yield _rows(PARTS, out)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for bucket, rows in _grouped(batches, "bucket"):
             counts, docs_, matrices, sizes = [], [], [], []
             for r in rows:
-                n, least, whole = _unzip(r.pop("blob"), "u1", "<i8", "u1")
+                n, least, whole = unzipped(r.pop("blob"), "u1", "<i8", "u1")
                 n = n.astype(np.int64)
                 matrix = np.zeros((len(n), WIDTH), dtype=np.uint8)
                 matrix[np.arange(WIDTH) < (n + SPAN - 1)[:, None]] = whole
@@ -305,7 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = 0
             out = []
             for r, n in zip(rows, sizes, strict=True):
-                out.append((r["unit"], bucket, _zip(np.concatenate([answer[k] for k in kind[at : at + n].tolist()]))))
+                out.append((r["unit"], bucket, zipped(np.concatenate([answer[k] for k in kind[at : at + n].tolist()]))))
                 at += n
             yield _rows(PARTS, out)
 
@@ -317,14 +302,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             start = np.zeros(len(unit.data), dtype=bool)
             blobs = {r["bucket"]: r["blob"] for r in rows if r["bucket"] >= 0}
             if blobs:
-                at, count, kind, bucket = _unzip(get_file(f"{base}/hot-{number}"), "<i8", "u1", "<u4", "<u4")
+                at, count, kind, bucket = unzipped(get_file(f"{base}/hot-{number}"), "<i8", "u1", "<u4", "<u4")
                 count = count.astype(np.int64)
                 for b in np.unique(bucket).tolist():
                     a, z = np.searchsorted(bucket, [b, b + 1])
                     n, k = count[a:z], kind[a:z]
                     size = np.zeros(int(k.max()) + 1, dtype=np.int64)
                     size[k] = n
-                    (least,) = _unzip(blobs[b], "<i8")
+                    (least,) = unzipped(blobs[b], "<i8")
                     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     told = least[np.repeat((np.cumsum(size) - size)[k], n) + place]
                     place += np.repeat(at[a:z], n)
