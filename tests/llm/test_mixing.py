@@ -1,6 +1,8 @@
 import re
+from itertools import accumulate
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textlens.llm import mixing, queries
@@ -21,6 +23,55 @@ def fair(sizes, weights=(5, 2, 1), cap=3):
     return done
 
 
+def plain(rows, block=64, cap=3):
+    """``rows``: (id, size, source, text) -> taken, by walking the schedule slot by slot over shuffled words."""
+    sizes = {}
+    for _, n, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = fair(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    slots = {s: int(want[s] // sizes[s]) * -(-sizes[s] // block) + int(want[s] % sizes[s] / block + 0.5) if sizes[s] else 0 for s in order}
+    total, high = sum(slots.values()), dict(zip(order, accumulate(slots[s] for s in order), strict=True))
+    rank, times = dict.fromkeys(order, 0), {s: [0] * -(-sizes[s] // block) for s in order}
+    for i in range(total):
+        at = ((i * mixing.STEP) % (1 << 40) >> 9) * total >> 31
+        s = next(x for x in order if at < high[x])
+        if rank[s] < len(times[s]) * cap:
+            times[s][rank[s] % len(times[s])] += 1
+        rank[s] += 1
+
+    def key(r):
+        h = xxhash.xxh64_intdigest(str(r[0] if r[0] is not None else "").encode(), xxhash.xxh64_intdigest(b"mix", 42))
+        tie = xxhash.xxh64_intdigest(r[3].encode(), 42) if r[3] is not None else 42
+        return tuple(x - (1 << 64) if x >> 63 else x for x in (h, tie))
+
+    out, at = {}, dict.fromkeys(order, 0)
+    buckets = max(1, int(len(rows) ** 0.5))
+    for k in sorted(range(len(rows)), key=lambda k: (key(rows[k])[0] % buckets, key(rows[k]))):
+        _, n, s, _ = rows[k]
+        out[k] = sum(times[s][w // block] for w in range(at[s], at[s] + n))
+        at[s] += n
+    return [out[k] for k in range(len(rows))]
+
+
+def test_taken_words_by_a_walk_of_the_schedule(spark, sf):
+    got = {r.doc_id: (r["size"], r.taken) for r in queries.op10_source_mix(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    rows = [(d.doc_id, got[d.doc_id][0], d.source, d.text) for d in docs]
+    assert [got[d.doc_id][1] for d in docs] == plain(rows)
+
+
+@pytest.mark.parametrize("name", ["_taken", "_size", "_pass", "mix_row", "MIX_ROW", "mix_taken", "Mix_Pass", "taken", "row", "tie", "key", "size", "bucket", "sid", "n_bytes", "Stop"])
+def test_columns_of_any_name_pass_and_parts_are_prefixes(spark, name):
+    texts = {i: f" a{i}\n\tb  c\n" * (i % 7 + 1) for i in range(60)}
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}", -i) for i, t in texts.items()], f"doc_id long, text string, source string, `{name}` long")
+    out = mixing.mixed_documents(docs, block=5)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(texts[r.doc_id].startswith(r.text) and r[name] == -r.doc_id for r in rows)
+    assert any(r.text != texts[r.doc_id] for r in rows)
+
+
 def test_contract_on_all_documents(spark, sf):
     out = queries.op10_source_mix(spark, sf).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -34,23 +34,36 @@ def _point(i: Column) -> Column:
     return ((high * STEP).bitwiseAND(F.lit(half - 1)) * half + low * STEP).bitwiseAND(F.lit(mask))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with, for each name, the sum of its column over all rows before in ``order``.
+
+    Rows are sorted by range, so no task holds all of them: sums inside a range, and one over the few ranges.
+    """
+    held = written(df.select("*", *[c.alias(f"{n}_of_row") for n, c in sums.items()]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range_no", F.spark_partition_id()), name)
+    ranges = held.groupBy("range_no").agg(*[F.sum(f"{n}_of_row").alias(f"{n}_of_range") for n in sums])
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.select("range_no", *[F.coalesce(F.sum(f"{n}_of_range").over(before), F.lit(0)).alias(f"{n}_first") for n in sums])
+    inside = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(first, "range_no")
+    return out.select(*df.columns, *[(F.col(f"{n}_first") + F.coalesce(F.sum(f"{n}_of_row").over(inside), F.lit(0))).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
     """``source, source_size`` -> also ``weight, target``: all words shared by weight, none above ``cap`` times its size.
 
     What is above the cap goes to the others by weight until none is above: sorted by ``cap * size / weight``, the
     capped sources are a prefix, so one running sum finds them.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("weight", w.cast("double"))
-    most = (F.col("source_size") * cap).cast("double")
-    by = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum(most).over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levelled = ranked.withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("weight") <= most)
-    shared = F.max(F.when(F.col("_free"), F.struct(-F.col("source_size") / F.col("weight"), F.col("_level"))).otherwise(None)).over(every)["_level"]
-    return levelled.withColumn("target", F.when(F.col("_free"), shared * F.col("weight")).otherwise(most)).drop("_level", "_free")
+    source, size, weight = F.col("source"), F.col("source_size"), F.col("weight")
+    placed = running(sizes, [source.asc_nulls_last()], {"place": F.lit(1).cast("long")}, "mix-order")
+    weighed = placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")).drop("place")
+    ranked = written(running(weighed, [(size / weight).asc(), source.asc_nulls_last()], {"before": size * cap, "weights": weight}, "mix-levels"), "mix-levelled")
+    total, every = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total or 0) - F.col("before")).cast("double") / (F.lit(every or 0) - F.col("weights"))
+    levelled = ranked.withColumn("level", level).withColumn("free", F.col("level") * weight <= size * cap)
+    shared = levelled.where("free").agg(F.max(F.struct((-size / weight).alias("s"), "level")).alias("x")).first()["x"]
+    found = F.lit(float(shared["level"]) if shared else 0.0) * weight
+    return levelled.withColumn("target", F.when(F.col("free"), found).otherwise((size * cap).cast("double"))).drop("level", "free", "before", "weights")
 
 
 def schedule(plan: DataFrame, total_slots: int) -> DataFrame:
@@ -78,16 +91,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are the document's first ``taken % size`` ones. Rows with null ids, sources or texts take part: a null source is a
     source of its own (the last), a null text has no words, takes nothing. Repeated rows are rows of their own. An
     empty table gives an empty result; if no document has a word all targets are 0. ``row`` numbers the rows of this
-    run (or is ``row_col``); other columns are not looked at. Reruns on the same rows agree: the shuffle is by a hash of id and seed.
+    run (or is ``row_col``); other columns are not looked at. Reruns on the same rows agree, however the files are cut: the
+    shuffle is by a hash of id and seed, then of the text; only rows with equal ids and texts are told apart by their place.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
     base = written(base.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-rows")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     k = (F.floor(F.col("target") / F.col("source_size")) * F.ceil(F.col("source_size") / block) + F.round((F.col("target") % F.col("source_size")) / block)).cast("long")
     of_source = targets(sizes, weights, cap).withColumn("slots", F.when(F.col("source_size") > 0, k).otherwise(F.lit(0)).cast("long"))
-    cum = Window.orderBy(F.col("source").asc_nulls_last())
-    of_source = written(of_source.withColumn("sid", F.row_number().over(cum)).withColumn("high", F.sum("slots").over(cum)).withColumn("low", F.col("high") - F.col("slots")).withColumn("nb", F.ceil(F.col("source_size") / block)), "mix-sources")
+    of_source = running(of_source, [F.col("source").asc_nulls_last()], {"sid": F.lit(1).cast("long"), "low": F.col("slots")}, "mix-slots")
+    of_source = written(of_source.withColumn("high", F.col("low") + F.col("slots")).withColumn("nb", F.ceil(F.col("source_size") / block)), "mix-sources")
     totals = of_source.agg(F.sum("slots"), F.sum("rows")).first()
     total_slots, rows = int(totals[0] or 0), int(totals[1] or 0)
     slots = schedule(of_source, max(total_slots, 1))
@@ -97,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = base.join(of_source.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod("key", F.lit(buckets)))
     held = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     first = held.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("first"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("upto", F.sum("size").over(inside)).join(first, ["sid", "bucket"]).withColumn("stop", F.col("first") + F.col("upto")).withColumn("start", F.col("stop") - F.col("size"))
     parts = placed.where("size > 0").select("row", "sid", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("b"))
     overlap = F.least(F.col("stop"), (F.col("b") + 1) * block) - F.greatest(F.col("start"), F.col("b") * block)
@@ -106,20 +120,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, as it stands."""
+    return F.array_join(F.slice(F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])", -1), F.lit(1), n), "")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed table: each row as often as whole passes take it, and once more with its first words where a last pass takes a part.
+    """The mixed table: each row as often as whole passes take it, and once more up to the end of the last word taken where a last pass takes a part.
 
-    Columns are those of ``docs``; a part keeps its words joined by single spaces. Rows of which nothing is taken go.
+    Columns are those of ``docs``, whatever their names. A part is a prefix of the text; ``n_chars``, where there is one,
+    follows it. Rows of which nothing is taken go.
     """
-    row = free_name(docs.columns, "mix_row")
+    row, size, taken, each_pass = (free_name(docs.columns, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_pass"))
     kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    took = mix(kept, id_col, text_col, source_col, row_col=row, **options).select(F.col("row").alias(row), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    rest = F.col("_taken") % F.col("_size")
-    words = F.split(F.btrim(F.col(text_col), F.lit(SPACE)), SPACE_RE, -1)
-    passes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    each = kept.join(took, row).withColumn("_pass", F.explode(passes))
-    text = F.when(F.col("_pass") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_pass").cast("int")), " "))
-    out = each.withColumn(text_col, text)
+    took = mix(kept, id_col, text_col, source_col, row_col=row, **options).select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)).where(F.col(taken) > 0)
+    rest = F.col(taken) % F.col(size)
+    passes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col(taken) / F.col(size)).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    each = kept.join(took, row).withColumn(each_pass, F.explode(passes))
+    out = each.withColumn(text_col, F.when(F.col(each_pass) < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(each_pass).cast("int"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(each_pass) < 0, F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
