@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from textlens.llm import pseudonyms, queries
@@ -40,7 +41,7 @@ def plain(kind, x):
     d = re.sub("[^0-9]", "", x)
     sha = lambda *p: hashlib.sha256("|".join((KEY, *p)).encode()).hexdigest()
     if kind == "card":
-        if luhn(d):
+        if len(d) <= 19 and luhn(d):
             body = permuted("card", d[:-1])
             return refill(x, next(body + c for c in "0123456789" if luhn(body + c)))
     elif kind == "ip":
@@ -63,16 +64,34 @@ def plain(kind, x):
 
 def apply(text):
     """For texts without dates, IBANs and social numbers."""
+    import regex
+
     kinds = []
 
-    def one(m):
-        for kind, p in pseudonyms.PATTERNS.items():
-            if re.fullmatch(p, m[0]) and (v := plain(kind, m[0])) is not None:
-                kinds.append(kind)
-                return v
-        return m[0]
+    def whole(x, patterns):
+        return next(((kind, v) for kind, p in patterns.items() if re.fullmatch(p, x) and (v := plain(kind, x)) is not None), None)
 
-    import regex
+    def take(found):
+        kinds.append(found[0])
+        return found[1]
+
+    def inner(m):
+        found = whole(m[0], pseudonyms.PATTERNS)
+        return take(found) if found else m[0]
+
+    def one(m):
+        x = m[0]
+        if found := whole(x, pseudonyms.PATTERNS):
+            return take(found)
+        groups = re.split("(?<=[ .-])", x)
+        for s in range(len(groups)):
+            for e in range(len(groups), s, -1):
+                bare = re.sub("[ .-]$", "", "".join(groups[s:e]))
+                if 8 <= len(bare) <= 42 and (found := whole(bare, {"phone": pseudonyms.PATTERNS["phone"], "card": pseudonyms.GROUPED_CARD})):
+                    before = regex.sub(pseudonyms.INNER, inner, "".join(groups[:s]))
+                    value = take(found)
+                    return before + value + regex.sub(pseudonyms.INNER, inner, "".join(groups[s:])[len(bare) :])
+        return x
 
     return regex.sub(pseudonyms.ANY, one, text), kinds
 
@@ -90,9 +109,11 @@ def test_all_documents(spark, sf):
 
 
 def run(spark, values, key=KEY):
-    docs = spark.createDataFrame(list(enumerate(values)), "doc_id int, text string").withColumn("kinds", F.lit(1)).withColumn("_pseudonyms", F.lit("clash"))
-    out = pseudonyms.pseudonymise(docs.drop("kinds"), key, kinds_col="kinds").orderBy("doc_id").collect()
-    assert [r._pseudonyms for r in out] == ["clash"] * len(values)
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id int, text string").withColumn("Pseudonyms", F.lit("clash")).withColumn("_pseudonyms", F.lit("clash"))
+    out = pseudonyms.pseudonymise(docs, key, kinds_col="kinds").orderBy("doc_id").collect()
+    assert [(r.Pseudonyms, r._pseudonyms) for r in out] == [("clash", "clash")] * len(values)
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(docs, key, kinds_col="PSEUDONYMS")
     return [(r.text, r.kinds) for r in out]
 
 
@@ -130,6 +151,64 @@ def test_permutations_are_one_to_one(spark):
         assert len({(r.s.l, r.s.r) for r in rows}) == a * b and all(0 <= r.s.l < a and 0 <= r.s.r < b for r in rows)
 
 
+def test_slash_dates_are_one_to_one(spark):
+    """Every text of both forms in both centuries."""
+    ok = lambda d, m, y: 1 <= m <= 12 and 1 <= d <= (29 if m == 2 and y % 4 == 0 and y != 1900 else (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1])
+    texts = [f"{a:02d}/{b:02d}/{y}" for y in range(1900, 2100) for a in range(1, 32) for b in range(1, 32) if ok(a, b, y) or ok(b, a, y)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", pseudonyms._date(F.lit("k"), F.col("t")).alias("p")).collect()
+    assert len({r.p for r in rows}) == len(texts) and {r.p for r in rows} == set(texts)
+    assert all(r.p[6:8] == r.t[6:8] for r in rows) and sum(r.p == r.t for r in rows) < 50
+
+
+#: Looser than the module's and written apart from them: nothing of these may stay.
+LOOSE = {
+    "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+", "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w]|[.-]\d)", "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[./-]\d)", "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
+    "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) |\d{3}[.-])\d{3}[ .-]\d{4}(?![\w]|[.-]\d)", "secret": r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b",
+}
+
+
+def holds(kind, v):
+    """Whether a value is valid, by other means than the module's."""
+    d = re.sub(r"\D", "", v)
+    if kind == "card":
+        return luhn(d)
+    if kind == "iban":
+        b = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+    if kind == "ip":
+        return all(x == str(int(x)) and int(x) < 256 for x in v.split("."))
+    if kind == "ssn":
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "secret":
+        return bool(re.search("[0-9]", v) and re.search("[A-Fa-f]", v)) and len(v) <= 128
+    if kind == "date":
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y"):
+            try:
+                return 1900 <= datetime.datetime.strptime(v, form).year < 2100
+            except ValueError:
+                pass
+        return False
+    return True
+
+
+def test_no_valid_value_stays_in_any_document(spark, sf):
+    """By patterns and checks of this file only, over all kinds; equal values of a kind get equal, different ones different pseudonyms."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = {kind: {} for kind in LOOSE}
+    for r in queries.op4_pseudonyms(spark, sf).collect():
+        for kind, pattern in LOOSE.items():
+            before = [m[0] for m in re.finditer(pattern, docs[r.doc_id]) if holds(kind, m[0])]
+            after = [m[0] for m in re.finditer(pattern, r.text) if holds(kind, m[0])]
+            assert not set(before) & set(after), (kind, r.doc_id)
+            if len(before) == len(after):
+                for b, a in zip(before, after, strict=True):
+                    assert seen[kind].setdefault(b.lower() if kind == "email" else b, a) == a
+    assert sum(map(len, seen.values())) > 50
+    for kind, found in seen.items():
+        assert len(set(found.values())) == len(found), kind
+
+
 def test_long_and_repeated_texts(spark):
     long = ("word " * 500 + "1.2.3.4 ") * 300
     got = run(spark, [long, long])
@@ -143,9 +222,11 @@ def test_values_next_to_digits_and_separators(spark):
         "1984-02-29T10:00:00Z": ["date"], "3,1984-02-29,4": ["date"], "1984-02-29/1985-03-01": ["date", "date"], "29.02.1984-01.03.1985": ["date", "date"], "邮箱john@example.com邮箱": ["email"],
         "sha256:57f17a56c90cac3e893f4491169557bdc83d8148": ["secret"], "2:078-05-1120,5": ["ssn"], "1,017-555-7713,2": ["phone"], "4111111111111111/12/27": ["card"], "root@10.0.0.1,10.0.0.2:22": ["ip", "ip"],
         "BE68 5390 0754 7034 EUR": ["iban"], "BE68539007547034 EUR 5": ["iban"], "REF AB12 BE68 5390 0754 7034 EUR": ["iban"], "3,BE68 5390 0754 7034,4": ["iban"],
-        "BE68 5390 0754 7034 4111 1111 1111 1111": ["iban", "card"], "ID42 4111 1111 1111 1111": ["card"],
+        "BE68 5390 0754 7034 4111 1111 1111 1111": ["iban", "card"], "ID42 4111 1111 1111 1111": ["card"], "4111 1111 1111 1111 123": ["card"], "4111 1111 1111 1111 12/27 123": ["card"],
+        "order 1234 4111 1111 1111 1111": ["card"], "4111-1111-1111-1111 4111 1111 1111 1111": ["card", "card"], "3782 822463 10005 1234": ["card"], "+44 20 7946 0958 2023": ["phone"], "555 017-555-7713": ["phone"],
+        "1234 1984-02-29 13": ["date"], "key aabbccddeeffaabbccddeeffaabbcc12": ["secret"], "AABBCCDDEEFFAABBCCDDEEFFAABBCCD1": ["secret"],
     }
-    stay = ["1.2.3.4.5", "v1.2.3.4", "0.4111111111111111", "4111111111111111.5", "1984-02-29-1", "1984-02-29Tx", "078-05-1120-3", "BE68 5390 0754 7035 EUR", "10.0.0.1x"]
+    stay = ["1.2.3.4.5", "v1.2.3.4", "0.4111111111111111", "4111111111111111.5", "1984-02-29-1", "1984-02-29Tx", "078-05-1120-3", "BE68 5390 0754 7035 EUR", "10.0.0.1x", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 4", "12 345 6789 1234 567 89 1234 5678", "4111111111111111123"]
     for v, (text, kinds) in zip([*cases, *stay], run(spark, [*cases, *stay]), strict=True):
         assert kinds == cases.get(v, []), v
         assert (text == v) == (v in stay), v

@@ -5,7 +5,8 @@ A validated number or date is a point of ``Z_a x Z_b`` for its format, and a key
 ``l += F(r) mod a; r += F(l) mod b``, each step invertible for any a and b. So a card stays a valid card with its
 separators, a date a valid date of the same century, and equal values get equal pseudonyms in every document.
 Mail addresses and hex secrets have no small domain; they get a keyed hash in the same form.
-Each kind has its own bounds, so values in rows, logs and timestamps are found; words behind an IBAN don't hide it.
+Each kind has its own bounds, so values in rows, logs and timestamps are found. What looks like a long number but isn't
+valid as a whole is searched again by its groups, so a code behind a card or a currency behind an IBAN doesn't hide it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free_name, let
 
 ROUNDS = 5  # each of two half rounds
 
@@ -29,8 +30,10 @@ PATTERNS = {
     "date": r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,38}",
 }
+#: A card inside a longer number: as cards are grouped, so that columns of numbers don't turn into cards.
+GROUPED_CARD = r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})"
 #: What must not stand before and behind a value of each kind, besides an ASCII letter or digit: a digit behind a separator
 #: that the kind itself has, as this makes a longer number. Other separators (those of rows, ports, paths, times) may.
 BOUNDS = {
@@ -53,8 +56,11 @@ def _any(kinds: list[str]) -> str:
 
 KINDS = [*PATTERNS]
 ANY = _any(KINDS)
-#: For what an IBAN's pattern took in, but is no part of a valid one.
+#: For what stands beside a value that was found by groups.
 INNER = _any([k for k in KINDS if k != "iban"])
+#: Kinds whose matches may hold a shorter value, and what every value has: a mail sign, seven characters of a number, a run of hex digits or an IBAN's head.
+LONG = [k for k in KINDS if k in ("iban", "phone", "card")]
+SOME = r"@|[0-9][0-9 .()/+-]{5}|[0-9a-f]{32}|[0-9A-F]{32}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
 
 #: First day and the two factors of the number of days of each century.
 CENTURIES = {"19": ("1900-01-01", 92, 397), "20": ("2000-01-01", 75, 487)}
@@ -120,7 +126,7 @@ def _card(key: Column, x: Column) -> Column:
     body = lambda d: F.substr(d, F.lit(1), F.length(d) - 1)
     checked = lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))
     new = let(_permuted(key, "card", body(d)), checked)
-    return F.when(luhn_sum(d) % 10 == 0, let(new, lambda n: _refill(x, n)))
+    return F.when(F.length(d) <= 19, F.when(luhn_sum(d) % 10 == 0, let(new, lambda n: _refill(x, n))))
 
 
 def _iban(key: Column, x: Column) -> Column:
@@ -150,8 +156,28 @@ def _ssn(key: Column, x: Column) -> Column:
     return F.when(valid, let(new, put))
 
 
+#: Days from the 13th of each month of a common year: how many come before the month.
+_LATE = [sum((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[:m]) - 12 * m for m in range(12)]
+
+
+def _late(key: Column, x: Column, century: str) -> Column:
+    """A month-first date whose day is no month, among those of its century: leap days apart, others by year and day."""
+    month, day, year = (F.substring(x, i, n).cast("bigint") for i, n in ((1, 2), (4, 2), (9, 2)))
+    put = lambda m, d, y: F.concat(F.lpad(m.cast("string"), 2, "0"), F.lit("/"), F.lpad(d.cast("string"), 2, "0"), F.lit("/" + century), F.lpad(y.cast("string"), 2, "0"))
+    before = F.array(*[F.lit(n).cast("bigint") for n in _LATE])
+    at = _pair(year, F.element_at(before, month.cast("int")) + day - 13)
+    of = lambda s: let(F.size(F.filter(before, lambda n: n <= s["r"])), lambda m: put(m, s["r"] - F.element_at(before, m) + 13, s["l"]))
+    leaps = 24 if century == "19" else 25  # 1900 is no leap year
+    first = 1 if century == "19" else 0
+    leap = let(feistel(key, f"leap{century}", _pair((year / 4).cast("bigint") - first, F.lit(0)), leaps, 1), lambda s: put(F.lit(2), F.lit(29), (s["l"] + first) * 4))
+    return F.when((month == 2) & (day == 29), leap).otherwise(let(feistel(key, f"late{century}", at, 100, _LATE[-1] + 19), of))
+
+
 def _date(key: Column, x: Column) -> Column:
-    """Permuted among the days of its century; day before month, unless only the other order is a day."""
+    """Permuted among the days of its century; day before month, unless only the other order is a day.
+
+    Forms that share a separator have disjoint sets of texts, each permuted in itself, so that no two dates of one form meet.
+    """
     out = F.lit(None).cast("string")
     forms = (("yyyy-MM-dd", r"^[0-9]{4}-", 1), ("dd/MM/yyyy", "/", 7), ("MM/dd/yyyy", "/", 7), ("dd.MM.yyyy", r"^[0-9]{2}\.", 7))
     for form, like, year in reversed(forms):
@@ -159,7 +185,7 @@ def _date(key: Column, x: Column) -> Column:
         for century, (start, a, b) in CENTURIES.items():
             at = F.datediff(day, F.lit(start).cast("date")).cast("bigint")
             new = let(feistel(key, f"date{century}", _pair(F.floor(at / b), at % b), a, b), lambda s, b=b, start=start, form=form: F.date_format(F.date_add(F.lit(start).cast("date"), (s["l"] * b + s["r"]).cast("int")), form))
-            out = F.when(x.rlike(like) & day.isNotNull() & (F.substring(x, year, 2) == century), new).otherwise(out)
+            out = F.when(x.rlike(like) & day.isNotNull() & (F.substring(x, year, 2) == century), _late(key, x, century) if form == "MM/dd/yyyy" else new).otherwise(out)
     return out
 
 
@@ -187,9 +213,9 @@ def _secret(key: Column, x: Column) -> Column:
 MAKERS: dict[str, Callable[[Column, Column], Column]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(key: Column, x: Column) -> Column:
+def pseudonym(key: Column, x: Column, patterns: dict[str, str] = PATTERNS) -> Column:
     """``struct(kind, value)`` for a found value; null if it doesn't hold for any kind whose pattern it has."""
-    tried = [F.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](key, x).alias("value"))) for kind in KINDS]
+    tried = [F.when(x.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), MAKERS[kind](key, x).alias("value"))) for kind, pattern in patterns.items()]
     return F.get(F.filter(F.array(*tried), lambda p: p["value"].isNotNull()), 0)
 
 
@@ -213,32 +239,35 @@ def _whole(key: Column, x: Column, otherwise: Column) -> Column:
 
 
 def _parted(key: Column, x: Column) -> Column:
-    """Pieces of what has an IBAN's pattern but isn't valid: the first, longest run of its words that is, and what stands beside it."""
-
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        run = lambda s, e: F.array_join(F.slice(words, s + 1, e - s), " ")
-        value = lambda t: F.when(t.rlike(f"^(?:{PATTERNS['iban']})$"), _iban(key, t))
-        at = lambda s, e: F.struct(s.alias("s"), e.alias("e"), let(run(s, e), value).alias("value"))
+    """Pieces of what has the pattern of a long number but isn't valid: the first, longest run of its groups that is, and what stands beside it."""
+    inside = {k: GROUPED_CARD if k == "card" else PATTERNS[k] for k in ("iban", "date", "ssn", "phone", "card")}
+
+    def of(groups: Column) -> Column:
+        n = F.size(groups)
+        run = lambda s, e: F.array_join(F.slice(groups, s + 1, e - s), "")
+        bare = lambda s, e: F.regexp_replace(run(s, e), "[ .-]$", "")  # noqa: E731  each group ends with its separator
+        at = lambda s, e: F.struct(s.alias("s"), e.alias("e"), let(bare(s, e), lambda t: F.struct(F.length(t).alias("n"), F.when(F.length(t).between(8, 42), pseudonym(key, t, inside)).alias("p"))).alias("v"))
         runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(n, s + 1, F.lit(-1)), lambda e: at(s, e))))
-        before = lambda r: F.when(r["s"] > 0, F.concat(run(F.lit(0), r["s"]), F.lit(" "))).otherwise("")
-        after = lambda r: F.when(r["e"] < n, F.concat(F.lit(" "), run(r["e"] + 0, n))).otherwise("")
-        put = lambda r: F.array(_piece(before(r), again=True), _piece(r["value"], F.lit("iban")), _piece(after(r), again=True))
-        return let(F.get(F.filter(runs, lambda r: r["value"].isNotNull()), F.lit(0)), lambda r: F.when(r.isNotNull(), put(r)).otherwise(F.array(_piece(x, again=True))))
+        put = lambda r: F.array(_piece(run(F.lit(0), r["s"]), again=True), _piece(r["v"]["p"]["value"], r["v"]["p"]["kind"]), _piece(F.substr(run(r["s"] + 0, n), r["v"]["n"] + 1), again=True))
+        return let(F.get(F.filter(runs, lambda r: r["v"]["p"].isNotNull()), F.lit(0)), lambda r: F.when(r.isNotNull(), put(r)).otherwise(F.array(_piece(x))))
 
-    return let(F.split(x, " "), of)
+    return let(F.split(x, "(?<=[ .-])", -1), of)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced; ``kinds_col`` gets the kinds of the replaced values in text order.
 
     Null texts stay null and texts without a value stay byte for byte; ``n_chars``, where there is one, is not touched
-    (see the pipeline). Rows are independent: repeated rows agree, no row gives none, other columns pass.
+    (see the pipeline). Rows are independent: repeated rows agree, no row gives none, other columns pass whatever their
+    names. ``kinds_col`` has to be a new name, in any letter case.
     """
+    if kinds_col and kinds_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError("the new column's name is taken")
     k = F.lit(key)
 
     def first(t: Column) -> Column:
-        return _pieces(t, ANY, lambda x: _whole(k, x, F.when(x.rlike(f"^(?:{PATTERNS['iban']})$"), _parted(k, x)).otherwise(F.array(_piece(x)))))
+        long = lambda x: x.rlike("^(?:" + "|".join(PATTERNS[kind] for kind in LONG) + ")$")
+        return _pieces(t, ANY, lambda x: _whole(k, x, F.when(long(x), _parted(k, x)).otherwise(F.array(_piece(x)))))
 
     def second(t: Column) -> Column:
         return _pieces(t, INNER, lambda x: _whole(k, x, F.array(_piece(x))))
@@ -246,12 +275,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
     def done(pieces: Column) -> Column:
         return F.flatten(F.transform(pieces, lambda p: F.when(p["again"], second(p["text"])).otherwise(F.array(p))))
 
-    # a value has a mail sign or a digit and, but for mail addresses, seven characters of a number or more
     text = F.col(text_col)
-    name = "_pseudonyms"
-    while name in docs.columns:
-        name = "_" + name
-    out = docs.withColumn(name, F.when(text.rlike(r"[0-9][0-9a-fA-F .()/+-]{5,}|@"), let(text, first)))
+    name = free_name([*docs.columns, *([kinds_col] if kinds_col else [])], "pseudonyms")
+    out = docs.withColumn(name, F.when(text.rlike(SOME), let(text, first)))
     # in two steps, as the analyzer takes a round for each lambda inside another
     out = out.withColumn(name, let(F.col(name), done))
     found = F.col(name).isNotNull()
