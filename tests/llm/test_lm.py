@@ -14,24 +14,28 @@ SIZE = max(TOK.get_vocab().values()) + 2
 
 
 def plain(rows, good):
-    """``rows``: (doc_id, text); by direct counting."""
+    """``rows``: (doc_id, text); by direct counting, each row without its own counts."""
     ids = [TOK.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+
+    def count(x):
+        return Counter(zip([SIZE - 1, *x], x)), Counter([SIZE - 1, *x][: len(x)]), Counter(x)
+
     models = []
     for take in (lambda d: True, lambda d: d in good):
-        bi, ctx, uni = Counter(), Counter(), Counter()
+        sums = (Counter(), Counter(), Counter())
         for (d, _), x in zip(rows, ids, strict=True):
             if take(d):
-                for v, w in zip([SIZE - 1, *x], x):
-                    bi[v, w] += 1
-                    ctx[v] += 1
-                    uni[w] += 1
-        models.append((bi, ctx, uni, sum(uni.values())))
+                for s, c in zip(sums, count(x), strict=True):
+                    s.update(c)
+        models.append((*sums, sum(sums[2].values()), take))
     out = []
     for (d, _), x in zip(rows, ids, strict=True):
         loss = []
-        for bi, ctx, uni, n in models:
-            p = lambda w: (uni[w] + lm.ALPHA) / (n + lm.ALPHA * SIZE)  # noqa: B023, E731
-            loss.append(sum(-math.log((bi[v, w] + lm.MU * p(w)) / (ctx[v] + lm.MU)) for v, w in zip([SIZE - 1, *x], x)) / len(x) if x else None)
+        own_bi, own_ctx, own_uni = count(x)
+        for bi, ctx, uni, n, take in models:
+            k = int(take(d))
+            p = lambda w: (uni[w] - k * own_uni[w] + lm.ALPHA) / (n - k * len(x) + lm.ALPHA * SIZE)  # noqa: B023, E731
+            loss.append(sum(-math.log((bi[v, w] - k * own_bi[v, w] + lm.MU * p(w)) / (ctx[v] - k * own_ctx[v] + lm.MU)) for v, w in zip([SIZE - 1, *x], x)) / len(x) if x else None)
         out.append((d, len(x), *loss))
     return sorted(out, key=str)
 
@@ -41,7 +45,7 @@ def check(got, want):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     for g, (_, n, b, t) in zip(got, want, strict=True):
         if n:
-            assert g[2:] == (pytest.approx(b, rel=1e-4), pytest.approx(t, rel=1e-4), pytest.approx(b - t, abs=2e-4))
+            assert g[2:] == (pytest.approx(b, rel=1e-10), pytest.approx(t, rel=1e-10), pytest.approx(b - t, abs=1e-10))
         else:
             assert g[2:] == (None, None, None)
 
@@ -57,11 +61,27 @@ def test_all_documents(spark, sf):
     assert mean([r.score for r in got if known.get(r.doc_id) is True]) > mean([r.score for r in got if known.get(r.doc_id) is False])
 
 
-@pytest.mark.parametrize("table", [lm.TABLE, 0])
-def test_edge_cases_looked_up_and_joined(spark, table):
-    rows = [(1, "good old words are good"), (1, "good old words are good"), (2, None), (3, ""), (None, "bad words"), (4, "spam spam"), (5, "word " * 30000), (6, "good")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("ids", F.lit("clash")).withColumn("row", F.lit(0))
+@pytest.mark.parametrize("unit", [lm.UNIT, 5])
+def test_edge_cases(spark, monkeypatch, unit):
+    monkeypatch.setattr(lm, "UNIT", unit)
+    rows = [(1, "good old words are good"), (1, "good old words are good"), (2, None), (3, ""), (None, "bad words"), (4, "spam spam"), (5, "word " * 30000), (6, "good"), (7, "word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("ids", F.lit("clash")).withColumn("unit", F.lit(0)).withColumn("GOOD_ID", F.lit(1))
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (6, None, 0), (4, 0, 0), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    check(lm.cross_entropy_difference(docs, labels, PATH, table=table).collect(), plain(rows, {1}))
-    check(lm.cross_entropy_difference(docs, labels.limit(0), PATH, table=table).collect(), plain(rows, set()))
-    assert lm.cross_entropy_difference(docs.limit(0), labels, PATH, table=table).count() == 0
+    check(lm.cross_entropy_difference(docs, labels, PATH).collect(), plain(rows, {1}))
+    check(lm.cross_entropy_difference(docs, labels.limit(0), PATH).collect(), plain(rows, set()))
+    check(lm.cross_entropy_difference(docs.where("doc_id in (2, 3)"), labels, PATH).collect(), [(2, 0, None, None), (3, 0, None, None)])
+    assert lm.cross_entropy_difference(docs.limit(0), labels, PATH).count() == 0
+
+
+def test_counts_beyond_the_whole_numbers_of_floats(spark):
+    """One word 18 million times in 18 rows, twice in one: every count is exact."""
+    docs = spark.range(18).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 1_000_000).alias("text")).unionByName(spark.createDataFrame([(99, "a a")], "doc_id long, text string"))
+    [a] = TOK.encode("a", add_special_tokens=False).ids
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(17)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs, labels, PATH).collect()}
+    for d, n, starts in ((99, 18_000_000, 18), (0, 17_000_002, 18), (17, 17_000_002, 18)):
+        own = got[d].n_tokens
+        p = (n + lm.ALPHA) / (n + lm.ALPHA * SIZE)
+        loss = lambda pair, context: math.log(context + lm.MU) - math.log(pair + lm.MU * p)  # noqa: B023, E731
+        want = (loss(starts, starts) + (own - 1) * loss(n - starts, n - starts)) / own
+        assert got[d].background_loss == pytest.approx(want, rel=1e-9)

@@ -134,3 +134,25 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of sorted batches, gathered by key."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row[key] != now and held:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of a schema like ``a bigint, b binary``."""
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "int": pa.int32()}
+    cols = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=names)

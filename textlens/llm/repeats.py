@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Collection, sorted_suffixes
-from .common import get_file, in_pieces, put_file, shared_dir, unzipped, written, zipped
+from .common import get_file, grouped, in_pieces, put_file, rows_of, shared_dir, unzipped, written, zipped
 
 SPAN, GRAM = 50, 20
 #: Strings of 50 bytes in a fragment at most: as many as share one occurrence of a minimizer.
@@ -136,27 +136,6 @@ class _Unit:
         return at, count, (value * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << BITS) - 1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of sorted batches, gathered by key."""
-    now, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != now and held:
-                yield now, held
-                held = []
-            now = row[key]
-            held.append(row)
-    if held:
-        yield now, held
-
-
-def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "int": pa.int32()}
-    cols = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=names)
-
-
 PARTS = "unit bigint, bucket bigint, blob binary"
 
 
@@ -212,11 +191,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = value[first]
             rows = [(number, b, np.ascontiguousarray(own[a:z].astype("<u8").view("u1").reshape(-1, 8)[:, : BITS // 8]).tobytes() + np.packbits(shared[a:z]).tobytes()) for b, a, z in by_bucket(own)]
             number += 1
-            yield _rows(PARTS, rows)
+            yield rows_of(PARTS, rows)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each unit, which of its minimizers another document has too."""
-        for bucket, rows in _grouped(batches, "bucket"):
+        for bucket, rows in grouped(batches, "bucket"):
             values, flags, sizes = [], [], []
             for r in rows:
                 n = len(r["blob"]) * 8 // (BITS + 1)
@@ -234,11 +213,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.cumsum(sizes) - sizes
             out = [(r["unit"], bucket, np.packbits(flag[a : a + n]).tobytes()) for r, a, n in zip(rows, at.tolist(), sizes, strict=True) if flag[a : a + n].any()]
             if out:
-                yield _rows(PARTS, out)
+                yield rows_of(PARTS, out)
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The fragments of each unit's shared minimizers, each content once, with the smallest document that has it."""
-        for number, rows in _grouped(batches, "unit"):
+        for number, rows in grouped(batches, "unit"):
             unit = _Unit.get(f"{base}/unit-{number}")
             at, count, value = unit.runs()
             own, which = np.unique(value, return_inverse=True)
@@ -265,11 +244,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 whole = matrix[first][np.arange(WIDTH) < (n + SPAN - 1)[:, None]]
                 out.append((number, b, zipped(n.astype("u1"), least, whole)))
             put_file(f"{base}/hot-{number}", zipped(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u4")))
-            yield _rows(PARTS, out)
+            yield rows_of(PARTS, out)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sort the suffixes of a bucket's fragments; answer each unit."""
-        for bucket, rows in _grouped(batches, "bucket"):
+        for bucket, rows in grouped(batches, "bucket"):
             counts, docs_, matrices, sizes = [], [], [], []
             for r in rows:
                 n, least, whole = unzipped(r.pop("blob"), "u1", "<i8", "u1")
@@ -292,12 +271,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for r, n in zip(rows, sizes, strict=True):
                 out.append((r["unit"], bucket, zipped(np.concatenate([answer[k] for k in kind[at : at + n].tolist()]))))
                 at += n
-            yield _rows(PARTS, out)
+            yield rows_of(PARTS, out)
 
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _grouped(batches, "unit"):
+        for number, rows in grouped(batches, "unit"):
             unit = _Unit.get(f"{base}/unit-{number}")
             start = np.zeros(len(unit.data), dtype=bool)
             blobs = {r["bucket"]: r["blob"] for r in rows if r["bucket"] >= 0}
@@ -324,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = unit.data[a:z][~g].tobytes()
                 spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
                 out.append((int(unit.ids[i]) if unit.known[i] else None, z - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            yield _rows(result, out)
+            yield rows_of(result, out)
 
     minimizers = slim.mapInArrow(collect, PARTS)
     hot = written(minimizers.repartition(buckets, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(shared, PARTS), "repeats-shared")
