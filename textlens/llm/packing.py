@@ -2,7 +2,8 @@
 
 A document of ``n`` tokens is cut into ``n // max_len`` pieces of ``max_len`` and one piece for each binary digit of the
 rest, longest first. Every piece is a sequence of its own whose length is a power of two, so no sequence crosses
-documents and none is padded; sequences of equal length form a bucket, from which batches are drawn.
+documents and none is padded. Sequences of equal length form a bucket, from which batches are drawn: each bucket is
+a folder of its own in the shared folder, written by the tasks that cut the documents, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import in_pieces
+from .common import in_pieces, shared_dir
 from . import tokens
 
 MAX_LEN, END = 2048, 1
@@ -29,12 +31,12 @@ def pieces(n: int, max_len: int = MAX_LEN) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end: int = END, with_ids: bool = True) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, ``ids`` if asked for, and ``bucket``.
 
     ``tokenizer`` is the path of a tokenizer file that every executor has; ``max_len`` is a power of two. Null and empty texts have the end token only; rows with
     null or equal ids are packed each on its own; an empty table gives no row; other columns are not read. Tasks number
-    their sequences (upper bits: the task), so ids agree between runs as long as the table's files do. Within a batch
-    of documents rows come bucket by bucket.
+    their sequences (upper bits: the task), so ids agree between runs as long as the table's files do. The result is a
+    table in the shared folder with a folder for each bucket (its length), which a reader prunes by ``bucket``.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len has to be a power of two")
@@ -69,9 +71,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype("int32"))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return in_buckets(packed, shared_dir(docs.sparkSession, "packing"))
 
 
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write the sequences in one folder per length, ready for batches of equal length."""
-    packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+def in_buckets(packed: DataFrame, path: str) -> DataFrame:
+    """``packed`` as a table at ``path`` with one folder per length, ready for batches of equal length."""
+    packed.withColumn("bucket", F.col("length")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+    schema = T.StructType([*packed.schema.fields, T.StructField("bucket", T.LongType())])
+    return packed.sparkSession.read.schema(schema).parquet(path)

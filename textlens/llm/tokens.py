@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Marks that a word may carry at its ends and that the tokenizer always cuts off; none is part of a special token.
-EDGES = '.,;:!?()"'
+#: Marks at the ends of a word, which the tokenizer cuts off as one run; none composes with a letter or is part of a special token.
+EDGES = r""".,;:!?()"#$%&*+-/=@[\]^_`{}~"""
 
 
 @lru_cache(maxsize=1)
@@ -55,25 +56,29 @@ class WordTokenizer:
                 for w in some:
                     self.words[w] = self._plain(w)
 
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        cut, need = [], set()
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            core = s.strip(EDGES)
-            if core.isalpha() and "Σ" not in core:
-                at = s.index(core)
-                low = core.lower()
-                cut.append((c, s[:at], low, s[at + len(core) :]))
-                if low.isalpha():
-                    need.add(low)
-                    continue
-                cut.pop()
-            self.chunks[c] = self._plain(s)
+    def _learn(self, chunks: list[bytes]) -> None:
+        whole = b"\n".join(chunks).decode("utf-8", "replace")
+        plain, cut, need = [], [], set()
+        odd = "Σ" in whole  # its lower case depends on where it stands
+        for c, s, low in zip(chunks, whole.split("\n"), whole.lower().split("\n"), strict=True):
+            core = low.strip(EDGES)
+            if core.isalpha() and not (odd and "Σ" in s):
+                need.add(core)
+                cut.append((c, low, core))
+            else:
+                plain.append((c, s))
         if len(self.words) + len(need) > self.most:  # what is in use now stays
             self.words = {w: self.words[w] for w in need if w in self.words}
         self._letters([w for w in need if w not in self.words])
-        for c, before, low, after in cut:
-            self.chunks[c] = self._mark(before) + self.words[low] + self._mark(after)
+        words, known = self.words, self.chunks
+        for c, low, core in cut:
+            if len(core) == len(low):
+                known[c] = words[core]
+            else:
+                before, after = low.split(core, 1)
+                known[c] = self._mark(before) + words[core] + self._mark(after)
+        for c, s in plain:
+            known[c] = self._plain(s)
 
     def _mark(self, s: str) -> bytes:
         if not s:
@@ -84,12 +89,15 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
+        new = set(chain.from_iterable(split))
         if len(self.chunks) + len(new) > self.most:  # what is in use now stays
             self.chunks = {c: self.chunks[c] for c in new if c in self.chunks}
-        known = self.chunks
-        new.difference_update(known)
-        self._learn(new)
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype=self.dtype) for words in split]
+        new.difference_update(self.chunks)
+        if new:
+            gc.disable()  # many small objects that stay, none in a cycle
+            try:
+                self._learn(list(new))
+            finally:
+                gc.enable()
+        ids = self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)), dtype=self.dtype) for words in split]
