@@ -82,7 +82,7 @@ def tokens(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, base: st
                 some = batch.slice(start, ROWS)
                 if rows and rows + some.num_rows > ROWS:
                     yield put()
-                held += tok.encode_all(some.column("text").to_pylist())
+                held += tok.encode_all(some.column("text"))
                 ids.append(some.column("doc_id"))
                 size, rows = sum(map(len, held[rows:])) + size, len(held)
                 if size >= UNIT:

@@ -47,9 +47,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         tok = tokens.tokenizer(tokenizer)
         number = TaskContext.get().partitionId() << 40
         for batch in in_pieces(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
             doc, start, length, crc, total, ids = [], [], [], [], [], []
-            for d, got in enumerate(tok.encode_all(texts)):
+            for d, got in enumerate(tok.encode_all(batch.column("text"))):
                 own = np.append(got.astype("<u4"), np.uint32(end))
                 at, raw = 0, own.tobytes()
                 for n in pieces(len(own), max_len):
