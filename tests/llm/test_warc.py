@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -55,3 +56,39 @@ def test_damaged_archive_gives_records_before_the_damage(spark, tmp_path):
     (tmp_path / "b" / "part-0.txt").write_bytes(data[:cut] + b"junk" + data[cut:])
     got = {r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/b", 2000).collect()}
     assert got == set(range(20))
+
+
+def record(i, payload, version="1.0", extra=""):
+    digest = hashlib.sha256(payload).hexdigest()
+    return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n{extra}WARC-Payload-Digest: sha256:{digest}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+
+def test_long_urls_and_line_ends_are_kept(spark, tmp_path):
+    url = "data:text/plain," + "x" * 100_000 + "\r\nend"
+    pages = spark.createDataFrame([(i, url if i % 3 == 0 else "u", f"<p>{i}</p>" * 20) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/a")
+    text = next((tmp_path / "a").glob("part-*")).read_bytes().decode()
+    assert text.count("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A") + "\r\n") == 10
+    for size in (1000, 70_000, 1 << 20):
+        assert sorted(r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/a", size).collect()) == [*range(30)]
+
+
+def test_gzip_members_and_both_versions(spark, tmp_path):
+    """One member a record, one for all, and payloads that hold whole members of their own."""
+    inner = gzip.compress(record(999, b"inner" * 50))
+    payloads = {i: bytes(f"page {i} " * 40, "ascii") + (inner if i % 4 == 0 else b"") for i in range(40)}
+    parts = [record(i, p, "1.1" if i % 2 else "1.0", "X: " + "y" * 70_000 + "\r\n" if i == 7 else "") for i, p in payloads.items()]
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(p, i % 10) for i, p in enumerate(parts[:30])))
+    (tmp_path / "all.warc.gz").write_bytes(gzip.compress(b"".join(parts[30:])))
+    (tmp_path / "plain.warc").write_bytes(b"".join(record(100 + i, p, "1.1") for i, p in payloads.items()))
+    for size in (1000, 1 << 20):
+        got = {r.page_id: r for r in warc.read_records(spark, f"file://{tmp_path}", size).collect()}
+        assert set(got) == {*payloads, *(100 + i for i in payloads)}
+        for i, p in payloads.items():
+            for r in (got[i], got[100 + i]):
+                assert (r.payload_bytes, r.payload_digest, r.stated_digest) == (len(p), hashlib.sha256(p).hexdigest(), hashlib.sha256(p).hexdigest())
+    data = (tmp_path / "each.warc.gz").read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(data[: len(data) // 2])
+    some = [r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/cut", 500).collect()]
+    assert sorted(some) == [*range(len(some))] and 0 < len(some) < 30

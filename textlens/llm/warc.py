@@ -5,12 +5,17 @@ payload. Tasks therefore emit every candidate with its successor, the offset at
 this one is real. From the first byte of each file the successors form the one true chain; pointer jumping (doubling
 the step each round) finds what it reaches. Tasks follow chains inside their range at once, so jumps go from range to
 range and the rounds are the logarithm of a file's ranges. Magic in payloads is never reached.
+
+In ``.gz`` archives the links of the chain are gzip members: a candidate is what decompresses to its checksum and starts
+with a record, its successor the byte after. A member may hold one record or many.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,16 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, shared_dir, written
 
-MAGIC = b"WARC/1.0\r\n"
-#: Bytes of a task's range, and the longest header.
-RANGE, HEADER = 4 << 20, 1 << 16
+MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+GZIP = b"\x1f\x8b\x08"
+#: Bytes of a task's range, of a block that is read, and of the longest header: beyond, a record is an error.
+RANGE, BLOCK, HEADER = 4 << 20, 1 << 16, 64 << 20
 LEAST_REVISIT = 100
 RECORDS = "page_id bigint, record_type string, refers_to bigint, stated_digest string, payload_bytes bigint, payload_digest string"
 
 
 def _line(name: str, value: Column) -> Column:
-    """A header line, or nothing if the value is null; line ends in values become spaces."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit("\r\n")), F.lit(""))
+    """A header line, or nothing if the value is null; line ends in values are written as in URLs."""
+    bare = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.coalesce(F.concat(F.lit(f"{name}: "), bare, F.lit("\r\n")), F.lit(""))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z") -> None:
@@ -45,11 +52,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     head = F.concat(
-        F.lit(MAGIC.decode()),
+        F.lit("WARC/1.0\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", urn(F.col("id"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.substring(F.col("url"), 1, HEADER // 8)),
+        _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
         _line("WARC-Refers-To", F.when(revisit, urn(F.col("first")))),
@@ -60,20 +67,86 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.select(F.concat(head, body).alias("record")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
-    """The fields of a record header and its length with the blank line; None if it isn't one."""
-    if not data.startswith(MAGIC, at):
-        return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+def parse_header(more: Callable[[], bytes], data: bytes = b"") -> tuple[dict[str, str], bytes, int] | None:
+    """The fields of a record header, what was read beyond it, and its length with the blank line; None if it isn't one.
+
+    ``more`` gives the next bytes, so headers may be longer than a block; what is no header is left at its first odd line.
+    """
+    seen = 0  # up to where lines are known to be fields
+    while True:
+        end = data.find(b"\r\n\r\n", max(0, seen - 4))
+        whole = data[seen : end + 2] if end >= 0 else data[seen : data.rfind(b"\r\n") + 2] if b"\r\n" in data[seen:] else b""
+        if not seen and (whole or len(data) >= 10) and not MAGIC.match(data):
+            return None
+        if any(b":" not in line for line in whole.split(b"\r\n")[int(not seen) : -1]):
             return None
-        fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4 - at) if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
+        if end >= 0:
+            break
+        seen += len(whole)
+        block = more()
+        if not block:
+            return None
+        data += block
+        if len(data) > HEADER:
+            raise ValueError(f"a header of more than {HEADER} bytes")
+    pairs = (line.partition(b":") for line in data[:end].split(b"\r\n")[1:])
+    fields = {name.strip().lower().decode("ascii", "replace"): value.strip().decode("utf-8", "replace") for name, _, value in pairs}
+    size = fields.get("content-length", "")
+    return (fields, data[end + 4 :], end + 4) if size.isascii() and size.isdigit() else None
+
+
+def _reader(f, at: int) -> Callable[[], bytes]:
+    """Blocks of a file from a place."""
+    place = at
+
+    def more() -> bytes:
+        nonlocal place
+        f.seek(place)
+        block = f.read(BLOCK)
+        place += len(block)
+        return block
+
+    return more
+
+
+class _Member:
+    """A gzip member as it is decompressed: ``read`` gives its bytes block by block, ``stop`` is the byte after it once they are all read."""
+
+    def __init__(self, f, at: int):
+        self.f, self.place, self.z, self.stop, self.rest = f, at, zlib.decompressobj(31), None, b""
+
+    def read(self) -> bytes:
+        while self.stop is None:
+            if not self.rest:
+                self.f.seek(self.place)
+                self.rest = self.f.read(BLOCK)
+                self.place += len(self.rest)
+                if not self.rest:
+                    raise zlib.error("the member is cut off")
+            out = self.z.decompress(self.rest, 1 << 20)
+            self.rest = self.z.unconsumed_tail
+            if self.z.eof:
+                self.stop = self.place - len(self.z.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def _successor(f, at: int, packed: bool) -> int | None:
+    """Where the next record (or member) has to start if there is one here."""
+    if packed:
+        member, head = _Member(f, at), b""
+        try:
+            while block := member.read():
+                head = (head + block)[:10]
+            return member.stop if MAGIC.match(head) else None
+        except zlib.error:
+            return None
+    try:
+        found = parse_header(_reader(f, at))
+    except ValueError:  # not one that a reader would take, unless the chain comes here
+        return None
+    return at + found[2] + int(found[0]["content-length"]) + 4 if found else None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +154,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, fid, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "fid", "start", "stop")), strict=True):
             fs, p = filesystem(path)
+            packed = path.endswith(".gz")
             with fs.open_input_file(p) as f:
                 f.seek(start)
-                data = f.read(stop - start + HEADER)
-            own = stop - start
-            succ: dict[int, int] = {}
-            at = data.find(MAGIC)
-            while 0 <= at < own:
-                if found := parse_header(data, at):
-                    succ[start + at] = start + at + found[1] + int(found[0]["content-length"]) + 4
-                at = data.find(MAGIC, at + 1)
+                data = f.read(stop - start + 10)
+                own = stop - start
+                succ: dict[int, int] = {}
+                for m in re.finditer(re.escape(GZIP) if packed else MAGIC, data):
+                    if m.start() < own and (to := _successor(f, start + m.start(), packed)) is not None:
+                        succ[start + m.start()] = to
             leaves: dict[int, int | None] = {}
             for o in sorted(succ, reverse=True):
                 leaves[o] = succ[o] if succ[o] >= stop else leaves.get(succ[o])
@@ -114,32 +186,51 @@ def reached(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return found
 
 
+def _record(fields: dict[str, str], block: bytes, more: Callable[[], bytes]) -> tuple[tuple | None, bytes]:
+    """The row of a record whose header was read (None if its payload is cut off), and what was read beyond its end."""
+    number = lambda urn: int(urn[10:-1]) if re.fullmatch("<urn:page:-?[0-9]+>", urn or "") else None
+    size = left = int(fields["content-length"])
+    digest = hashlib.sha256()
+    while left and (block or (block := more())):
+        digest.update(block[:left])
+        left, block = left - min(left, len(block)), block[left:]
+    row = (number(fields.get("warc-record-id")), fields.get("warc-type"), number(fields.get("warc-refers-to")), fields.get("warc-payload-digest", "").removeprefix("sha256:"), size - left, digest.hexdigest())
+    while len(block) < 4 and (then := more()):
+        block += then
+    return None if left else row, block[4:]
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the verified chain inside each range, reading payloads in blocks."""
-    number = lambda urn: int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
     for batch in batches:
         for path, at, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "stop")), strict=True):
             rows = []
             fs, p = filesystem(path)
             with fs.open_input_file(p) as f:
-                while at < stop:
-                    f.seek(at)
-                    data = f.read(HEADER)
-                    if not (found := parse_header(data)):
-                        break
-                    fields, head = found
-                    left, digest, block = int(fields["content-length"]), hashlib.sha256(), data[head:]
-                    at += head + left + 4
-                    n = 0
-                    f.seek(at - left - 4 + min(left, len(block)))
-                    block = block[:left]
-                    while block:
-                        digest.update(block)
-                        n += len(block)
-                        left -= len(block)
-                        block = f.read(min(left, 1 << 20)) if left else b""
-                    rows.append((number(fields.get("warc-record-id")), fields.get("warc-type"), number(fields.get("warc-refers-to")), fields.get("warc-payload-digest", "").removeprefix("sha256:"), n, digest.hexdigest()))
+                if path.endswith(".gz"):
+                    while at is not None and at < stop:
+                        member, rest = _Member(f, at), b""
+                        try:
+                            while found := parse_header(member.read, rest):
+                                row, rest = _record(found[0], found[1], member.read)
+                                if row is None:
+                                    break
+                                rows.append(row)
+                            while member.read():  # what is no record
+                                pass
+                        except zlib.error:
+                            break
+                        at = member.stop
+                else:
+                    more, rest = _reader(f, at), b""
+                    while at < stop and (found := parse_header(more, rest)):
+                        size = int(found[0]["content-length"])
+                        row, rest = _record(found[0], found[1], more)
+                        if row is None:
+                            break
+                        rows.append(row)
+                        at += found[2] + size + 4
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -147,10 +238,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """The records of all archives in a folder: page id, type, what it refers to, stated digest, and size and digest of the payload as read.
 
-    Bytes that the chain from a file's start doesn't reach are no record, whatever they look like; a damaged file gives its
-    records up to the damage. An empty folder gives no row.
+    Versions 1.0 and 1.1; files that end in ``.gz`` are gzip members, one or many. Bytes that the chain from a file's start
+    doesn't reach are no record, whatever they look like; a damaged file gives its records up to the damage. Headers may
+    be of any length up to ``HEADER``; a longer one on the chain is an error, not a loss. An empty folder gives no row.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.xxhash64("path").alias("fid"), "length")
+    files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("fid"), "length")
     files = written(files, "warc-files")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = files.where("length > 0").select("path", "fid", F.explode(starts).alias("start"), F.col("length")).withColumn("stop", F.least(F.col("start") + range_bytes, F.col("length")))
