@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textlens.functions import segment
 from textlens.plans import cli, jobs
 from textlens.profiles import LATIN, ZH
 from textlens.sources import corpus, sinks
@@ -39,9 +40,19 @@ def test_scan(spark, tree):
 def test_jobs_and_sinks(spark, tree):
     words = spark.createDataFrame([("方向", 50), ("你好", 40)], "term string, freq long")
     o = jobs.Options(f"{tree}/in", "甲类", 3, "人设", None, {"主题": "海"})
-    context = jobs.distil(spark, o, jobs.fingerprint.latin_tokens if words is None else __import__("textlens.functions.segment", fromlist=["x"]).segmenter(words))
+    context = jobs.distil(spark, o, segment.segmenter(words))
     text = context.first()[0]
-    assert text.count("### ") == 3 and "你好" in text
+    assert text.count("### 源文") == 3 and "你好" in text and "生成硬性约束" not in text
+    cut = segment.segmenter(words)
+    both, picked = jobs.fuse(spark, o, [f"{tree}/in/b/0.txt", f"{tree}/in/b/1.txt"], cut)
+    text = both.first()[0]
+    names = [line.split(": ")[1] for line in text.split("\n") if line.startswith("### 源文")]
+    assert names[:2] == ["0.txt", "1.txt"] and len(names) == 5 and picked.count() == 3
+    assert text.startswith("你是") and "- 禁用: 圣母" in text and "一切都在, 她心想" in text and text.endswith("说明。\n") and "| 独特道具 |" in text
+    with pytest.raises(ValueError):
+        jobs.fuse(spark, o, [f"{tree}/in/b/0.txt"], cut, least_kb=100)
+    with pytest.raises(ValueError):
+        jobs.fuse(spark, jobs.Options(f"{tree}/in"), [], cut)
     files = spark.createDataFrame([("prompt_character.md", "头\n<!-- FILE_SECTION: 人设生成器 -->\n说\n---\n模板A\n---\nB")], "file string, content string")
     outputs = spark.createDataFrame([("灵感风暴_result.txt", "前文")], "file string, text string")
     prompt = jobs.stage_prompt(spark, o, files, outputs, context).first().prompt
@@ -66,7 +77,9 @@ def test_jobs_and_sinks(spark, tree):
 def test_command_line(spark, tree, monkeypatch, capsys):
     assert cli.parameters("{bad")[0] == {} and cli.parameters('{"a": [1]}')[0] == {"a": "[1]"}
     answers = iter(["a=b", "c= ", ""])
-    assert cli.asked(lambda _: next(answers)) == {"a": "b"}
+    assert cli.asked(None, lambda _: next(answers)) == {"a": "b"}
+    answers = iter(["古代言情", " ", "女频"])
+    assert cli.asked("脑洞", lambda _: next(answers)) == {"小说类型": "古代言情", "目标受众": "女频"}
     story = tree / "story.txt"
     story.write_text("One. Two! \"Three\"\r\nfour.", encoding="utf-8")
     assert cli.main(["check", str(story), "--profile", "latin", "-o", f"{tree}/out", "--unknown"]) == 0
@@ -74,6 +87,15 @@ def test_command_line(spark, tree, monkeypatch, capsys):
     assert cli.main(["audit", str(story), str(story), "--profile", "latin", "-o", f"{tree}/out"]) == 0
     assert cli.main(["check", f"{tree}/missing.txt", "-o", f"{tree}/out"]) == 1
     assert "ignored" in capsys.readouterr().err
+    report = (tree / "story_check_report.txt").read_text(encoding="utf-8")
+    assert "letters: 15\ngenre: default" in report and "  dialogue_density: 26.7\n" in report and "  paragraph_length: 11\n" in report and "total: " in report
+    for i in range(3):
+        (tree / "in" / "b" / f"{i}.txt").write_text("Some words. And more!", encoding="utf-8")
+    assert cli.main(["fuse", str(story), "--corpus", f"{tree}/in", "-c", "b", "-n", "2", "--max-kb", "0.5", "--profile", "latin", "-o", f"{tree}/out"]) == 0
+    text = "".join(p.read_text(encoding="utf-8") for p in (tree / "out" / "fusion_context").glob("part-*"))
+    assert text.count("### ") == 3 and "No passage of 16 characters" in text and "None of these patterns: of the" in text
+    assert "drawn from b:" in capsys.readouterr().out
+    assert cli.main(["fuse", str(story), "--profile", "latin", "-o", f"{tree}/out"]) == 1
 
 
 def test_streams(spark, tree, sf):

@@ -92,13 +92,38 @@ def test_overlap(spark):
     alphabet = [chr(0x4E00 + i) for i in range(200)]
     rng = random.Random(2)
     base = "".join(rng.choices(alphabet, k=300))
-    assert one(spark, lambda c: F.size(overlap.strided(c)), *[base[:n] for n in (0, 15, 16, 17, 21, 22, 27)]) == [0, 0, 0, 1, 1, 2, 3]
+    cut = spark.createDataFrame([(n, base[:n]) for n in (0, 15, 16, 17, 21, 22, 27)] + [(99, None)], "source_id int, text string")
+    assert {r.source_id: r["count"] for r in overlap.wanted_grams(cut, ZH).groupBy("source_id").count().collect()} == {17: 1, 21: 1, 22: 2, 27: 3}
     stories = [(i, base[:50] + "，" + base[i * 10 : i * 10 + 40 + i]) for i in range(8)] + [(9, ""), (10, "无关")]
     sources = [(1, base), (2, base[40:140] * 2), (3, "短"), (4, "")]
     s, r = spark.createDataFrame(stories, "doc_id int, text string"), spark.createDataFrame(sources, "source_id int, text string")
     got = {(x.doc_id, x.source_id): (x.matches, x.verdict) for x in overlap.overlap_grid(s, r, ZH).collect()}
     assert got == {(i, j): (n, "FAIL" if n else "OK") for i, a in stories for j, b in sources for n in (plain_overlap(a, b),)}
     assert {x.doc_id for x in overlap.originals(s, r, ZH).collect()} == {9, 10}
+    report = {(x.doc_id, x.source_id): x.verdict for x in overlap.overlap_report(s, r, ZH).collect()}
+    assert report == {k: "FAIL" for k, (_, verdict) in got.items() if verdict == "FAIL"} | {(9, None): "OK", (10, None): "OK"}
+    with pytest.raises(ValueError):
+        overlap.overlap_grid(s, r, ZH, most=5)
+
+
+def test_overlap_drops_what_the_old_pattern_dropped(spark):
+    """Every code point of the basic plane: the look-up's own normalisation is that of the column function."""
+    from textlens.functions import text as X
+
+    points = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in points], "c string").select("c", X.normalised(F.col("c"), ZH).alias("n")).collect()
+    table = overlap._dropped(ZH.dropped)
+    assert [r.c for r in rows if (r.n == "") != bool(table[ord(r.c)])] == []
+
+
+def test_overlap_with_chance_hits_and_characters_beyond_the_basic_plane(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choices("😀𠀀甲é", k=4000))
+    stories = [(i, base[i * 100 : i * 100 + 60] + "".join(rng.choices("abc", k=300))) for i in range(20)] + [(30, None)]
+    sources = [(1, base), (2, "".join(rng.choices("abc", k=3000)))]
+    s, r = spark.createDataFrame(stories, "doc_id int, text string"), spark.createDataFrame(sources, "source_id int, text string")
+    got = {(x.doc_id, x.source_id): x.matches for x in overlap.overlap(s, r, ZH, bits=15).collect()}  # many n-grams share a bit
+    assert got == {(i, j): n for i, a in stories for j, b in sources if (n := plain_overlap(a or "", b))}
 
 
 @pytest.mark.parametrize("compat,words,want", [(False, None, {"苏暖", "赵天豪"}), (True, [("无", 1)], {"苏暖"}), (False, [("赵天豪", 900)], {"苏暖"})])
@@ -109,6 +134,8 @@ def test_names(spark, compat, words, want):
     assert {r.name for r in found.collect()} == want
     assert names.cast_findings(found, df).first().severity == "pass"
     assert sorted(tuple(r) for r in names.aliases(df).collect()) == [(1, "苏暖", "苏暖暖"), (1, "苏暖", "苏暖走")]
+    known = spark.createDataFrame([("苏暖走", 900)], "term string, freq long")
+    assert sorted(tuple(r) for r in names.aliases(df, known).collect()) == [(1, "苏暖", "苏暖暖")]
 
 
 def test_names_of_compound_surnames_and_none(spark):
@@ -137,7 +164,9 @@ def test_rules_on_chinese_text(spark):
     assert got["length", ""][0] == "issue" and got["climax", ""] == ("pass", 1.0) and got["setup", ""][0] == "pass"
     assert got["thinking", "心想"] == ("warn", 1.0) and got["long_paragraph", ""] == ("warn", 1.0) and got["ending_power", ""] == ("pass", 2.0)
     assert ("emotion_density", "") not in {(r.rule, r.term) for r in found.where("doc_id = 2").collect()}
-    assert rules.totals(found).count() == 2
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    for t in rules.totals(df, ZH).collect():
+        assert (t.passes, t.warns, t.issues) == tuple(found.where((F.col("doc_id") == t.doc_id) & (F.col("severity") == s)).count() for s in ("pass", "warn", "issue"))
     audit = rules.findings(spark.createDataFrame([(1, "无句")], "doc_id int, text string").withColumn("text", F.lit("abc")), ZH, rules=rules.audit_rules)
     assert {(r.rule, r.value) for r in audit.collect()} >= {("exclamations_per_sentence", None), ("fixed_rules", 0.0)}
 

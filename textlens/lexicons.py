@@ -64,6 +64,76 @@ STAGES = [
     ("扩写", "prompt_expand.md", "扩写"),
 ]
 
+# The texts of a context, in the order in which they stand in it.
+ZH_CONTEXT: dict[str, str] = {
+    "opening": "你是熔铸仿写引擎。按以下流程生成一篇约10000字的番茄风格短篇小说。\n",
+    "sources": "## 第一步: 阅读5份指纹\n",
+    "source": "### 源文{i}: {name}",
+    "counts": "字数: {chars} | 句数: {sentences}",
+    "ratios": "!/句: {exclamations} | ,/句: {commas}",
+    "terms": "高频人名: {terms}",
+    "lines": "\n开篇30行:\n{opening}",
+    "dimensions": """## 第二步: 从5篇中提取公约数
+
+按以下维度对比5篇，提取公约数(≥3篇共有) AND 剔除作者指纹(1-2篇独有)：
+
+| 维度 | 文1 | 文2 | 文3 | 文4 | 文5 | 公约数 |
+|---|---|---|---|---|---|---|
+| 死亡方式 | ? | ? | ? | ? | ? | 从5篇中最少出现的那种里面挑一个全新的 |
+| 重生触发 | ? | ? | ? | ? | ? | 公约数保留 |
+| 背景设定 | ? | ? | ? | ? | ? | 挑一个5篇都不用的全新设定 |
+| 背叛者 | ? | ? | ? | ? | ? | 公约数保留 |
+| 复仇手段 | ? | ? | ? | ? | ? | 从5篇都不用的方法中自创 |
+| 独特道具 | ? | ? | ? | ? | ? | 剔除，自创全新 |
+""",
+    "constraints": """## 第三步: 用公约数生成
+
+死亡方式和背景必须是你自创的，不能跟任何一篇源文相同或相似。
+如果犹豫一个设定是否太像某篇源文 → 换掉。宁可远，不可近。
+目标: 朱雀对着5篇源文扫描输出的16字连续子串，一个都匹配不到。
+""",
+    "rules": """
+## 生成硬性约束
+
+### 标点禁令
+- 永远禁止: ； ！！！ ？！ 「」
+- 不用引号，对话用 名字：或裸嵌入
+
+### 禁用句式(一个都不能出现):
+{patterns}
+
+### 禁用模板描写(一个都不能出现):
+{templates}
+
+### 风格规则
+- 第一人称
+- 数字分节: 1 2 3...(裸数字，无标题)
+- 分隔符: ……
+- 精确数字: 金额/时间/数量精确到个位
+- 压缩情感循环: 每弧≤8句
+- 巧合推动情节: ≥1次意外发现
+- 短段快节奏: 一段=一个动作/一句对话/一个念头
+- 每段同时存在≤5字句和≥40字句
+- 句式突变: 相邻3句不同结构
+- 番茄小白话: 小学六年级词汇为主,复句≤30%
+- 零思维标记: 禁用 心想/意识到/感到/觉得/认为
+- 多主语修复: 无 他他他/她她她 连续序列
+- 语域碰撞: 100字内正式+粗俗并置≥1次
+- 刻意词汇重复: 500字内关键词≥3次
+- 人设标签(≥3): 杀伐果断/清醒独立/拒绝内耗/黑莲花/人间清醒/搞钱脑
+- 禁用: 圣母/优柔寡断/憋屈/精神内耗
+""",
+    "output": "\n## 输出\n直接输出故事正文。不要前言、后记、说明。\n",
+}
+
+# What a stage asks for in an interactive run.
+STAGE_QUESTIONS: dict[str, list[tuple[str, str]]] = {
+    "脑洞": [("小说类型", "如：古代言情/都市复仇/玄幻系统"), ("核心卖点", "如：重生复仇/金手指爽文/马甲大佬"), ("目标受众", "如：女频/男频")],
+    "人设": [("主角人设", "如：杀伐果断/清醒独立/黑莲花"), ("金手指类型", "如：系统/空间/预知")],
+    "开篇": [("开篇风格", "如：爽文直给/慢热铺垫/悬念切入")],
+    "正文": [("开篇风格", "如：爽文直给/慢热铺垫/悬念切入")],
+}
+
 # Our own lists for Latin-script corpora.
 LATIN_LISTS: dict[str, list[str]] = {
     "banned_marks": [";", "!!", "?!"],
@@ -82,3 +152,16 @@ LATIN_GENRES = {
     "default": {"climax": ["er", "st"], "emotion": ["ing", "tion", "ment", "ung", "ado"], "setup": ["Th", "La", "De"]},
     "plain": {"climax": ["on"], "emotion": ["an", "en"], "setup": ["A"]},
 }
+LATIN_CONTEXT = {
+    "opening": "Write a short story in the manner that these sources share.\n",
+    "sources": "## Sources\n",
+    "source": "### {i}: {name}",
+    "counts": "letters: {chars} | sentences: {sentences}",
+    "ratios": "exclamations a sentence: {exclamations} | commas a sentence: {commas}",
+    "terms": "frequent terms: {terms}",
+    "lines": "\nopening:\n{opening}",
+    "dimensions": "## Shared traits\n\n| trait | shared |\n|---|---|\n| setting | ? |\n| conflict | ? |\n",
+    "constraints": "## Constraints\n\nNo passage of 16 characters of any source.\n",
+    "rules": "\n## Rules\n\nNone of these patterns: {patterns}\nNone of these phrases: {templates}\n",
+    "output": "\n## Output\nThe story only.\n",
+}

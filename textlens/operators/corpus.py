@@ -54,14 +54,22 @@ def require(df: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     return df
 
 
-def with_any(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """Rows that contain some term of a lexicon table."""
-    return df.join(F.broadcast(terms.select(F.col(term_col).alias("_term"))), F.contains(F.col(text_col), F.col("_term")), "left_semi")
+def _any_of(terms: DataFrame, text_col: str, term_col: str, most: int) -> Column:
+    """Whether the text contains some term; the terms are held by every task, so there may be ``most`` of them."""
+    rows = terms.select(term_col).where(F.col(term_col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the lexicon has more than {most} terms")
+    return F.exists(F.array(*[F.lit(r[0]) for r in rows]).cast("array<string>"), lambda k: F.contains(F.col(text_col), k))
 
 
-def without_any(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """Rows that contain none."""
-    return df.join(F.broadcast(terms.select(F.col(term_col).alias("_term"))), F.contains(F.col(text_col), F.col("_term")), "left_anti")
+def with_any(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most: int = 10_000) -> DataFrame:
+    """Rows that contain some term of a lexicon table of at most ``most`` terms."""
+    return df.where(_any_of(terms, text_col, term_col, most))
+
+
+def without_any(df: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term", most: int = 10_000) -> DataFrame:
+    """Rows that contain none; null texts contain none."""
+    return df.where(~F.coalesce(_any_of(terms, text_col, term_col, most), F.lit(False)))
 
 
 def term_counts(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,30 +50,43 @@ def before(t: Column, n: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(t, F.concat(F.lit("(?s)(?:^|(?<=(.)))"), X.escaped(n)), F.lit(1)))
 
 
+def occurrences(t: Column, n: Column) -> Column:
+    return ((F.length(t) - F.length(F.replace(t, n, F.lit("")))) / F.length(n)).cast("long")
+
+
 def verified(rows: DataFrame, dictionary: DataFrame, compat: bool = False) -> DataFrame:
-    """``doc_id, text, name`` rows that hold against ``term, freq``. ``compat`` drops all three-letter names of sure surnames."""
+    """``doc_id, name, times, before`` rows (``before``: the characters before the name) that hold against ``term, freq``.
+
+    ``compat`` drops all three-letter names of sure surnames. A distinct name (with what is before it) is looked up once.
+    """
     def look(df: DataFrame, value: Column, name: str) -> DataFrame:
         d = dictionary.select(F.col("term").alias(f"_{name}"), F.col("freq").alias(name))
         return df.join(d, value == F.col(f"_{name}"), "left").drop(f"_{name}").withColumn(name, F.coalesce(name, F.lit(-1)))
 
     n = F.col("name")
-    own = look(look(rows, n, "freq"), F.left(n, F.lit(2)), "freq2")
-    own = own.withColumn("_before", F.explode(before(F.col("text"), n)))
-    own = look(own, F.concat("_before", _at(n, 1)), "freq_before")
+    own = look(look(rows.select("name").distinct(), n, "freq"), F.left(n, F.lit(2)), "freq2")
+    heads = rows.select(F.explode("before").alias("_before"), _at(n, 1).alias("_first")).distinct()
     weak, three = _in(n, L.WEAK_SURNAMES), F.length(n) == 3
     compound = n.rlike(f"^(?:{_COMPOUND})")
-    bound = F.when(weak, 200).otherwise(500)
-    free = (F.col("_before") == "") | ~F.col("_before").rlike(_HAN) | (F.col("freq_before") <= bound)
-    judged = own.groupBy("doc_id", "text", "name", "freq", "freq2").agg(F.bool_or(free).alias("free"))
     low = F.col("freq") <= F.when(weak, 200).otherwise(500)
-    keep = (
-        F.when(compound, True)
-        .when(weak & ~three, low | n.isin(L.NAME_WHITELIST))
-        .when(weak, low & (F.col("freq2") <= 200) & F.col("free"))
-        .when(three, low & F.lit(not compat))
-        .otherwise(low & F.col("free"))
-    )
-    return judged.where(keep).select("doc_id", "text", "name")
+    # whether some occurrence is free doesn't matter for every kind
+    sure = F.when(compound, True).when(weak & ~three, low | n.isin(L.NAME_WHITELIST)).when(~weak & three, low & F.lit(not compat))
+    freely = F.when(weak, low & (F.col("freq2") <= 200)).otherwise(low)
+    judged = own.select("name", sure.alias("_sure"), freely.alias("_freely"))
+    looked = look(heads, F.concat("_before", "_first"), "freq_before")
+    bound = F.when(_in(F.col("_first"), L.WEAK_SURNAMES), 200).otherwise(500)
+    bad = looked.where(~((F.col("_before") == "") | ~F.col("_before").rlike(_HAN) | (F.col("freq_before") <= bound)))
+    bad = bad.groupBy("_first").agg(F.collect_set("_before").alias("_bound"))  # characters that start a word with this surname
+    out = rows.join(judged, "name").join(bad, _at(n, 1) == F.col("_first"), "left")
+    free = F.exists("before", lambda b: ~F.coalesce(F.array_contains("_bound", b), F.lit(False)))
+    return out.where(F.coalesce(F.col("_sure"), F.col("_freely") & free)).select("doc_id", "name", "times", "before")
+
+
+def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, name, times, before`` of each candidate; what depends on the text is computed in its row, so no text is shuffled."""
+    t = F.col(text_col)
+    each = F.transform(candidates(t), lambda n: F.struct(n.alias("name"), occurrences(t, n).alias("times"), before(t, n).alias("before")))
+    return df.select(F.col(id_col).alias("doc_id"), F.inline(each))
 
 
 def names(df: DataFrame, dictionary: DataFrame | None = None, compat: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,21 +95,32 @@ def names(df: DataFrame, dictionary: DataFrame | None = None, compat: bool = Fal
     A group is the first two letters, for compound surnames the first three (``compat``: two). Its best member doesn't end
     in a verb of speech, then occurs most, then is longest, then is last in code-point order.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("name", F.explode(candidates(F.col("text"))))
+    rows = named(df, id_col, text_col)
     if dictionary is not None:
         rows = verified(rows, dictionary, compat)
     n = F.col("name")
-    times = ((F.length("text") - F.length(F.replace("text", n, F.lit("")))) / F.length(n)).cast("long")
     group = F.left(n, F.lit(2) if compat else F.when(n.rlike(f"^(?:{_COMPOUND})"), 3).otherwise(2))
-    best = F.max(F.struct((~_in(F.right(n, F.lit(1)), L.SPEECH_TAIL)).alias("clean"), times.alias("times"), F.length(n).alias("size"), n.alias("name"))).alias("x")
+    best = F.max(F.struct((~_in(F.right(n, F.lit(1)), L.SPEECH_TAIL)).alias("clean"), F.col("times"), F.length(n).alias("size"), n.alias("name"))).alias("x")
     return rows.groupBy("doc_id", group.alias("g")).agg(best).select("doc_id", "x.name", "x.times")
 
 
-def aliases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, short, long``: candidates of which one starts with the other."""
-    c = df.select(F.col(id_col).alias("doc_id"), F.explode(candidates(F.col(text_col))).alias("name"))
-    a, b = c.withColumnRenamed("name", "short").withColumn("g", F.left("short", F.lit(2))), c.withColumnRenamed("name", "long").withColumn("g", F.left("long", F.lit(2)))
-    return a.join(b, ["doc_id", "g"]).where("startswith(long, short) and long <> short").select("doc_id", "short", "long")
+def aliases(df: DataFrame, dictionary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, short, long``: names of a document of which one starts with the other, before one is chosen for a group.
+
+    What only adds a verb of speech is no other name.
+    """
+    rows = named(df, id_col, text_col)
+    if dictionary is not None:
+        rows = verified(rows, dictionary)
+    longer = lambda c: F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: F.startswith(b, a) & (b != a) & ~_in(F.right(b, F.lit(1)), L.SPEECH_TAIL)), lambda b: F.struct(a.alias("short"), b.alias("long")))))
+    return rows.groupBy("doc_id").agg(F.collect_set("name").alias("c")).select("doc_id", F.inline(longer(F.col("c"))))
+
+
+def alias_findings(found: DataFrame) -> DataFrame:
+    """``doc_id, severity, rule, value, term``: a warning for each document with names of which one may be another's short form."""
+    pair = F.concat("short", F.lit(" → "), "long")
+    listed = found.groupBy("doc_id").agg(F.count("*").cast("double").alias("value"), F.array_join(F.sort_array(F.collect_set(pair)), ", ").alias("term"))
+    return listed.select("doc_id", F.lit("warn").alias("severity"), F.lit("aliases").alias("rule"), "value", "term")
 
 
 def cast_findings(found: DataFrame, docs: DataFrame) -> DataFrame:

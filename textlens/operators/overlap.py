@@ -1,39 +1,163 @@
-"""Overlap of documents with reference texts by character n-grams."""
+"""Overlap of documents with reference texts by character n-grams.
+
+Every place of every story is an n-gram, so none of them becomes a row before it is likely to be one of a source: the
+sources' n-grams set bits of a map of fixed size, stories' n-grams are hashed and looked up there in whole Arrow
+batches, and only what hits goes on as text to be joined exactly. What the map lets through by chance the join drops.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text as X
 from ..profiles import LanguageProfile
 
 GRAM, STRIDE = 16, 5
+#: The map has 2**BITS bits (2**15 at least): 2 MB for each worker, whatever the size of the sources.
+BITS = 24
+#: Bytes of text that are looked at together.
+PIECE = 4 << 20
+# White space outside ASCII.
+_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+@cache
+def _dropped(marks: str) -> np.ndarray:
+    """For each code point, whether normalisation drops it: marks, white space and digits of any script."""
+    out = np.fromiter((unicodedata.category(chr(c)) == "Nd" for c in range(0x110000)), dtype=bool, count=0x110000)
+    out[[*map(ord, marks), *range(9, 14), 32, *_SPACES]] = True
+    return out
+
+
+def _clean(texts: list[str | None], marks: str) -> tuple[np.ndarray, np.ndarray]:
+    """The normalised texts as code points one after the other, and where each ends."""
+    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    keep = ~_dropped(marks)[codes]
+    stops = np.cumsum([len(t or "") for t in texts])
+    return codes[keep], np.r_[0, np.cumsum(keep)][stops]
+
+
+def hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` code points from each place, by doubling."""
+    if len(codes) < n:
+        return np.zeros(0, dtype=np.uint64)
+    one = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    one ^= one >> np.uint64(32)
+    odd = np.uint64(0xC2B2AE3D27D4EB4F)
+    out, done, power, size = None, 0, one, 1
+    while True:
+        if n & size:
+            out = power.copy() if out is None else out[: len(codes) - done - size + 1] * odd + power[done : len(codes) - size + 1]
+            done += size
+        if done == n:
+            break
+        power = (power[:-size] * odd + power[size:]) * np.uint64(0x165667B19E3779F9)
+        power ^= power >> np.uint64(29)
+        size *= 2
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PIECE, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _rows(batch: pa.RecordBatch, codes: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, slots: np.ndarray) -> pa.RecordBatch:
+    text = codes.astype("<u4").tobytes()
+    grams = [text[4 * i : 4 * (i + n)].decode("utf-32-le", "surrogatepass") for i in at.tolist()]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(grams, pa.string()), pa.array(slots.astype(np.int64))], names=["id", "gram", "slot"])
+
 
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> np.uint64(64 - bits)
 
-def grams(clean: Column, n: int = GRAM) -> Column:
-    """All n-grams in order. A look-ahead finds them in one pass; ``substring`` would start over for each."""
-    return F.regexp_extract_all(clean, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
+def _places(stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place in it and characters from there to its end."""
+    doc = np.searchsorted(stops, at, side="right")
+    return doc, at - np.r_[0, stops][doc], stops[doc] - at
 
-def strided(clean: Column, n: int = GRAM, stride: int = STRIDE) -> Column:
-    """Every ``stride``-th n-gram; that which ends the text is no start (a text of ``n`` characters has none)."""
-    return F.filter(grams(clean, n), lambda g, i: (i % stride == 0) & (i < F.length(clean) - n))
 
+def wanted_grams(sources: DataFrame, p: LanguageProfile, source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE, bits: int = BITS) -> DataFrame:
+    """``source, gram, slot, places``: every ``stride``-th n-gram of each source; that which ends the text is no start (a text of ``n`` characters has none)."""
 
-def overlap(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            codes, stops = _clean(batch.column("text").to_pylist(), p.dropped)
+            h = hashes(codes, n)
+            doc, place, left = _places(stops, np.arange(len(h)))
+            at = np.flatnonzero((place % stride == 0) & (left > n))
+            yield _rows(batch, codes, doc[at], at, n, _slots(h[at], bits))
+
+    schema = T.StructType([T.StructField("id", sources.schema[source_id].dataType), T.StructField("gram", T.StringType()), T.StructField("slot", T.LongType())])
+    rows = sources.select(F.col(source_id).alias("id"), "text").mapInArrow(work, schema)
+    return rows.groupBy(F.col("id").alias(source_id), "gram", "slot").agg(F.count("*").alias("places"))
+
+
+def _map(slots: DataFrame, bits: int) -> np.ndarray:
+    """The map of the slots, put together by the executors; its size is fixed."""
+    rows = slots.select((F.col("slot") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
+    return out
+
+
+def hits(stories: DataFrame, found: np.ndarray, p: LanguageProfile, story_id: str = "doc_id", n: int = GRAM, bits: int = BITS) -> DataFrame:
+    """``story, gram``: the distinct n-grams of each story row whose bit is set."""
+    held = stories.sparkSession.sparkContext.broadcast(found)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            codes, stops = _clean(batch.column("text").to_pylist(), p.dropped)
+            h = hashes(codes, n)
+            slot = _slots(h, bits)
+            at = np.flatnonzero(held.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            doc, _, left = _places(stops, at)
+            at, doc = at[left >= n], doc[left >= n]
+            _, first = np.unique(np.stack([doc.astype(np.uint64), h[at]]), axis=1, return_index=True) if len(at) else (None, np.zeros(0, dtype=np.int64))
+            yield _rows(batch, codes, doc[first], at[first], n, slot[at[first]])
+
+    schema = T.StructType([T.StructField("id", stories.schema[story_id].dataType), T.StructField("gram", T.StringType()), T.StructField("slot", T.LongType())])
+    return stories.select(F.col(story_id).alias("id"), "text").mapInArrow(work, schema).select(F.col("id").alias(story_id), "gram")
+
+
+def overlap(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE, bits: int = BITS) -> DataFrame:
     """``story, source, matches`` for pairs that share some: the number of the source's places whose n-gram is in the story.
 
-    Story n-grams meet the distinct source n-grams first, so what is made distinct and counted are hits only.
+    Rows with equal story ids are one story.
     """
-    wanted = sources.select(source_id, X.normalised(F.col("text"), p).alias("c")).select(source_id, F.explode(strided(F.col("c"), n, stride)).alias("gram"))
-    wanted = wanted.groupBy(source_id, "gram").agg(F.count("*").alias("places"))
-    have = stories.select(story_id, X.normalised(F.col("text"), p).alias("c")).select(story_id, F.explode(F.array_distinct(grams(F.col("c"), n))).alias("gram"))
-    return have.join(wanted, "gram").groupBy(story_id, source_id).agg(F.sum("places").alias("matches"))
+    wanted = wanted_grams(sources, p, source_id, n, stride, bits)
+    # a gram's row meets all its sources at once; rows of one story with equal ids are made distinct among the hits only
+    have = hits(stories, _map(wanted, bits), p, story_id, n, bits).distinct()
+    return have.join(wanted.drop("slot"), "gram").groupBy(story_id, source_id).agg(F.sum("places").alias("matches"))
+
+
+def overlap_report(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id") -> DataFrame:
+    """``story, source, matches, verdict``: FAIL for each pair that shares some, one OK without a source for each story that shares none."""
+    found = overlap(stories, sources, p, story_id, source_id)
+    out = stories.select(story_id).distinct().join(found, story_id, "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+    return out.withColumn("verdict", F.when(F.col("matches") == 0, "OK").otherwise("FAIL"))
 
 
-def overlap_grid(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id") -> DataFrame:
-    """Every asked pair with its matches and verdict; for a few stories, as a report."""
+def overlap_grid(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", most: int = 1000) -> DataFrame:
+    """Every asked pair with its matches and verdict, as a report of at most ``most`` stories."""
+    if stories.limit(most + 1).count() > most:
+        raise ValueError(f"a grid takes at most {most} stories")
     pairs = stories.select(story_id).crossJoin(sources.select(source_id))
     found = overlap(stories, sources, p, story_id, source_id)
     out = pairs.join(found, [story_id, source_id], "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))

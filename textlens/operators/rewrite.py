@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..profiles import LanguageProfile
@@ -69,20 +73,28 @@ def one_word(dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.where((F.col("whole") > 0) & (one("whole") - F.log("total") >= one("a") + one("b") - 2 * F.log("total"))).select("pair")
 
 
-def clean_commas(df: DataFrame, p: LanguageProfile, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_commas(df: DataFrame, p: LanguageProfile, words: DataFrame, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
     """``df`` with ``cleaned`` and ``removed``: commas between letters whose pair is one word (``words.pair``) go.
 
-    Each comma depends on its original neighbours only. Only pairs are shuffled, never texts' characters.
+    Each comma depends on its original neighbours only, so a row is cleaned where it stands, whatever its id; the pairs,
+    at most ``most``, are held by every worker, and rows with no such pair stay in the JVM.
     """
-    t = F.col(text_col)
-    found = df.select(id_col, F.explode(comma_pairs(t, p)).alias("pair")).join(words.select("pair").distinct(), "pair").groupBy(id_col).agg(F.collect_set("pair").alias("_pairs"))
+    rows = words.select("pair").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs")
+    held = df.sparkSession.sparkContext.broadcast({r["pair"] for r in rows})
+    comma = p.comma
+
+    @F.pandas_udf(T.StringType())
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str) -> str:
+            pieces = text.split(comma)
+            joins = ("" if a[-1:] + b[:1] in held.value else comma for a, b in zip(pieces, pieces[1:], strict=False))
+            return pieces[0] + "".join(j + b for j, b in zip(joins, pieces[1:], strict=False))
+
+        for texts in batches:
+            yield texts.map(lambda t: one(t) if t is not None else None)
 
-    def join(a: Column, pairs: Column) -> Column:
-        last = F.size(a) - 1
-        around = lambda x, i: F.concat(F.right(x, F.lit(1)), F.left(F.get(a, i + 1), F.lit(1)))
-        comma = lambda x, i: F.when((i >= last) | F.array_contains(pairs, around(x, i)), "").otherwise(p.comma)
-        return F.array_join(F.transform(a, lambda x, i: F.concat(x, comma(x, i))), "")
-
-    out = df.join(found, id_col, "left").withColumn("_pairs", F.coalesce("_pairs", F.array().cast("array<string>")))
-    cleaned = X.bind(F.split(t, rf"\Q{p.comma}\E", -1), lambda a: join(a, F.col("_pairs")))
-    return out.withColumn("cleaned", cleaned).withColumn("removed", (F.length(t) - F.length("cleaned")).cast("long")).drop("_pairs")
+    t = F.col(text_col)
+    cleaned = F.when(F.size(comma_pairs(t, p)) > 0, clean(t)).otherwise(t)
+    return df.withColumn("cleaned", cleaned).withColumn("removed", (F.length(t) - F.length("cleaned")).cast("long"))

@@ -91,13 +91,22 @@ def audit_rules(p: LanguageProfile) -> list[Column]:
     return [*info, *bans, _finding(PASS, "fixed_rules", F.lit(0), when=clean)]
 
 
+def _rows(df: DataFrame, p: LanguageProfile, genre: str | None, id_col: str, text_col: str) -> DataFrame:
+    return measured(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), p, genre, id_col, text_col)
+
+
+def _present(rules: list[Column]) -> Column:
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+
 def findings(df: DataFrame, p: LanguageProfile, genre: str | None = None, rules=check_rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, severity, rule, term, value`` of every document; null texts are empty."""
-    rows = measured(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), p, genre, id_col, text_col)
-    return rows.select("doc_id", F.inline(F.filter(F.array(*rules(p)), lambda x: x.isNotNull())))
+    # the array stands inside: as a column of its own the optimizer would filter by it, and so compute it twice
+    return _rows(df, p, genre, id_col, text_col).select("doc_id", F.inline(_present(rules(p))))
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """``doc_id, passes, warns, issues``."""
-    n = lambda s, name: F.count_if(F.col("severity") == s).alias(name)
-    return found.groupBy("doc_id").agg(n(PASS, "passes"), n(WARN, "warns"), n(ISSUE, "issues"))
+def totals(df: DataFrame, p: LanguageProfile, genre: str | None = None, rules=check_rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, passes, warns, issues`` of every document, counted in its own row."""
+    n = lambda s, name: F.size(F.filter(F.col("s"), lambda x: x == s)).cast("long").alias(name)
+    severities = X.bind(F.transform(_present(rules(p)), lambda x: x["severity"]), lambda s: s)
+    return _rows(df, p, genre, id_col, text_col).select("doc_id", severities.alias("s")).select("doc_id", n(PASS, "passes"), n(WARN, "warns"), n(ISSUE, "issues"))

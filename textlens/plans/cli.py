@@ -9,7 +9,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import segment
+from .. import lexicons
+from ..functions import segment, text
 from ..profiles import LATIN, ZH
 from ..sources import corpus as files
 from ..sources import sinks
@@ -18,7 +19,7 @@ from . import jobs
 
 def parser() -> argparse.ArgumentParser:
     a = argparse.ArgumentParser(prog="textlens")
-    a.add_argument("job", choices=["distil", "stage", "check", "audit", "adjust"])
+    a.add_argument("job", choices=["distil", "fuse", "stage", "check", "audit", "adjust"])
     a.add_argument("paths", nargs="*")
     a.add_argument("--corpus", default="corpus")
     a.add_argument("-c", "--category")
@@ -30,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--prompts", default="prompt")
     a.add_argument("-o", "--output", default="output")
     a.add_argument("--genre")
+    a.add_argument("--min-kb", type=float, default=0, help="with fuse: the least size of drawn files")
+    a.add_argument("--max-kb", type=float, default=99999)
     a.add_argument("--excl", type=float, default=0.0)
     a.add_argument("--profile", choices=["zh", "latin"], default="zh")
     a.add_argument("--dictionary", help="a parquet table of term and freq")
@@ -37,17 +40,20 @@ def parser() -> argparse.ArgumentParser:
     return a
 
 
-def parameters(text: str) -> tuple[dict[str, str], str | None]:
+def parameters(given: str) -> tuple[dict[str, str], str | None]:
     """Values as text; a malformed object gives none and a warning."""
     try:
-        got = json.loads(text)
+        got = json.loads(given)
     except ValueError as e:
         return {}, f"parameters can't be read: {e}"
     return ({str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in got.items()}, None) if isinstance(got, dict) else ({}, "parameters aren't an object")
 
 
-def asked(ask=input) -> dict[str, str]:
-    """``name=value`` lines until a blank one."""
+def asked(stage: str | None = None, ask=input) -> dict[str, str]:
+    """The answers to the stage's questions; for a stage without any, ``name=value`` lines until a blank one. Blank answers are left out."""
+    if questions := lexicons.STAGE_QUESTIONS.get(stage or ""):
+        answers = {name: ask(f"{name} ({hint}): ").strip() for name, hint in questions}
+        return {k: v for k, v in answers.items() if v}
     out = {}
     while line := ask("name=value: ").strip():
         k, _, v = line.partition("=")
@@ -64,17 +70,21 @@ def main(argv: list[str] | None = None) -> int:
     if warning:
         log.append(("warn", warning))
     if a.interactive:
-        params |= asked()
+        params |= asked(a.stage)
     spark = SparkSession.builder.appName("textlens").getOrCreate()
     words = spark.read.parquet(a.dictionary) if a.dictionary else None
     o = jobs.Options(a.corpus, a.category, a.sample, a.stage, a.keyword, params, None)
     try:
         if a.previous:
             o.previous = files.story(spark, a.previous).first()["text"]
-        if a.job in ("distil", "stage"):
+        if a.job in ("distil", "fuse", "stage"):
             tokens = jobs.fingerprint.latin_tokens if p is LATIN else segment.segmenter(words) if words is not None else segment.jieba_segmenter()
-            context = None if a.stage == "优化" else jobs.distil(spark, o, tokens, p)
-            if a.job == "distil":
+            context, picked = jobs.fuse(spark, o, a.paths, tokens, p, a.min_kb, a.max_kb) if a.job == "fuse" else (None if a.stage == "优化" else jobs.distil(spark, o, tokens, p), None)
+            if a.job == "fuse":
+                context.select(F.col("context").alias("value")).coalesce(1).write.mode("overwrite").text(f"{a.output}/fusion_context")
+                if picked is not None:
+                    print("\n".join([f"drawn from {a.category}:", *(f"  {r['path']}" for r in picked.select("path").collect())]))
+            elif a.job == "distil":
                 context.select(F.col("context").alias("value")).write.mode("overwrite").text(f"{a.output}/context")
                 sinks.write_paths(jobs.drawn(spark, o, p), f"{a.output}/picked_sources")
                 sinks.put_placeholder(f"{a.output}/story.txt")
@@ -86,7 +96,8 @@ def main(argv: list[str] | None = None) -> int:
             story = files.story(spark, a.paths[0] if a.paths else f"{a.output}/story.txt")
             name = a.paths[0] if a.paths else f"{a.output}/story.txt"
             if a.job == "check":
-                print(sinks.write_report(jobs.check(story, p, a.genre, words), name, "check_report"))
+                head = {"letters": story.select(text.letter_count(F.col("text"), p)).first()[0], "genre": a.genre or "default"}
+                print(sinks.write_report(jobs.check(story, p, a.genre, words), name, "check_report", head))
             elif a.job == "audit":
                 sources = jobs.corpus.union_all(*[files.story(spark, x) for x in a.paths[1:]] or [story.limit(0)]).select(F.col("doc_id").alias("source_id"), "text")
                 found, pairs = jobs.audit(story, sources, p)
@@ -97,8 +108,8 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, FileNotFoundError, ImportError) as e:
         log.append(("error", str(e)))
     sinks.write_log(log, f"{a.output}/run.log")
-    for level, text in log:
-        print(f"{level}: {text}", file=sys.stderr)
+    for level, message in log:
+        print(f"{level}: {message}", file=sys.stderr)
     return int(any(level == "error" for level, _ in log))
 
 

@@ -33,9 +33,25 @@ def drawn(spark: SparkSession, o: Options, p: LanguageProfile = ZH) -> DataFrame
 
 def distil(spark: SparkSession, o: Options, tokens, p: LanguageProfile = ZH) -> DataFrame:
     """``context``: the fingerprints of the sampled documents rendered as one text."""
-    docs = drawn(spark, o, p)
-    prints = fingerprint.fingerprint(docs, p, tokens, whole=False).join(docs.select("doc_id", X.basename(F.col("path")).alias("name")), "doc_id")
-    return fingerprint.context(prints)
+    return _context(drawn(spark, o, p), tokens, p, False)
+
+
+def fuse(spark: SparkSession, o: Options, paths: list[str], tokens, p: LanguageProfile = ZH, least_kb: float = 0, most_kb: float = 99999) -> tuple[DataFrame, DataFrame]:
+    """The given files together with files of the category drawn by size, as a context with rules; and the drawn files. At least three are needed."""
+    # as given, in their order, before the drawn ones
+    given = [files.story(spark, path).select(F.lit(i).alias("order"), F.lit(path).alias("path"), "text") for i, path in enumerate(paths)]
+    picked = files.pick(spark, o.corpus, o.category, o.sample, least_kb, most_kb, o.seed) if o.category else None
+    rows = [*given, *([picked.select(F.lit(len(paths)).alias("order"), "path", "text")] if picked is not None else [])]
+    if not rows:
+        raise ValueError(f"at least {corpus.LEAST_DOCS} documents are needed, found 0")
+    docs = corpus.require(corpus.union_all(*rows)).withColumn("doc_id", F.struct("order", "path"))
+    return _context(docs, tokens, p, True), picked
+
+
+def _context(docs: DataFrame, tokens, p: LanguageProfile, rules_too: bool) -> DataFrame:
+    named = docs.withColumn("doc_id", F.struct("doc_id", X.basename(F.col("path")).alias("name")))
+    prints = fingerprint.fingerprint(named, p, tokens, whole=False).withColumn("name", F.col("doc_id.name"))
+    return fingerprint.context(prints, p.context, p.lists if rules_too else None)
 
 
 def stage_prompt(spark: SparkSession, o: Options, template_files: DataFrame, outputs: DataFrame, context: DataFrame | None) -> DataFrame:
@@ -56,8 +72,7 @@ def check(stories: DataFrame, p: LanguageProfile = ZH, genre: str | None = None,
     """All findings of the checker, the names of Chinese texts included."""
     found = rules.findings(stories, p, genre)
     if p.name == "zh":
-        cast = names.cast_findings(names.names(stories, dictionary), stories).select("doc_id", "severity", "rule", "term", "value")
-        found = found.unionByName(cast)
+        found = found.unionByName(names.cast_findings(names.names(stories, dictionary), stories)).unionByName(names.alias_findings(names.aliases(stories, dictionary)))
     return found
 
 

@@ -27,6 +27,7 @@ class LanguageProfile:
     heading_counts: tuple[str, ...]
     lists: dict[str, list[str]] = field(default_factory=dict)
     genres: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    context: dict[str, str] = field(default_factory=dict)  # texts of a rendered context
 
     def genre(self, name: str | None) -> dict[str, list[str]]:
         """The genre's lists, or the default's."""
@@ -55,6 +56,7 @@ ZH = LanguageProfile(
     heading_counts=(r"(?<=\n)\d+(?=\n)", r"\n第[一二三四五六七八九十百千\d]+章", r"(?i)\nChapter\s+\d+", r"\n[一二三四五六七八九十]{1,3}\s*\n"),
     lists=lexicons.ZH_LISTS,
     genres=lexicons.ZH_GENRES,
+    context=lexicons.ZH_CONTEXT,
 )
 
 LATIN = LanguageProfile(
@@ -72,4 +74,5 @@ LATIN = LanguageProfile(
     heading_counts=(r"(?<=\n)\d+(?=\n)", r"(?i)\nChapter\s+\d+", r"\n[IVX]{1,4}\s*\n"),
     lists=lexicons.LATIN_LISTS,
     genres=lexicons.LATIN_GENRES,
+    context=lexicons.LATIN_CONTEXT,
 )

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import segment
 from .functions import text as X
 from .operators import corpus, fingerprint, names, overlap, rewrite, rules, templates
 from .profiles import LATIN, ZH
@@ -229,7 +230,7 @@ TOP = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f
 
 @query(f"SELECT doc_id, rank::INTEGER AS rank, term, n::BIGINT AS n FROM ({TOP})")
 def top_terms(spark, sf_dir):
-    return fingerprint.top_terms(fingerprint.head_terms(docs(spark, sf_dir), P), LISTS["stop"])
+    return fingerprint.top_terms(docs(spark, sf_dir), P, LISTS["stop"])
 
 
 PRINT = f"SELECT d.doc_id, {LETTERS}::BIGINT AS chars, greatest({SENTENCES}, 1)::BIGINT AS sentences, {n_lit('!')} / greatest({SENTENCES}, 1) AS excl_per_sent, {n_lit(',')} / greatest({SENTENCES}, 1) AS comma_per_sent, contains(left(text, {LETTERS} // 2), '\"') AS uses_quotes, {OPENING} AS opening_30_lines, coalesce(terms, '') AS terms FROM documents d LEFT JOIN (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS terms FROM ({TOP}) GROUP BY doc_id) t ON d.doc_id = t.doc_id"
@@ -241,14 +242,38 @@ def fingerprints(spark, sf_dir):
     return out.withColumn("terms", F.array_join("top_terms", ",")).drop("top_terms")
 
 
-@query(
-    f"WITH p AS (SELECT x.*, lang FROM ({PRINT}) x JOIN ({DRAWN}) USING (doc_id) WHERE lang = 'es') SELECT '## Sources' || chr(10) || string_agg('### ' || doc_id || chr(10) || 'letters: ' || chars || ' | sentences: ' || sentences || chr(10) || 'terms: ' || array_to_string(string_split(terms, ',')[1:5], ', ') || chr(10) || 'opening:' || chr(10) || opening_30_lines, chr(10) || chr(10) ORDER BY doc_id) AS context FROM p"
-)
+def _rounded(c: str, places: int) -> str:
+    n = f"floor({c} * {10**places}::DOUBLE + 0.5)::BIGINT"
+    return f"(({n}) // {10**places})::VARCHAR || '.' || regexp_replace(lpad((({n}) % {10**places})::VARCHAR, {places}, '0'), '^(.+?)0+$', '\\1')"
+
+
+def _context_sql(words: dict[str, str], some: str, rules_: str | None) -> str:
+    """A context by plain concatenation."""
+
+    def line(key: str, /, **cols: str) -> str:
+        out = q(words[key])
+        for k, v in cols.items():
+            out = f"replace({out}, '{{{k}}}', {v})"
+        return out
+
+    nl = " || chr(10) || "
+    block = nl.join([line("source", i="i::VARCHAR", name="doc_id::VARCHAR"), line("counts", chars="chars::VARCHAR", sentences="sentences::VARCHAR"), line("ratios", exclamations=_rounded("excl_per_sent", 3), commas=_rounded("comma_per_sent", 2)), line("terms", terms="array_to_string(string_split(terms, ',')[1:5], ', ')"), line("lines", opening="opening_30_lines"), "''"])
+    parts = [q(words["opening"]), q(words["sources"]), f"string_agg({block}, chr(10) ORDER BY doc_id)", q(words["dimensions"]), q(words["constraints"]), *([q(rules_)] if rules_ else []), q(words["output"])]
+    return f"WITH p AS (SELECT x.*, row_number() OVER (ORDER BY doc_id) AS i FROM ({PRINT}) x JOIN ({some}) USING (doc_id)) SELECT {nl.join(parts)} AS context FROM p"
+
+
+@query(_context_sql(P.context, f"SELECT doc_id FROM ({DRAWN}) WHERE lang = 'es'", None))
 def fingerprint_context(spark, sf_dir):
-    """Rendered without the ratios, whose last digit engines round differently."""
+    """The context of the drawn documents of one language, as a distilled category has it: without rules."""
     some = _drawn(spark, sf_dir).where("lang = 'es'")
-    made = fingerprint.context(fingerprint.fingerprint(some, P).withColumn("name", F.col("doc_id").cast("string")))
-    return made.select(F.regexp_replace("context", "\nexclamations: [0-9.]+ \\| commas: [0-9.]+\n", "\n").alias("context"))
+    return fingerprint.context(fingerprint.fingerprint(some, P).withColumn("name", F.col("doc_id")), P.context)
+
+
+@query(_context_sql(ZH.context, f"SELECT doc_id FROM ({DRAWN})", fingerprint.rules_block(ZH.context, ZH.lists)))
+def fusion_context(spark, sf_dir):
+    """The Chinese context with its rules, over all drawn documents."""
+    prints = fingerprint.fingerprint(_drawn(spark, sf_dir), P).withColumn("name", F.col("doc_id"))
+    return fingerprint.context(prints, ZH.context, ZH.lists)
 
 
 COUNTED = f"SELECT lang, term, count(DISTINCT doc_id) AS docs FROM ({BAG}) JOIN ({DRAWN}) USING (doc_id) GROUP BY lang, term"
@@ -296,9 +321,10 @@ def original_docs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id").join(_overlap(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-@query(f"SELECT doc_id, item_id, coalesce(matches, 0)::BIGINT AS matches, CASE WHEN coalesce(matches, 0) = 0 THEN 'OK' ELSE 'FAIL' END AS verdict FROM ({DRAWN}) CROSS JOIN (SELECT item_id FROM benchmark) LEFT JOIN ({HITS}) h USING (doc_id, item_id)")
+@query(f"SELECT doc_id, item_id, coalesce(matches, 0)::BIGINT AS matches, CASE WHEN matches IS NULL THEN 'OK' ELSE 'FAIL' END AS verdict FROM documents LEFT JOIN ({HITS}) h USING (doc_id)")
 def overlap_report(spark, sf_dir):
-    return overlap.overlap_grid(_drawn(spark, sf_dir), table(spark, sf_dir, "benchmark"), P, source_id="item_id")
+    """Every document: its pairs that share a passage, or one row that it shares none."""
+    return overlap.overlap_report(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"), P, source_id="item_id")
 
 
 def _banned(spark) -> DataFrame:
@@ -356,7 +382,7 @@ def rule_findings(spark, sf_dir):
 
 @query(f"SELECT doc_id, count(*) FILTER (severity = 'pass')::BIGINT AS passes, count(*) FILTER (severity = 'warn')::BIGINT AS warns, count(*) FILTER (severity = 'issue')::BIGINT AS issues FROM ({_findings_sql()}) GROUP BY doc_id")
 def severity_totals(spark, sf_dir):
-    return rules.totals(rules.findings(docs(spark, sf_dir), P))
+    return rules.totals(docs(spark, sf_dir), P)
 
 
 def _audit_sql() -> str:
@@ -402,25 +428,36 @@ c AS (SELECT doc_id, need, greatest(1, periods // greatest(need, 1)) AS step, un
 k AS (SELECT doc_id, need, step, i, ch, p, CASE WHEN ch = '.' THEN sum((ch = '.')::INT) OVER w END AS k FROM (SELECT *, substring(text, i, 1) AS ch, CASE WHEN i > 1 THEN substring(text, i - 1, 1) ELSE '' END AS p FROM c) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT *, CASE WHEN ch = '.' AND need > 0 AND k % step = 0 AND i > 1 AND NOT regexp_matches(p, '[{P.not_before_period}]') THEN 1 ELSE 0 END AS fits FROM k),
 r AS (SELECT *, sum(fits) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM e)
-SELECT doc_id, md5(string_agg(CASE WHEN fits = 1 AND n <= need THEN '!' ELSE ch END, '' ORDER BY i)) AS rewritten FROM r GROUP BY doc_id"""
+SELECT doc_id, string_agg(CASE WHEN fits = 1 AND n <= need THEN '!' ELSE ch END, '' ORDER BY i) AS raised FROM r GROUP BY doc_id"""
 
 
-@query(f"SELECT d.doc_id, coalesce(rewritten, md5('')) AS rewritten FROM documents d LEFT JOIN ({_POSITIONS}) x ON d.doc_id = x.doc_id")
+@query(f"SELECT d.doc_id, md5(coalesce(raised, '')) AS rewritten FROM documents d LEFT JOIN ({_POSITIONS}) x ON d.doc_id = x.doc_id")
 def raise_exclamations(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(rewrite.raise_exclamations(text_(), P, TARGET)).alias("rewritten"))
 
 
-_PIECES = f"""
-WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{P.ends}]*[{P.ends}]|[^{P.ends}]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^{P.ends}]*[{P.ends}]|[^{P.ends}]+'), 1) AS i FROM documents),
+def _pieces(table_: str) -> str:
+    """``doc_id, commas``: the texts of a table with commas inserted."""
+    return f"""
+WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{P.ends}]*[{P.ends}]|[^{P.ends}]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^{P.ends}]*[{P.ends}]|[^{P.ends}]+'), 1) AS i FROM {table_}),
 n AS (SELECT *, {n_of(LETTER, 's')} AS z FROM s)
-SELECT doc_id, md5(string_agg(CASE WHEN z BETWEEN 12 AND 30 AND NOT contains(s, ',') THEN (SELECT r FROM (SELECT CASE WHEN length(h) < length(s) THEN h || ',' || substring(s, length(h) + 1) ELSE s END AS r FROM (SELECT array_to_string(list_transform(range(1, z // 2 + 1), lambda j: regexp_extract_all(s, '[^{P.letters}]*[{P.letters}]')[j]), '') AS h))) ELSE s END, '' ORDER BY i)) AS rewritten FROM n GROUP BY doc_id"""
+SELECT doc_id, string_agg(CASE WHEN z BETWEEN 12 AND 30 AND NOT contains(s, ',') THEN (SELECT r FROM (SELECT CASE WHEN length(h) < length(s) THEN h || ',' || substring(s, length(h) + 1) ELSE s END AS r FROM (SELECT array_to_string(list_transform(range(1, z // 2 + 1), lambda j: regexp_extract_all(s, '[^{P.letters}]*[{P.letters}]')[j]), '') AS h))) ELSE s END, '' ORDER BY i) AS commas FROM n GROUP BY doc_id"""
 
 
-@query(f"SELECT d.doc_id, coalesce(rewritten, md5('')) AS rewritten FROM documents d LEFT JOIN ({_PIECES}) x ON d.doc_id = x.doc_id")
+@query(f"SELECT d.doc_id, md5(coalesce(commas, '')) AS rewritten FROM documents d LEFT JOIN ({_pieces('documents')}) x ON d.doc_id = x.doc_id")
 def insert_commas(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(rewrite.insert_commas(text_(), P)).alias("rewritten"))
 
 
+@query(
+    f"WITH raised AS (SELECT doc_id, raised AS text FROM ({_POSITIONS})), both_ AS (SELECT d.doc_id, text, coalesce(commas, '') AS r FROM documents d LEFT JOIN ({_pieces('raised')}) x ON d.doc_id = x.doc_id) "
+    f"SELECT doc_id, md5(r) AS rewritten, {n_lit('!')}::BIGINT AS excl_before, {n_lit('!', 'r')}::BIGINT AS excl_after, {n_lit(',')}::BIGINT AS comma_before, {n_lit(',', 'r')}::BIGINT AS comma_after FROM both_"
+)
+def adjusted_texts(spark, sf_dir):
+    """Both rewrites in order, with the counts before and after."""
+    return rewrite.adjusted(docs(spark, sf_dir).select("doc_id", "text"), P, TARGET).select("doc_id", F.md5("rewritten").alias("rewritten"), "excl_before", "excl_after", "comma_before", "comma_after")
+
+
 @query("SELECT doc_id, left(text, 2000) AS short, length(left(text, 3000))::BIGINT AS n FROM documents")
 def prefix_truncation(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(2000)).alias("short"), F.length(F.left("text", F.lit(3000))).cast("long").alias("n"))
@@ -436,7 +473,7 @@ DICTIONARY = [("the", 900), ("of", 400), ("ther", 7), ("la", 300)]
 
 @query(f"SELECT doc_id, term, n::BIGINT AS n, coalesce(freq, -1)::BIGINT AS freq FROM ({TOP}) LEFT JOIN {values(DICTIONARY, 'w, freq')} ON term = w")
 def dictionary_lookup(spark, sf_dir):
-    terms = fingerprint.top_terms(fingerprint.head_terms(docs(spark, sf_dir), P), LISTS["stop"])
+    terms = fingerprint.top_terms(docs(spark, sf_dir), P, LISTS["stop"])
     return corpus.frequencies(terms, spark.createDataFrame(DICTIONARY, "term string, freq long")).select("doc_id", "term", "n", "freq")
 
 
@@ -530,3 +567,31 @@ def character_names(spark, sf_dir):
 def character_names_checked(spark, sf_dir):
     words = spark.createDataFrame([("北方", 900), ("方案", 800)], "term string, freq long")
     return names.names(spark.createDataFrame(CAST, "doc_id int, text string"), words).select("doc_id", "name")
+
+
+@query("SELECT * FROM (VALUES (1, 'pass', 2.0::DOUBLE, '苏暖,赵天豪'), (2, 'pass', 2.0, '慕容白走,慕容雪'), (3, 'warn', 0.0, ''), (4, 'pass', 2.0, '方悦,方更美')) AS v(doc_id, severity, value, term)")
+def name_counts(spark, sf_dir):
+    d = spark.createDataFrame(CAST, "doc_id int, text string")
+    return names.cast_findings(names.names(d), d).select("doc_id", "severity", "value", "term")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 1, 1, 0), (2, 2, 0, 0, 0), (4, 0, 0, 0, 2)) AS v(doc_id, compound, strong, medium, weak)")
+def name_tiers(spark, sf_dir):
+    found = names.tiers(names.names(spark.createDataFrame(CAST, "doc_id int, text string")))
+    return found.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("compound", "strong", "medium", "weak")])
+
+
+@query("SELECT * FROM (VALUES (1, 'warn', 2.0::DOUBLE, '苏暖 → 苏暖暖, 苏暖 → 苏暖走'), (2, 'warn', 1.0, '慕容白 → 慕容白走')) AS v(doc_id, severity, value, term)")
+def name_aliases(spark, sf_dir):
+    found = names.alias_findings(names.aliases(spark.createDataFrame(CAST, "doc_id int, text string")))
+    return found.select("doc_id", "severity", "value", "term")
+
+
+SENTENCES_ZH = [(1, "方向你好，好x方"), (2, "你方向"), (3, "abc"), (4, "向你好方向。方方")]
+SEGMENTS = [("方向", 50), ("你好", 40), ("好", 10), ("方", 1), ("向你", 1)]
+
+
+@query("SELECT * FROM (VALUES (1, '方向|你好|好|方'), (2, '你|方向'), (3, ''), (4, '向|你好|方向|方|方')) AS v(id, words)")
+def segmented_words(spark, sf_dir):
+    cut = segment.segmenter(spark.createDataFrame(SEGMENTS, "term string, freq long"))
+    return spark.createDataFrame(SENTENCES_ZH, "id int, text string").select("id", F.array_join(cut(F.col("text")), "|").alias("words"))

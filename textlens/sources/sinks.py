@@ -38,22 +38,37 @@ def report_path(story: str, suffix: str) -> str:
     return f"{base}_{suffix}.txt"
 
 
-def render_report(rows: list, title: str) -> str:
-    """Findings of one document as text, by severity."""
-    order = {"info": 0, "issue": 1, "warn": 2, "pass": 3}
-    out = [title]
-    for severity in sorted({r["severity"] for r in rows}, key=lambda s: order.get(s, 9)):
-        own = [r for r in rows if r["severity"] == severity]
-        out.append(f"\n{severity} ({len(own)})")
-        out += [f"  {r['rule']}{' ' + r['term'] if r['term'] else ''}: {r['value']:.3f}" if r["value"] is not None else f"  {r['rule']}: -" for r in own]
+# Decimals of the values in reports, by rule; whole numbers where none are named.
+DECIMALS = {"emotion_density": 1, "dialogue_density": 1, "paragraph_length": 0, "exclamations_per_sentence": 3, "commas_per_sentence": 2}
+#: Findings of one report at most.
+MOST = 100_000
+
+
+def _line(r) -> str:
+    value = "-" if r["value"] is None else f"{r['value']:.{DECIMALS.get(r['rule'], 0)}f}"
+    return f"  {r['rule']}{' ' + r['term'] if r['term'] else ''}: {value}"
+
+
+def render_report(rows: list, title: str, head: dict | None = None) -> str:
+    """Findings of one document as text: a banner with what is known of the document, findings by severity, and how many there are of each."""
+    order = {"info": 0, "pass": 1, "warn": 2, "issue": 3}
+    out = [title, "=" * 50, *(f"{k}: {v}" for k, v in (head or {}).items())]
+    by = {s: [r for r in rows if r["severity"] == s] for s in sorted({r["severity"] for r in rows}, key=lambda s: order.get(s, 9))}
+    for severity, own in by.items():
+        out += [f"\n{severity} ({len(own)})", *map(_line, own)]
+    out.append("\ntotal: " + " / ".join(f"{len(by.get(s, []))} {s}" for s in ("pass", "warn", "issue")))
     return "\n".join(out) + "\n"
 
 
-def write_report(found: DataFrame, story: str, suffix: str) -> str:
-    """The report of one document; its findings are few."""
-    path = report_path(story, suffix)
+def write_report(found: DataFrame, story: str, suffix: str, head: dict | None = None) -> str:
+    """Write and print the report of one document; more than ``MOST`` findings are none of one document and an error."""
+    rows = found.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"a report takes at most {MOST} findings")
+    path, report = report_path(story, suffix), render_report(rows, os.path.basename(story), head)
+    print(report)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(render_report(found.collect(), os.path.basename(story)))
+        f.write(report)
     return path
 
 
