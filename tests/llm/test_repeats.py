@@ -1,4 +1,7 @@
 import hashlib
+import os
+import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -37,9 +40,17 @@ def test_all_documents(spark, sf):
     assert sorted((tuple(r) for r in queries.op2_repeats(spark, sf).collect()), key=str) == plain(rows)
 
 
-@pytest.mark.parametrize("unit", [1 << 20, 3000])
-def test_edge_cases(spark, monkeypatch, unit):
+def test_buckets_stay_small_at_any_size():
+    for total in (0, 10**6, 10**9, 10**12, 10**14, 10**16):
+        assert total / (1 << repeats.bucket_bits(total)) <= repeats.BUCKET
+
+
+@pytest.mark.parametrize("unit,hot", [(1 << 20, 2000), (3000, 2000), (3000, 2), (3000, 1)])
+def test_edge_cases(spark, monkeypatch, unit, hot):
+    """Also with units and tasks that are few and minimizers whose strings are dealt one by one."""
     monkeypatch.setattr(repeats, "UNIT", unit)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "TASKS", 3 if hot < 2000 else 1 << 15)
     words = ["w%d" % i for i in range(60)]
     prose = lambda n: " ".join(FIXED.choice(words, n))
     a, b, c = prose(100), prose(30), "é" * 40
@@ -53,18 +64,45 @@ def test_edge_cases(spark, monkeypatch, unit):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.binary(min_size=0, max_size=30).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=20), st.integers(8, 12), st.integers(3, 50))
+@given(st.lists(st.binary(min_size=0, max_size=30).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=20), st.integers(1, 12), st.integers(3, 50))
 def test_columns_sort_all_suffixes(strings, common, chunk):
     old, bwt.CHUNK = bwt.CHUNK, chunk
     try:
-        width = 40
-        matrix = np.zeros((len(strings), width), dtype=np.uint8)
+        matrix = np.zeros((len(strings), 40), dtype=np.uint8)
         for i, s in enumerate(strings):
             matrix[i, : len(s)] = np.frombuffer(s, np.uint8)
-        names, same = bwt.sorted_suffixes(bwt.Collection(matrix, np.array([len(s) for s in strings]), common))
+        with tempfile.TemporaryDirectory() as folder:
+            names, prefix = bwt.sorted_suffixes(bwt.Collection(folder, matrix, np.array([len(s) for s in strings])), common)
     finally:
         bwt.CHUNK = old
     got = [strings[n >> 8][len(strings[n >> 8]) - (n & 255) :] for n in names.tolist()]
     want = sorted(s[i:] for s in strings for i in range(len(s) - common + 1))
     assert got == want
-    assert same.tolist() == [i > 0 and got[i][:common] == got[i - 1][:common] for i in range(len(got))]
+    every = sorted([s[i:] for s in strings for i in range(len(s) + 1)])
+    shared = lambda a, b: min(common, len(os.path.commonprefix([a, b])))
+    full = [0] + [shared(a, b) for a, b in zip(every, every[1:], strict=False)]
+    assert prefix.tolist() == [x for x, s in zip(full, every, strict=True) if len(s) >= common]
+
+
+def test_rounds_hold_no_strings():
+    """What the rounds hold of a string doesn't depend on its length: the columns stay in the file."""
+    rng = np.random.default_rng(8)
+
+    def peak(n, size):
+        matrix = rng.integers(97, 101, (n, size), dtype=np.uint8)
+        with tempfile.TemporaryDirectory() as folder:
+            strings = bwt.Collection(folder, matrix, np.full(n, size))
+            del matrix
+            tracemalloc.start()
+            try:
+                bwt.sorted_suffixes(strings, size + 1)
+                return tracemalloc.get_traced_memory()[1]
+            finally:
+                tracemalloc.stop()
+
+    old, bwt.CHUNK = bwt.CHUNK, 1 << 12
+    try:
+        short, long = ((peak(16_000, size) - peak(6_000, size)) / 10_000 for size in (40, 160))
+        assert long < 120 and long < 1.1 * short
+    finally:
+        bwt.CHUNK = old

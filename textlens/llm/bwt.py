@@ -2,15 +2,18 @@
 
 Round ``j`` inserts the suffix of length ``j`` of every string, that is one symbol each, into the order of all shorter
 suffixes. Where it belongs follows from the transform alone: the suffix ``cX`` stands at the number of symbols below
-``c`` plus the number of ``c`` before ``X``. The transform, the suffixes' names and the marks of common prefixes are
-files that each round reads and writes once from front to back, so memory holds one symbol's state a string and a
-block of each file.
+``c`` plus the number of ``c`` before ``X``. Its common prefix with its neighbour ``cY`` is one more than that of ``X``
+and ``Y``, the smallest of the prefixes between them, so prefixes are carried from round to round and strings are never
+compared.
+
+The transform, the suffixes' names and the prefixes are files that each round reads and writes once from front to back;
+the strings are a file of columns, of which a round reads one. So memory holds one symbol's state (a hundred bytes) a
+string and a block of each file, but no strings. The files take about a kilobyte a string of the task's own scratch space, and go with the task.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 
@@ -19,32 +22,39 @@ CHUNK = 1 << 20
 
 
 class Collection:
-    """Strings as one padded byte matrix; ``lengths`` of at most 255."""
-
-    def __init__(self, matrix: np.ndarray, lengths: np.ndarray, common: int):
-        self.lengths, self.common, self.stride = lengths.astype(np.int64), common, matrix.shape[1]
-        self.matrix = matrix
-        flat = np.concatenate([matrix.ravel(), np.zeros(common + 8, np.uint8)])
-        self.words = np.ndarray(shape=(len(flat) - 7,), dtype="<u8", buffer=flat, strides=(1,))
-
-    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the suffixes named ``a`` and ``b`` (string * 256 + length) share their first ``common`` bytes."""
-        out = (a & 255 >= self.common) & (b & 255 >= self.common)
-        at = np.flatnonzero(out)
-        pa, pb = (self.place(x[at]) for x in (a, b))
-        for k in [*range(0, self.common - 7, 8), self.common - 8]:
-            equal = self.words[pa + k] == self.words[pb + k]
-            out[at[~equal]] = False
-            at, pa, pb = at[equal], pa[equal], pb[equal]
-        return out
-
-    def place(self, name: np.ndarray) -> np.ndarray:
-        s = name >> 8
-        return s * self.stride + self.lengths[s] - (name & 255)
+    """Strings of at most 255 bytes as a file of columns in ``folder``: column ``j`` has the symbol before each string's last ``j`` bytes.
+
+    Symbols are numbered in byte order from 1; 0 stands before a whole string.
+    """
+
+    def __init__(self, folder: str, matrix: np.ndarray, lengths: np.ndarray):
+        self.folder, self.lengths, n = folder, lengths.astype(np.int64), len(lengths)
+        used = np.zeros(256, dtype=bool)
+        for a in range(0, n, 1 << 14):
+            used |= np.bincount(matrix[a : a + (1 << 14)].ravel(), minlength=256) > 0
+        self.sigma = int(used.sum()) + 1
+        self.type = np.dtype("u1") if self.sigma <= 256 else np.dtype("<u2")
+        code = np.cumsum(used).astype(self.type)
+        self.columns = int(self.lengths.max(initial=0)) + 1
+        with open(self.path, "wb") as f:
+            for a in range(0, n, 1 << 14):
+                rows, size = code[matrix[a : a + (1 << 14)]], self.lengths[a : a + (1 << 14)]
+                at = np.arange(len(size))
+                for j in range(self.columns):
+                    f.seek((j * n + a) * self.type.itemsize)
+                    np.where(size > j, rows[at, np.maximum(size - 1 - j, 0)], 0).astype(self.type).tofile(f)
+
+    @property
+    def path(self) -> str:
+        return os.path.join(self.folder, "columns")
+
+    def column(self, j: int) -> np.ndarray:
+        n = len(self.lengths)
+        return np.fromfile(self.path, self.type, n, offset=j * n * self.type.itemsize)
 
 
 class _Files:
-    """The sequential files of one round: symbols, names and, once suffixes are long enough, marks."""
+    """The sequential files of one round: symbols, names and common prefixes with the suffix before."""
 
     def __init__(self, folder: str, number: int, types: list[np.dtype]):
         self.types = types
@@ -64,98 +74,116 @@ class _Files:
             os.remove(p)
 
 
-def _merged(old: np.ndarray, stay: np.ndarray, own: np.ndarray, new: np.ndarray | bool) -> np.ndarray:
+def _merged(old: np.ndarray, stay: np.ndarray, own: np.ndarray, new: np.ndarray | int) -> np.ndarray:
     out = np.empty(len(stay), dtype=old.dtype)
     out[stay] = old
     out[own] = new
     return out
 
 
-def sorted_suffixes(strings: Collection) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the suffixes of at least ``common`` bytes in order, and whether each shares that prefix with the one before."""
-    n, lengths = len(strings.lengths), strings.lengths
-    # symbols are numbered in byte order from 1; 0 stands before a whole string
-    used = np.flatnonzero(np.bincount(strings.matrix.ravel(), minlength=256))
-    number = np.zeros(256, dtype=np.int64)
-    number[used] = np.arange(len(used)) + 1
-    small = np.dtype("u1") if len(used) < 256 else np.dtype("<u2")
-    code = number.astype(small)[strings.matrix]
-    sigma = len(used) + 1
-    types = [small, np.dtype("<u4") if n < 1 << 24 else np.dtype("<i8"), np.dtype("?")]
-    with tempfile.TemporaryDirectory() as folder:
-        # the empty suffixes, in the strings' order
-        now = _Files(folder, 0, types[:2])
-        symbol = np.where(lengths > 0, code[np.arange(n), np.maximum(lengths - 1, 0)], 0).astype(small)
-        symbol.tofile(now.paths[0])
-        (np.arange(n, dtype=np.int64) << 8).astype(types[1]).tofile(now.paths[1])
-        totals = np.bincount(symbol, minlength=sigma)
-        live = np.flatnonzero(symbol)
-        at = live.copy()  # where the latest suffix of each live string stands
-        for j in range(1, int(lengths.max(initial=0)) + 1):
-            if not len(live):
-                break
-            below = n + np.cumsum(totals) - totals - totals[0]
-            # 1. read the symbols: the new places
-            put, symbols = np.empty(len(live), dtype=np.int64), np.empty(len(live), dtype=small)
-            size = int(totals.sum())
-            seen, start, k = np.zeros(sigma, dtype=np.int64), 0, 0
-            for (bwt,) in now.chunks(0):
-                stop = int(np.searchsorted(at, start + len(bwt)))
-                counts = totals if len(bwt) == size else np.bincount(bwt, minlength=sigma)
-                if stop > k:
-                    rank = np.empty(len(bwt), dtype=np.int32)
-                    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
-                    own = at[k:stop] - start
-                    symbols[k:stop] = c = bwt[own]
-                    put[k:stop] = (below + seen - np.cumsum(counts) + counts)[c] + rank[own]
-                seen += counts
-                start, k = start + len(bwt), stop
-            order = np.argsort(symbols, kind="stable")  # places rise with the symbol, and inside one as before
-            put, live = put[order], live[order]
-            left = lengths[live] - j
-            new = np.where(left > 0, code[live, np.maximum(left - 1, 0)], 0).astype(small)
-            # 2. read the files and write them with the new suffixes in place
-            marks = j >= strings.common
-            then = _Files(folder, j, types if marks else types[:2])
-            outs = [open(p, "wb") for p in then.paths]  # noqa: SIM115
-            before = put - np.arange(len(put))  # in the old order
-            start, k, wrote, last, pending = 0, 0, 0, None, False
-            for bwt, name, *same in now.chunks(*range(len(now.types))):
-                end = start + len(bwt)
-                stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))
-                own = put[k:stop] - wrote
-                stay = np.ones(len(bwt) + stop - k, dtype=bool)
-                stay[own] = False
-                bwt = _merged(bwt, stay, own, new[k:stop])
-                name = _merged(name, stay, own, ((live[k:stop] << 8) + j).astype(types[1]))
-                written = [bwt, name]
-                if marks:
-                    mark = _merged(same[0], stay, own, False) if same else np.zeros(len(stay), dtype=bool)
-                    touch = np.zeros(len(name) + 1, dtype=bool)
-                    touch[own] = True
-                    touch[own + 1] = True
-                    touch[0] |= pending
-                    pending = bool(touch[-1])
-                    t = np.flatnonzero(touch[:-1])
-                    prev = np.where(t > 0, name[np.maximum(t - 1, 0)].astype(np.int64), -1 if last is None else last)
-                    ok = prev >= 0
-                    mark[t] = False
-                    mark[t[ok]] = strings.same(prev[ok], name[t[ok]].astype(np.int64))
-                    written.append(mark)
-                last = int(name[-1])
-                for f, x in zip(outs, written, strict=True):
-                    x.tofile(f)
-                start, k, wrote = end, stop, wrote + len(bwt)
-            for f in outs:
-                f.close()
-            now.drop()
-            now = then
-            totals += np.bincount(new, minlength=sigma)
-            at, live = put[new > 0], live[new > 0]
-        names, found = [], []
-        if len(now.types) == 3:
-            for name, same in now.chunks(1, 2):
-                long = name & 255 >= strings.common
-                names.append(name[long].astype(np.int64))
-                found.append(same[long])
-    return np.concatenate(names) if names else np.zeros(0, np.int64), np.concatenate(found) if found else np.zeros(0, bool)
+def least_between(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest of ``x[left], ..., x[right]`` for each pair, from minima over runs of powers of two."""
+    out = np.empty(len(left), dtype=x.dtype)
+    level = (np.frexp((right - left + 1).astype(float))[1] - 1).astype(np.uint8)
+    order = np.argsort(level, kind="stable")
+    cut = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
+    for k in range(len(cut) - 1):
+        own = order[cut[k] : cut[k + 1]]
+        out[own] = np.minimum(x[left[own]], x[right[own] - (1 << k) + 1])
+        if k + 2 < len(cut):
+            x = np.minimum(x[: -(1 << k)], x[1 << k :])
+    return out
+
+
+def sorted_suffixes(strings: Collection, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names (string * 256 + length) of the suffixes of at least ``common`` bytes in order, and the common prefix of each with the one before, up to ``common``."""
+    n, sigma, small = len(strings.lengths), strings.sigma, strings.type
+    types = [small, np.dtype("<u4") if n < 1 << 24 else np.dtype("<i8"), np.dtype("u1")]
+    # the empty suffixes, in the strings' order
+    now = _Files(strings.folder, 0, types)
+    symbol = strings.column(0) if n else np.zeros(0, small)
+    symbol.tofile(now.paths[0])
+    (np.arange(n, dtype=np.int64) << 8).astype(types[1]).tofile(now.paths[1])
+    np.zeros(n, dtype=types[2]).tofile(now.paths[2])
+    totals = np.bincount(symbol, minlength=sigma)
+    live = np.flatnonzero(symbol)
+    at = live.copy()  # where the latest suffix of each live string stands
+    for j in range(1, strings.columns):
+        if not len(live):
+            break
+        below = n + np.cumsum(totals) - totals - totals[0]
+        # 1. read symbols and prefixes: the new places, and the prefixes that change
+        put, symbols = np.empty(len(live), dtype=np.int64), np.empty(len(live), dtype=small)
+        changed: list[tuple[np.ndarray, np.ndarray]] = []
+        size = int(totals.sum())
+        seen, start, k = np.zeros(sigma, dtype=np.int64), 0, 0
+        least, fresh = np.full(sigma, 255, dtype=np.uint8), np.zeros(sigma, dtype=bool)  # since each symbol's last place; whether that is new
+        for bwt, prefix in now.chunks(0, 2):
+            m = len(bwt)
+            stop = int(np.searchsorted(at, start + m))
+            counts = totals if m == size else np.bincount(bwt, minlength=sigma)
+            begin = np.cumsum(counts) - counts
+            order = np.argsort(bwt, kind="stable")
+            rank = np.empty(m, dtype=np.int32)
+            rank[order] = np.arange(m, dtype=np.int32)
+            base = below + seen - begin
+            own = at[k:stop] - start
+            symbols[k:stop] = c = bwt[own]
+            r = rank[own]
+            put[k:stop] = base[c] + r
+            # a new suffix and the one that follows it among those of its symbol get new prefixes
+            touched = np.zeros(m + 1, dtype=bool)
+            touched[own] = True
+            new = touched[:m].copy()
+            follows = r + 1 < (begin + counts)[c]
+            touched[order[r[follows] + 1]] = True
+            touched[order[begin[fresh & (counts > 0)]]] = True
+            p = np.flatnonzero(touched[:m])
+            c, q = bwt[p], rank[p].astype(np.int64)
+            first = q == begin[c]
+            value = least_between(prefix, np.where(first, 0, order[np.maximum(q - 1, 0)] + 1), p)
+            value = np.where(first, np.minimum(value, least[c]), value)
+            value = np.where(first & (seen[c] == 0), 0, np.minimum(value, common - 1) + 1)
+            changed.append((base[c] + q, value.astype(np.uint8)))
+            rest = np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255)]
+            here = counts > 0
+            last = order[(begin + counts - 1)[here]]
+            least[~here] = np.minimum(least[~here], rest[0])
+            least[here], fresh[here] = rest[last + 1], new[last]
+            seen += counts
+            start, k = start + m, stop
+        order = np.argsort(symbols, kind="stable")  # places rise with the symbol, and inside one as before
+        put, live = put[order], live[order]
+        where, value = (np.concatenate(x) for x in zip(*changed, strict=True))
+        order = np.argsort(where, kind="stable")
+        where, value = where[order], value[order]
+        new = strings.column(j)[live]
+        # 2. read the files and write them with the new suffixes in place
+        then = _Files(strings.folder, j, types)
+        outs = [open(path, "wb") for path in then.paths]  # noqa: SIM115
+        before = put - np.arange(len(put))  # in the old order
+        start, k, f, wrote = 0, 0, 0, 0
+        for bwt, name, prefix in now.chunks(0, 1, 2):
+            end = start + len(bwt)
+            stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))
+            own = put[k:stop] - wrote
+            stay = np.ones(len(bwt) + stop - k, dtype=bool)
+            stay[own] = False
+            prefix = _merged(prefix, stay, own, 0)
+            g = int(np.searchsorted(where, wrote + len(stay)))
+            prefix[where[f:g] - wrote] = value[f:g]
+            for file, x in zip(outs, (_merged(bwt, stay, own, new[k:stop]), _merged(name, stay, own, ((live[k:stop] << 8) + j).astype(types[1])), prefix), strict=True):
+                x.tofile(file)
+            start, k, f, wrote = end, stop, g, wrote + len(stay)
+        for file in outs:
+            file.close()
+        now.drop()
+        now = then
+        totals += np.bincount(new, minlength=sigma)
+        at, live = put[new > 0], live[new > 0]
+    names, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for name, prefix in now.chunks(1, 2):
+        long = name & 255 >= common
+        names.append(name[long].astype(np.int64))
+        found.append(prefix[long])
+    return np.concatenate(names), np.concatenate(found)

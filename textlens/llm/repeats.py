@@ -5,6 +5,10 @@ strings meet in the fragments of one minimizer, which are at most ``SPAN + RUN -
 one document has are left out first; the fragments of the others are dealt to buckets by minimizer. In a bucket the
 fragments are a collection whose suffixes are sorted column by column (see ``bwt``): neighbours with a common prefix of
 50 bytes are occurrences of one string, and the smallest document of each run is what its occurrences are told.
+So hashing decides only which fragments meet, the sorted suffixes which of their strings are equal.
+
+A minimizer that very many units have (a run of spaces, a line of every file) would bring all its contexts to one
+bucket. Its fragments are cut into their single 50-byte strings, which are dealt by their own hashes.
 
 Texts are kept in unit files in the shared folder, written once and read by later passes; between passes only sorted
 hashes, fragments and answers are shuffled.
@@ -13,6 +17,7 @@ hashes, fragments and answers are shuffled.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,10 @@ from .common import get_file, grouped, in_pieces, put_file, rows_of, shared_dir,
 SPAN, GRAM = 50, 20
 #: Strings of 50 bytes in a fragment at most: as many as share one occurrence of a minimizer.
 RUN = SPAN - GRAM + 1
-#: Bytes of text in a unit file, and about how many are dealt to a bucket up to 1,024 buckets (beyond, both grow alike).
-UNIT, BUCKET = 8 << 20, 4 << 20
+#: Bytes of text in a unit file, about how many are dealt to a bucket, and units from which a minimizer's strings are dealt one by one.
+UNIT, BUCKET, HOT = 8 << 20, 4 << 20, 2000
+#: Tasks of a pass at most; beyond, a task takes several buckets or units, one after the other.
+TASKS = 1 << 15
 BITS = 48
 NONE = np.iinfo(np.int64).max
 
@@ -139,20 +146,39 @@ class _Unit:
 PARTS = "unit bigint, bucket bigint, blob binary"
 
 
-def _answers(fragments: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """For distinct fragments with the smallest document of each: the smallest document of each of their 50-byte strings."""
+def bucket_bits(total: int) -> int:
+    """Buckets are ``2 ** bucket_bits``, so that none is dealt more than about ``BUCKET`` of ``total`` bytes, however many these are."""
+    return min(40, max(4, (total // BUCKET).bit_length()))
+
+
+def _answers(fragments: list[np.ndarray], counts: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
+    """For distinct fragments (taken out of the list) with the smallest document of each: the smallest document of each of their 50-byte strings."""
     out = np.repeat(docs, counts)
     first = np.cumsum(counts) - counts
-    names, same = sorted_suffixes(Collection(fragments, counts + SPAN - 1, SPAN))
+    with tempfile.TemporaryDirectory() as folder:
+        strings = Collection(folder, fragments.pop(), counts + SPAN - 1)
+        names, prefix = sorted_suffixes(strings, SPAN)
     if len(names):
         frag = names >> 8
-        group = np.flatnonzero(~same)
+        group = np.flatnonzero(prefix < SPAN)
         least = np.minimum.reduceat(docs[frag], group)
         offset = counts[frag] + SPAN - 1 - (names & 255)
         out[first[frag] + offset] = np.repeat(least, np.diff(np.r_[group, len(names)]))
     return np.split(out, first[1:]) if len(counts) else []
 
 
+def _string_hashes(view: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 48-bit hash of the 50 bytes from each place."""
+    out = np.full(len(at), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for a in range(0, len(at), 1 << 16):
+        some = np.zeros((len(at[a : a + (1 << 16)]), 56), dtype=np.uint8)
+        some[:, :SPAN] = view[at[a : a + (1 << 16)], :SPAN]
+        for w in some.view("<u8").T:
+            h = (out[a : a + (1 << 16)] ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+            out[a : a + (1 << 16)] = h ^ (h >> np.uint64(31))
+    return (out * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - BITS)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (and ``kept``, the remaining bytes, if asked for).
 
@@ -164,9 +190,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = shared_dir(spark, "repeats")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = (int(total) // BUCKET).bit_length()  # 2**bits buckets
-    bits = min(16, max(4, bits if bits <= 10 else 10 + (bits - 10) // 2))
-    buckets = 1 << bits
+    bits = bucket_bits(int(total))
+    buckets = min(1 << bits, TASKS)
     lift = np.uint64(BITS - bits)
 
     def by_bucket(values: np.ndarray) -> list[tuple[int, int, int]]:
@@ -194,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield rows_of(PARTS, rows)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each unit, which of its minimizers another document has too."""
+        """For each unit, which of its minimizers another document has too, and which are those of very many units."""
         for bucket, rows in grouped(batches, "bucket"):
             values, flags, sizes = [], [], []
             for r in rows:
@@ -207,11 +232,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             value, flag = np.concatenate(values), np.concatenate(flags)
             order = np.argsort(value, kind="stable")
             v = value[order]
-            equal = v[1:] == v[:-1]
-            hot = np.r_[False, equal] | np.r_[equal, False]
-            flag[order[hot]] = True
+            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            units = np.repeat(np.diff(np.r_[first, len(v)]), np.diff(np.r_[first, len(v)]))
+            flag[order[units > 1]] = True
+            hot = np.zeros(len(v), dtype=bool)
+            hot[order[units >= HOT]] = True
             at = np.cumsum(sizes) - sizes
-            out = [(r["unit"], bucket, np.packbits(flag[a : a + n]).tobytes()) for r, a, n in zip(rows, at.tolist(), sizes, strict=True) if flag[a : a + n].any()]
+            out = [(r["unit"], bucket, np.packbits(flag[a : a + n]).tobytes() + (np.packbits(hot[a : a + n]).tobytes() if hot[a : a + n].any() else b"")) for r, a, n in zip(rows, at.tolist(), sizes, strict=True) if flag[a : a + n].any()]
             if out:
                 yield rows_of(PARTS, out)
 
@@ -221,18 +248,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             unit = _Unit.get(f"{base}/unit-{number}")
             at, count, value = unit.runs()
             own, which = np.unique(value, return_inverse=True)
-            hot = np.zeros(len(own), dtype=bool)
-            bitmap = {r["bucket"]: r["blob"] for r in rows}
+            shared, hot = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+            bitmap = {r["bucket"]: np.frombuffer(r["blob"], "u1") for r in rows}
             for b, a, z in by_bucket(own):
                 if b in bitmap:
-                    hot[a:z] = np.unpackbits(np.frombuffer(bitmap[b], "u1"), count=z - a).astype(bool)
-            keep = hot[which]
-            at, count, value = at[keep], count[keep], value[keep]
+                    n = (z - a + 7) // 8
+                    shared[a:z] = np.unpackbits(bitmap[b][:n], count=z - a).astype(bool)
+                    if len(bitmap[b]) > n:
+                        hot[a:z] = np.unpackbits(bitmap[b][n:], count=z - a).astype(bool)
+            view = np.lib.stride_tricks.sliding_window_view(np.concatenate([unit.data, np.zeros(WIDTH, np.uint8)]), WIDTH)
+            keep, single = shared[which] & ~hot[which], hot[which]
+            if single.any():
+                n = count[single]
+                one = np.repeat(at[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at, count, value = np.r_[at[keep], one], np.r_[count[keep], np.ones(len(one), dtype=count.dtype)], np.r_[value[keep], _string_hashes(view, one)]
+            else:
+                at, count, value = at[keep], count[keep], value[keep]
             order = np.argsort(value, kind="stable")
             at, count, value = at[order], count[order], value[order]
             doc = unit.doc_at(at)
             kinds = np.empty(len(at), dtype=np.int64)
-            view = np.lib.stride_tricks.sliding_window_view(np.concatenate([unit.data, np.zeros(WIDTH, np.uint8)]), WIDTH)
             out = []
             for b, a, z in by_bucket(value):
                 matrix = _matrix(view, at[a:z], count[a:z])
@@ -243,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = count[a:z][first]
                 whole = matrix[first][np.arange(WIDTH) < (n + SPAN - 1)[:, None]]
                 out.append((number, b, zipped(n.astype("u1"), least, whole)))
-            put_file(f"{base}/hot-{number}", zipped(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u4")))
+            put_file(f"{base}/hot-{number}", zipped(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u8")))
             yield rows_of(PARTS, out)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +299,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first, kind = _alike(matrix, count)
             least = np.full(len(first), NONE)
             np.minimum.at(least, kind, doc)
-            matrix = matrix[first]
-            answer = _answers(matrix, count[first], least)
+            held = [matrix[first]]
+            del matrix
+            answer = _answers(held, count[first], least)
             at = 0
             out = []
             for r, n in zip(rows, sizes, strict=True):
@@ -281,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             start = np.zeros(len(unit.data), dtype=bool)
             blobs = {r["bucket"]: r["blob"] for r in rows if r["bucket"] >= 0}
             if blobs:
-                at, count, kind, bucket = unzipped(get_file(f"{base}/hot-{number}"), "<i8", "u1", "<u4", "<u4")
+                at, count, kind, bucket = unzipped(get_file(f"{base}/hot-{number}"), "<i8", "u1", "<u4", "<u8")
                 count = count.astype(np.int64)
                 for b in np.unique(bucket).tolist():
                     a, z = np.searchsorted(bucket, [b, b + 1])
@@ -312,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if files is None:
         return spark.createDataFrame([], result)
     units = written(files.select(F.regexp_extract("path", r"unit-(\d+)$", 1).cast("long").alias("unit"), F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob")), "repeats-units")
-    n = max(1, units.count())
+    n = min(TASKS, max(1, units.count()))
     cut = hot.repartition(n, "unit").sortWithinPartitions("unit", "bucket").mapInArrow(fragments, PARTS)
     told = written(cut.repartition(buckets, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(solve, PARTS), "repeats-told")
     return units.unionByName(told).repartition(n, "unit").sortWithinPartitions("unit", "bucket").mapInArrow(remove, result)
