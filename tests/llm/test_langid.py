@@ -1,7 +1,10 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,6 +57,77 @@ def test_held_out_accuracy_on_all_documents(spark, sf):
     assert right >= 0.97 * held
 
 
+def plain(rows):
+    """``rows``: (id, text, lang) -> (prediction, score), by dictionaries of trigrams and a walk over the words."""
+    mask = (1 << 64) - 1
+
+    def bucket(a, b, c):
+        h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & mask
+        h ^= h >> 29
+        return ((h * 0xBF58476D1CE4E5B9) & mask) >> 48
+
+    def words(text):
+        for m in regex.finditer(r"[\p{L}\p{M}]+", (text or "").lower()):
+            if regex.search(r"\p{L}", m[0]):
+                w = [32, *map(ord, m[0]), 32]
+                script = next(s for c, s in sorted(langid.SCRIPTS.items(), reverse=True) if c <= w[1])
+                yield len(m[0]), script, [bucket(*w[i : i + 3]) for i in range(len(m[0]))]
+
+    grams, scripts = {}, {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for _, script, found in words(text):
+                grams.setdefault(lang, Counter()).update(found)
+                scripts.setdefault(lang, Counter())[script] += 1
+    langs = sorted(grams)
+    total = {x: sum(grams[x].values()) for x in langs}
+    uses = {x: {s for s, n in scripts[x].items() if n >= 0.01 * sum(scripts[x].values())} for x in langs}
+    loss = {x: lambda g, x=x: math.log((grams[x][g] + langid.SMOOTH) / (total[x] + langid.SMOOTH * langid.BUCKETS)) for x in langs}
+    out = {}
+    for i, text, _ in rows:
+        best, back, sizes = None, [], []
+        for size, script, found in words(text):
+            may = [x for x in langs if script in uses[x]]
+            emit = [sum(map(loss[x], found)) - (langid.OFF_SCRIPT if may and x not in may else 0) for x in langs]
+            if best is None:
+                best, came = emit, [*range(len(langs))]
+            else:
+                top = max(range(len(langs)), key=lambda k: (best[k], -k))
+                came = [k if best[k] >= best[top] - langid.SWITCH else top for k in range(len(langs))]
+                best = [max(best[k], best[top] - langid.SWITCH) + emit[k] for k in range(len(langs))]
+            back.append(came)
+            sizes.append(size)
+        if not sizes or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        state, letters = max(range(len(langs)), key=lambda k: (best[k], -k)), [0] * len(langs)
+        for came, size in zip(reversed(back), reversed(sizes), strict=True):
+            letters[state] += size
+            state = came[state]
+        k = max(range(len(langs)), key=lambda k: (letters[k], -k))
+        out[i] = (langs[k], letters[k] / sum(letters))
+    return out
+
+
+def test_predictions_by_a_plain_restatement(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    want = plain([tuple(r) for r in docs])
+    for r in queries.op5_language_id(spark, sf).collect():
+        assert (r.lang_pred, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], abs=0.02)), r.doc_id
+
+
+def test_marks_belong_to_words_and_many_languages_are_an_error(spark, monkeypatch):
+    hindi = "यह एक घर है और वह बगीचा है"
+    words = langid._Letters([hindi, "́ ̈", "é"])
+    assert [(hindi[a - 1 : z - 1]) for a, z in zip(words.first[:8], words.stop[:8], strict=True)] == hindi.split() and words.doc.tolist() == [0] * 8 + [2]
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(30)] + [(99, "́ ̈", None)], "doc_id long, text string, lang string").coalesce(1)
+    assert langid.identify(docs.where("doc_id > 5")).where("doc_id = 99").first().lang_pred == "und"
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    with pytest.raises(Exception, match="more than 5 languages"):
+        langid.train(docs)
+
+
 def test_mixed_text_scripts_and_edge_cases(spark):
     en, fr, ru = "the house and the garden with old trees", "la maison et le jardin avec les arbres", "старый дом и большой сад"
     rows = [(1000 + i, t * 30, x) for i, (t, x) in enumerate([(en, "en"), (fr, "fr"), (ru, "ru")] * 20)] + [(1100, None, "en"), (1101, en, None), (None, "x", "en")]

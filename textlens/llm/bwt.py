@@ -6,9 +6,11 @@ suffixes. Where it belongs follows from the transform alone: the suffix ``cX`` s
 and ``Y``, the smallest of the prefixes between them, so prefixes are carried from round to round and strings are never
 compared.
 
-The transform, the suffixes' names and the prefixes are files that each round reads and writes once from front to back;
-the strings are a file of columns, of which a round reads one. So memory holds one symbol's state (a hundred bytes) a
-string and a block of each file, but no strings. The files take about a kilobyte a string of the task's own scratch space, and go with the task.
+The transform and the prefixes are a file that each round reads and writes once from front to back; the strings are a
+file of columns, of which a round reads one. So the rounds hold one symbol's state (a hundred bytes) a string and a block
+of the file, but no strings. Which suffix stands where is found at the end by walking all strings backward through the
+finished transform at once, for which that is read whole. The files take some hundred bytes a string of the task's own
+scratch space, and go with the task.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import os
 import numpy as np
 
 #: Entries that are read at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 
 
 class Collection:
@@ -53,32 +55,26 @@ class Collection:
         return np.fromfile(self.path, self.type, n, offset=j * n * self.type.itemsize)
 
 
-class _Files:
-    """The sequential files of one round: symbols, names and common prefixes with the suffix before."""
+class _File:
+    """The sequential file of one round, an entry a suffix: a word of its symbol and, above, its common prefix with the one before."""
 
-    def __init__(self, folder: str, number: int, types: list[np.dtype]):
-        self.types = types
-        self.paths = [os.path.join(folder, f"{number}-{i}") for i in range(len(types))]
+    def __init__(self, strings: Collection, number: int):
+        self.path, self.symbol, self.bits = os.path.join(strings.folder, str(number)), strings.type, 8 * strings.type.itemsize
+        self.type = np.dtype("<u2") if self.bits == 8 else np.dtype("<u4")
 
-    def chunks(self, *which: int):
-        files = [open(self.paths[i], "rb") for i in which]  # noqa: SIM115
-        try:
-            while len(first := np.fromfile(files[0], self.types[which[0]], CHUNK)):
-                yield first, *(np.fromfile(f, self.types[i], CHUNK) for f, i in zip(files[1:], which[1:], strict=True))
-        finally:
-            for f in files:
-                f.close()
+    def symbols(self, entries: np.ndarray) -> np.ndarray:
+        return entries.astype(self.symbol)  # the lower part
 
-    def drop(self) -> None:
-        for p in self.paths:
-            os.remove(p)
+    def prefixes(self, entries: np.ndarray) -> np.ndarray:
+        return (entries >> self.type.type(self.bits)).astype(np.uint8)
 
+    def entries(self, symbols: np.ndarray, prefixes: np.ndarray | int = 0) -> np.ndarray:
+        return (np.asarray(prefixes).astype(self.type) << self.type.type(self.bits)) | symbols.astype(self.type)
 
-def _merged(old: np.ndarray, stay: np.ndarray, own: np.ndarray, new: np.ndarray | int) -> np.ndarray:
-    out = np.empty(len(stay), dtype=old.dtype)
-    out[stay] = old
-    out[own] = new
-    return out
+    def blocks(self):
+        with open(self.path, "rb") as f:
+            while len(entries := np.fromfile(f, self.type, CHUNK)):
+                yield entries
 
 
 def least_between(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,16 +91,13 @@ def least_between(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
     return out
 
 
-def sorted_suffixes(strings: Collection, common: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names (string * 256 + length) of the suffixes of at least ``common`` bytes in order, and the common prefix of each with the one before, up to ``common``."""
+def transformed(strings: Collection, common: int) -> _File:
+    """The finished transform with common prefixes up to ``common``."""
     n, sigma, small = len(strings.lengths), strings.sigma, strings.type
-    types = [small, np.dtype("<u4") if n < 1 << 24 else np.dtype("<i8"), np.dtype("u1")]
     # the empty suffixes, in the strings' order
-    now = _Files(strings.folder, 0, types)
+    now = _File(strings, 0)
     symbol = strings.column(0) if n else np.zeros(0, small)
-    symbol.tofile(now.paths[0])
-    (np.arange(n, dtype=np.int64) << 8).astype(types[1]).tofile(now.paths[1])
-    np.zeros(n, dtype=types[2]).tofile(now.paths[2])
+    now.entries(symbol).tofile(now.path)
     totals = np.bincount(symbol, minlength=sigma)
     live = np.flatnonzero(symbol)
     at = live.copy()  # where the latest suffix of each live string stands
@@ -113,77 +106,99 @@ def sorted_suffixes(strings: Collection, common: int) -> tuple[np.ndarray, np.nd
             break
         below = n + np.cumsum(totals) - totals - totals[0]
         # 1. read symbols and prefixes: the new places, and the prefixes that change
-        put, symbols = np.empty(len(live), dtype=np.int64), np.empty(len(live), dtype=small)
+        puts, whose = [], []
         changed: list[tuple[np.ndarray, np.ndarray]] = []
         size = int(totals.sum())
         seen, start, k = np.zeros(sigma, dtype=np.int64), 0, 0
         least, fresh = np.full(sigma, 255, dtype=np.uint8), np.zeros(sigma, dtype=bool)  # since each symbol's last place; whether that is new
-        for bwt, prefix in now.chunks(0, 2):
-            m = len(bwt)
+        for entries in now.blocks():
+            bwt, prefix, m = now.symbols(entries), now.prefixes(entries), len(entries)
             stop = int(np.searchsorted(at, start + m))
             counts = totals if m == size else np.bincount(bwt, minlength=sigma)
             begin = np.cumsum(counts) - counts
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(m, dtype=np.int32)
-            rank[order] = np.arange(m, dtype=np.int32)
+            order = np.argsort(bwt, kind="stable")  # by symbol, and inside one as they stand
             base = below + seen - begin
-            own = at[k:stop] - start
-            symbols[k:stop] = c = bwt[own]
-            r = rank[own]
-            put[k:stop] = base[c] + r
+            new = np.zeros(m, dtype=bool)
+            new[at[k:stop] - start] = True
+            placed = new[order]
+            r = np.flatnonzero(placed)
+            p = order[r]
+            puts.append(base[bwt[p]] + r)
+            whose.append(k + np.searchsorted(at[k:stop] - start, p))
             # a new suffix and the one that follows it among those of its symbol get new prefixes
-            touched = np.zeros(m + 1, dtype=bool)
-            touched[own] = True
-            new = touched[:m].copy()
-            follows = r + 1 < (begin + counts)[c]
-            touched[order[r[follows] + 1]] = True
-            touched[order[begin[fresh & (counts > 0)]]] = True
-            p = np.flatnonzero(touched[:m])
-            c, q = bwt[p], rank[p].astype(np.int64)
+            placed[1:] |= placed[:-1].copy()
+            placed[begin[fresh & (counts > 0)]] = True
+            q = np.flatnonzero(placed)
+            p = order[q]
+            c = bwt[p]
             first = q == begin[c]
             value = least_between(prefix, np.where(first, 0, order[np.maximum(q - 1, 0)] + 1), p)
             value = np.where(first, np.minimum(value, least[c]), value)
             value = np.where(first & (seen[c] == 0), 0, np.minimum(value, common - 1) + 1)
-            changed.append((base[c] + q, value.astype(np.uint8)))
-            rest = np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255)]
-            here = counts > 0
-            last = order[(begin + counts - 1)[here]]
-            least[~here] = np.minimum(least[~here], rest[0])
-            least[here], fresh[here] = rest[last + 1], new[last]
+            ok = c > 0
+            changed.append((base[c[ok]] + q[ok], value[ok].astype(np.uint8)))
             seen += counts
             start, k = start + m, stop
-        order = np.argsort(symbols, kind="stable")  # places rise with the symbol, and inside one as before
-        put, live = put[order], live[order]
-        where, value = (np.concatenate(x) for x in zip(*changed, strict=True))
-        order = np.argsort(where, kind="stable")
-        where, value = where[order], value[order]
+            if start < size:  # for the next block: the least prefix from each symbol's last place to this one's end
+                here = np.flatnonzero(counts)
+                last = order[(begin + counts - 1)[here]]
+                least = np.minimum(least, prefix.min())
+                ends = last == m - 1
+                least[here[ends]] = 255
+                least[here[~ends]] = least_between(prefix, last[~ends] + 1, np.full((~ends).sum(), m - 1))
+                fresh[here] = new[last]
+        (where, value), put, who = changed[0], puts[0], whose[0]
+        if m < size:  # places rise inside a block only
+            put, who, where, value = (np.concatenate(x) for x in (puts, whose, *zip(*changed, strict=True)))
+            order = np.argsort(put, kind="stable")
+            put, who = put[order], who[order]
+            order = np.argsort(where, kind="stable")
+            where, value = where[order], value[order]
+        live = live[who]
         new = strings.column(j)[live]
-        # 2. read the files and write them with the new suffixes in place
-        then = _Files(strings.folder, j, types)
-        outs = [open(path, "wb") for path in then.paths]  # noqa: SIM115
+        entering = now.entries(new)
+        # 2. read the file and write it with the new suffixes in place
+        then = _File(strings, j)
         before = put - np.arange(len(put))  # in the old order
         start, k, f, wrote = 0, 0, 0, 0
-        for bwt, name, prefix in now.chunks(0, 1, 2):
-            end = start + len(bwt)
-            stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))
-            own = put[k:stop] - wrote
-            stay = np.ones(len(bwt) + stop - k, dtype=bool)
-            stay[own] = False
-            prefix = _merged(prefix, stay, own, 0)
-            g = int(np.searchsorted(where, wrote + len(stay)))
-            prefix[where[f:g] - wrote] = value[f:g]
-            for file, x in zip(outs, (_merged(bwt, stay, own, new[k:stop]), _merged(name, stay, own, ((live[k:stop] << 8) + j).astype(types[1])), prefix), strict=True):
-                x.tofile(file)
-            start, k, f, wrote = end, stop, g, wrote + len(stay)
-        for file in outs:
-            file.close()
-        now.drop()
+        with open(then.path, "wb") as out:
+            for entries in now.blocks() if m < size else [entries]:
+                end = start + len(entries)
+                stop = int(np.searchsorted(before, end, side="right" if end == size else "left"))
+                own = put[k:stop] - wrote
+                stay = np.ones(len(entries) + stop - k, dtype=bool)
+                stay[own] = False
+                both = np.empty(len(stay), dtype=now.type)
+                both[stay] = entries
+                both[own] = entering[k:stop]
+                g = int(np.searchsorted(where, wrote + len(stay)))
+                at = where[f:g] - wrote
+                both[at] = now.entries(now.symbols(both[at]), value[f:g])
+                both.tofile(out)
+                start, k, f, wrote = end, stop, g, wrote + len(stay)
+        os.remove(now.path)
         now = then
         totals += np.bincount(new, minlength=sigma)
         at, live = put[new > 0], live[new > 0]
-    names, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    for name, prefix in now.chunks(1, 2):
-        long = name & 255 >= common
-        names.append(name[long].astype(np.int64))
-        found.append(prefix[long])
-    return np.concatenate(names), np.concatenate(found)
+    return now
+
+
+def sorted_suffixes(strings: Collection, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names (string * 256 + length) of the suffixes of at least ``common`` bytes in order, and the common prefix of each with the one before, up to ``common``."""
+    last = transformed(strings, common)
+    entries = np.fromfile(last.path, last.type)
+    bwt = last.symbols(entries)
+    n, totals = len(strings.lengths), np.bincount(bwt, minlength=strings.sigma)
+    order = np.argsort(bwt, kind="stable")
+    step = np.empty(len(bwt), dtype=np.int64)  # from each suffix to the one with the symbol before it
+    step[order] = np.arange(len(bwt)) + n - totals[0]
+    del order
+    names = np.full(len(bwt), -1, dtype=np.int64)
+    who = at = np.arange(n)
+    for j in range(strings.columns):
+        if j >= common:
+            names[at] = (who << 8) + j
+        go = bwt[at] > 0
+        who, at = who[go], step[at[go]]
+    long = names >= 0
+    return names[long], last.prefixes(entries[long])

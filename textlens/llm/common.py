@@ -7,7 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             spark.conf.set("textlens.local.shared", base)
     if "://" not in base and not base.startswith("file:"):
         base = _qualified(spark, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+#: Folders of the operators that run now, for each ``finished`` that is open.
+_SCRATCH: list[list[str]] = []
+
+
+def finished(run: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``run`` gives, as a table in the shared folder; all that it wrote there on the way is removed."""
+    _SCRATCH.append([])
+    try:
+        out = run()
+        spark, made = out.sparkSession, _SCRATCH[-1]
+        _SCRATCH[-1] = []
+        done = written(out, name)
+        _SCRATCH[-1] = made
+    finally:
+        made = _SCRATCH.pop()
+    for path in made:
+        drop_written(spark, path)
+    return done
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -156,3 +179,58 @@ def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "int": pa.int32()}
     cols = zip(*rows, strict=True) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+def kept_rows(numbered: DataFrame, row: str, stay: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose ``row`` (of ``monotonically_increasing_id``) is one of ``stay``, without that column.
+
+    What stays is written as one small file of bits for each partition that the rows were numbered in, and looked up where
+    the rows are read. So rows with their texts are never shuffled, however many stay.
+    """
+    spark = numbered.sparkSession
+    base = shared_dir(spark, "kept-rows")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def put() -> pa.RecordBatch:
+            at = np.concatenate(held)
+            bits = np.zeros(int(at[-1]) + 1, dtype=bool)
+            bits[at] = True
+            put_file(f"{base}/{now}", np.packbits(bits).tobytes())
+            return rows_of("part bigint, n bigint", [(now, len(at))])
+
+        for batch in batches:
+            part, at = batch.column("part").to_numpy(), batch.column("at").to_numpy()
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for i, z in zip(cut, cut[1:], strict=False):
+                if z > i:
+                    if held and part[i] != now:
+                        yield put()
+                        held = []
+                    now = int(part[i])
+                    held.append(at[i:z])
+        if held:
+            yield put()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, np.zeros(0, dtype=bool)
+        for batch in batches:
+            rows = batch.column(row).to_numpy()
+            keep = np.zeros(len(rows), dtype=bool)
+            for part in np.unique(rows >> 33).tolist():
+                if part != now:
+                    try:
+                        bits = np.unpackbits(np.frombuffer(get_file(f"{base}/{part}"), dtype=np.uint8)).astype(bool)
+                    except FileNotFoundError:  # nothing of it stays
+                        bits = np.zeros(0, dtype=bool)
+                    now = part
+                own = np.flatnonzero(rows >> 33 == part)
+                at = rows[own] & ((1 << 33) - 1)
+                keep[own[at < len(bits)]] = bits[at[at < len(bits)]]
+            yield batch.filter(pa.array(keep)).drop_columns([row])
+
+    placed = stay.select(F.shiftright(row, 33).alias("part"), F.col(row).bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    written(placed.repartition("part").sortWithinPartitions("part", "at").mapInArrow(write, "part bigint, n bigint"), "kept-parts")
+    rest = numbered.drop(row)
+    return numbered.mapInArrow(read, rest.schema)

@@ -7,6 +7,7 @@ word's script are no candidates. The best labelling of a text's words pays ``SWI
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, in_pieces
+from .common import free_name, in_pieces, written
 
 BUCKETS, SWITCH, SMOOTH, OFF_SCRIPT = 1 << 16, 8.0, 0.1, 60.0
+#: Languages of a model at most: each takes a row of counts in every task, so more (a dirty column) are an error.
+LANGUAGES = 500
 #: Words of a block: the labelling runs over all blocks of a batch side by side, so long texts need no more steps.
 BLOCK = 192
 #: Bytes of text that are labelled together; arrays take some 60 times as much.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 #: First code point of each script range, and its script; ranges end where the next starts.
 SCRIPTS = {
@@ -43,16 +46,26 @@ class _Letters:
     """Words of a batch of texts as arrays over code points."""
 
     table: np.ndarray | None = None
+    marks: np.ndarray | None = None
 
     def __init__(self, texts: list[str | None]):
         if _Letters.table is None:
-            _Letters.table = np.fromiter((not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+            # letters, and the vowel signs and accents that belong to them
+            for name, some in (("table", "LM"), ("marks", "M")):
+                setattr(_Letters, name, np.fromiter((unicodedata.category(chr(c))[0] in some for c in range(0x110000)), dtype=bool, count=0x110000))
         low = [(t or "").lower() for t in texts]
         points = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _Letters.table[np.minimum(points, 0x10FFFF)]
         starts = np.cumsum([1, *(len(t) + 1 for t in low)])[:-1]  # of texts
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         self.first, self.stop = edge[::2], edge[1::2]  # of words
+        marks = _Letters.marks[np.minimum(points, 0x10FFFF)]
+        if marks.any():  # marks alone are no word
+            bare = np.cumsum(letter & ~marks)
+            word = bare[self.stop - 1] > bare[self.first - 1]
+            for a, z in zip(self.first[~word].tolist(), self.stop[~word].tolist(), strict=True):
+                letter[a:z] = False
+            self.first, self.stop = self.first[word], self.stop[word]
         self.size = (self.stop - self.first).astype(np.int64)
         at = np.flatnonzero(letter)
         seq = np.where(letter, points, 0x20).astype(np.uint64)
@@ -79,6 +92,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 own = langs == lang
                 for kind, found, n in (("gram", words.bucket[own[per_letter]], BUCKETS), ("script", words.script[own[words.doc]], len(NAMES))):
                     if (lang, kind) not in totals:
+                        if len(totals) >= 2 * LANGUAGES:
+                            raise ValueError(f"more than {LANGUAGES} languages")
                         totals[lang, kind] = np.zeros(n, dtype=np.int64)
                     totals[lang, kind] += np.bincount(found, minlength=n)
         for (lang, kind), n in totals.items():
@@ -86,7 +101,10 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array([kind] * len(hit), pa.string()), pa.array(hit), pa.array(n[hit])], names=["lang", "kind", "at", "n"])
 
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = known.mapInArrow(count, "lang string, kind string, at bigint, n bigint").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    sums = written(known.mapInArrow(count, "lang string, kind string, at bigint, n bigint").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")), "langid-counts")
+    if sums.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    sums = sums.toPandas()  # at most BUCKETS and the number of scripts for each language
     languages = sorted(set(sums["lang"]))
     grams, scripts = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), len(NAMES)))
     row = sums["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import finished
 from . import langid, lm, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
 
 
@@ -31,12 +32,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without passages of smaller documents."""
-    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return finished(lambda: repeats.remove_repeats(_table(spark, sf_dir, "documents")), "op2-repeats")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    return finished(lambda: warc.round_trip(_table(spark, sf_dir, "pages")), "op3-warc")
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = finished(lambda: simhash.near_duplicates(_table(spark, sf_dir, "documents")), "op6-simhash")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -63,7 +64,7 @@ def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and risk-controlled verdict of every document."""
-    out = quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = finished(lambda: quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "op8-quality")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
@@ -74,7 +75,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+    out = finished(lambda: mixing.mix(_table(spark, sf_dir, "documents")), "op10-mix")
+    return out.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -34,6 +34,8 @@ SPAN, GRAM = 50, 20
 RUN = SPAN - GRAM + 1
 #: Bytes of text in a unit file, about how many are dealt to a bucket, and units from which a minimizer's strings are dealt one by one.
 UNIT, BUCKET, HOT = 8 << 20, 4 << 20, 2000
+#: Fragments that are sorted together, about: small enough for the caches.
+STRINGS = 8000
 #: Tasks of a pass at most; beyond, a task takes several buckets or units, one after the other.
 TASKS = 1 << 15
 BITS = 48
@@ -167,6 +169,18 @@ def _answers(fragments: list[np.ndarray], counts: np.ndarray, docs: np.ndarray)
     return np.split(out, first[1:]) if len(counts) else []
 
 
+def _by_parts(matrix: np.ndarray, first: np.ndarray, counts: np.ndarray, docs: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """The answers to the fragments ``first``, from collections of about ``STRINGS`` each: equal strings are of one part."""
+    shift = max(0, 8 - (len(first) // STRINGS).bit_length())
+    part = part[first] >> shift
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(first)
+    for k in np.unique(part).tolist():
+        own = np.flatnonzero(part == k)
+        for i, x in zip(own.tolist(), _answers([matrix[first[own]]], counts[first[own]], docs[own]), strict=True):
+            out[i] = x
+    return out
+
+
 def _string_hashes(view: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 48-bit hash of the 50 bytes from each place."""
     out = np.full(len(at), 0x9E3779B97F4A7C15, dtype=np.uint64)
@@ -277,16 +291,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds[a:z] = kind
                 n = count[a:z][first]
                 whole = matrix[first][np.arange(WIDTH) < (n + SPAN - 1)[:, None]]
-                out.append((number, b, zipped(n.astype("u1"), least, whole)))
+                part = (value[a:z][first] >> (lift - np.uint64(8))).astype("u1")  # of the bucket, by the minimizer's next bits
+                out.append((number, b, zipped(n.astype("u1"), least, whole, part)))
             put_file(f"{base}/hot-{number}", zipped(at.astype("<i8"), count.astype("u1"), kinds.astype("<u4"), (value >> lift).astype("<u8")))
             yield rows_of(PARTS, out)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sort the suffixes of a bucket's fragments; answer each unit."""
         for bucket, rows in grouped(batches, "bucket"):
-            counts, docs_, matrices, sizes = [], [], [], []
+            counts, docs_, matrices, sizes, parts = [], [], [], [], []
             for r in rows:
-                n, least, whole = unzipped(r.pop("blob"), "u1", "<i8", "u1")
+                n, least, whole, part = unzipped(r.pop("blob"), "u1", "<i8", "u1", "u1")
+                parts.append(part)
                 n = n.astype(np.int64)
                 matrix = np.zeros((len(n), WIDTH), dtype=np.uint8)
                 matrix[np.arange(WIDTH) < (n + SPAN - 1)[:, None]] = whole
@@ -299,9 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first, kind = _alike(matrix, count)
             least = np.full(len(first), NONE)
             np.minimum.at(least, kind, doc)
-            held = [matrix[first]]
-            del matrix
-            answer = _answers(held, count[first], least)
+            answer = _by_parts(matrix, first, count, least, np.concatenate(parts))
             at = 0
             out = []
             for r, n in zip(rows, sizes, strict=True):

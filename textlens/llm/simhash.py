@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, in_pieces, written
+from .common import free_name, in_pieces, kept_rows, written
 
 SHINGLE, RADIUS, SEED, FANOUT = 4, 4, 42, 8
 #: Rows of a block group that one task takes at most; larger groups are cut and each pair of parts is a task's work.
@@ -216,4 +216,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = written(near_duplicates(numbered, id_col, text_col, shingle, radius, row), "simhash-found")
     # components without any id are kept apart by their fingerprints' class
     stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias(row))
-    return numbered.join(stay, row, "left_semi").select(*docs.columns)
+    return kept_rows(numbered, row, stay).select(*docs.columns)
