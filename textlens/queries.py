@@ -5,6 +5,8 @@ Inline fixtures exercise the Chinese profile; they are written once and given to
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 from .functions import segment
 from .functions import text as X
 from .operators import corpus, fingerprint, names, overlap, rewrite, rules, templates
+from .plans import cli
 from .profiles import LATIN, ZH
+from .sources import corpus as files
+from .sources import sinks
 
 P = LATIN
 SEED, TARGET = 42, 0.5
@@ -595,3 +600,98 @@ SEGMENTS = [("方向", 50), ("你好", 40), ("好", 10), ("方", 1), ("向你",
 def segmented_words(spark, sf_dir):
     cut = segment.segmenter(spark.createDataFrame(SEGMENTS, "term string, freq long"))
     return spark.createDataFrame(SENTENCES_ZH, "id int, text string").select("id", F.array_join(cut(F.col("text")), "|").alias("words"))
+
+
+# files: a small folder is written, then read by the sources and written by the sinks
+FOLDER = {"in/甲/1.txt": "方向你好。", "in/甲/2.txt": "第二篇，" * 400, "in/b/1.txt": "one\r\ntwo\rthree", "in/b/gbk.txt": "短文".encode("gbk"), "in/b/note.md": "no", "in/root.txt": "ignored", "flat/x.txt": b"\xef\xbb\xbfabc\xff", "story.txt": "One. Two!\r\nThree?"}
+
+
+def _folder(spark) -> str:
+    """The files, in a new folder of this machine; for local runs."""
+    root = tempfile.mkdtemp(prefix="textlens-files-")
+    for name, content in FOLDER.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(content if isinstance(content, bytes) else content.encode())
+    return root
+
+
+@query("SELECT * FROM (VALUES ('all', '甲', '1.txt', '方向你好。'), ('all', '甲', '2.txt', NULL), ('all', 'b', '1.txt', 'one' || chr(13) || chr(10) || 'two' || chr(13) || 'three'), ('all', 'b', 'gbk.txt', '短文'), ('one', 'b', '1.txt', 'one' || chr(13) || chr(10) || 'two' || chr(13) || 'three'), ('one', 'b', 'gbk.txt', '短文'), ('flat', 'corpus', 'x.txt', chr(65279) || 'abc�')) AS v(scan, category, name, text)")
+def scanned_files(spark, sf_dir):
+    """All categories, one, and a folder without any; undecodable bytes and other endings. Long texts are left out of the comparison."""
+    root = _folder(spark)
+    scans = {"all": files.scan(spark, f"{root}/in"), "one": files.scan(spark, f"{root}/in", "b"), "flat": files.scan(spark, f"{root}/flat"), "none": files.scan(spark, f"{root}/in", "c"), "missing": files.scan(spark, f"{root}/no")}
+    rows = [d.select(F.lit(k).alias("scan"), "category", X.basename(F.col("path")).alias("name"), F.when(F.length("text") < 100, F.col("text")).alias("text")) for k, d in scans.items()]
+    return corpus.union_all(*rows)
+
+
+@query("SELECT * FROM (VALUES ('small', '甲', '1.txt'), ('large', '甲', '2.txt'), ('flat', 'corpus', 'x.txt'), ('replaced', 'b', '1.txt'), ('replaced', 'b', 'gbk.txt')) AS v(pick, category, name)")
+def picked_files(spark, sf_dir):
+    """By size in kilobytes; a missing category takes the folder itself."""
+    root = _folder(spark)
+    picks = {"small": files.pick(spark, f"{root}/in", "甲", 9, 0, 1), "large": files.pick(spark, f"{root}/in", "甲", 9, 1), "flat": files.pick(spark, f"{root}/flat", "甲", 9), "replaced": files.pick(spark, f"{root}/in", "b", 9)}
+    return corpus.union_all(*[d.select(F.lit(k).alias("pick"), "category", X.basename(F.col("path")).alias("name")) for k, d in picks.items()])
+
+
+@query("SELECT 'One. Two!' || chr(10) || 'Three?' AS text")
+def story_text(spark, sf_dir):
+    return files.story(spark, f"{_folder(spark)}/story.txt").select("text")
+
+
+def _message(run) -> str:
+    try:
+        run()
+    except (ValueError, FileNotFoundError) as e:
+        return type(e).__name__
+    return "none"
+
+
+@query("SELECT * FROM (VALUES ('missing story', 'FileNotFoundError'), ('unknown stage', 'ValueError'), ('known stage', 'none'), ('two documents', 'ValueError'), ('three documents', 'none'), ('source as target', 'ValueError'), ('lexicon too long', 'ValueError')) AS v(kind, error)")
+def guards(spark, sf_dir):
+    """What stops a run, and what doesn't."""
+    three = spark.range(3)
+    cases = {
+        "missing story": lambda: files.story(spark, "/no/such/story.txt"), "unknown stage": lambda: templates.stage_index("x"), "known stage": lambda: templates.stage_index("优化"),
+        "two documents": lambda: corpus.require(three.limit(2)), "three documents": lambda: corpus.require(three), "source as target": lambda: sinks.write_rewritten(three, "/tmp/a.txt", "/tmp/./a.txt"),
+        "lexicon too long": lambda: corpus.with_any(three.selectExpr("'a' AS text"), three.selectExpr("string(id) AS term"), most=2),
+    }
+    return spark.createDataFrame([(k, _message(run)) for k, run in cases.items()], "kind string, error string")
+
+
+@query("SELECT * FROM (VALUES ('paths', '甲/1.txt'), ('paths', '甲/2.txt'), ('prompts', '人设: P'), ('findings', 'issue length'), ('findings', 'pass template'), ('rewritten', 'One! Two!' || chr(10) || 'Three?'), ('placeholder', 'true'), ('placeholder', 'true'), ('placeholder', 'false'), ('log', 'warn: a'), ('log', 'end'), ('log', 'run of')) AS v(sink, line)")
+def written_files(spark, sf_dir):
+    """What each sink writes, read back."""
+    root = _folder(spark)
+    sinks.write_paths(files.scan(spark, f"{root}/in", "甲"), f"{root}/paths")
+    sinks.write_prompts(spark.createDataFrame([("人设", "P")], "stage string, prompt string"), f"{root}/prompts")
+    found = spark.createDataFrame([("issue", "length"), ("pass", "template")], "severity string, rule string")
+    sinks.write_findings(found, f"{root}/findings")
+    story = files.story(spark, f"{root}/story.txt")
+    sinks.write_rewritten(rewrite.adjusted(story, P, 0.7), f"{root}/rewritten", f"{root}/story.txt")
+    put = [sinks.put_placeholder(f"{root}/new/story.txt"), sinks.put_placeholder(f"{root}/new/story.txt"), sinks.put_placeholder(f"{root}/story.txt")]
+    sinks.write_log([("warn", "a")], f"{root}/run.log")
+    line = lambda d, sink, c: d.select(F.lit(sink).alias("sink"), c.alias("line"))
+    kept = spark.createDataFrame([("placeholder", str(x).lower()) for x in put], "sink string, line string")
+    return corpus.union_all(
+        line(spark.read.text(f"{root}/paths"), "paths", F.regexp_extract("value", "[^/]+/[^/]+$", 0)), line(spark.read.text(f"{root}/prompts"), "prompts", F.concat("stage", F.lit(": "), "value")),
+        line(spark.read.parquet(f"{root}/findings"), "findings", F.concat_ws(" ", "severity", "rule")), line(spark.read.parquet(f"{root}/rewritten"), "rewritten", F.col("rewritten")), kept,
+        line(spark.read.text(f"{root}/run.log"), "log", F.regexp_replace("value", "^run of .*$", "run of")),
+    )
+
+
+REPORT = [("pass", "dialogue_density", "", 6.66), ("pass", "paragraph_length", "", 12.4), ("issue", "banned_mark", ";", 3.0), ("info", "exclamations_per_sentence", "", 0.12345), ("info", "commas_per_sentence", "", None), ("warn", "aliases", "a → b", 1.0)]
+
+
+@query("SELECT unnest(['s.txt', repeat('=', 50), 'genre: default', '', 'info (2)', '  exclamations_per_sentence: 0.123', '  commas_per_sentence: -', '', 'pass (2)', '  dialogue_density: 6.7', '  paragraph_length: 12', '', 'warn (1)', '  aliases a → b: 1', '', 'issue (1)', '  banned_mark ;: 3', '', 'total: 2 pass / 1 warn / 1 issue', '']) AS line")
+def report_lines(spark, sf_dir):
+    """A report's banner, findings by severity with their decimals, and totals."""
+    rows = spark.createDataFrame(REPORT, "severity string, rule string, term string, value double").collect()
+    return spark.createDataFrame([(x,) for x in sinks.render_report(rows, "s.txt", {"genre": "default"}).split("\n")], "line string")
+
+
+@query("SELECT * FROM (VALUES ('脑洞', '小说类型=古代,目标受众=女频'), ('人设', ''), ('细纲', 'a=b')) AS v(stage, params)")
+def stage_questions(spark, sf_dir):
+    """Answers to a stage's own questions, or free pairs; blank ones go."""
+    given = {"脑洞": ["古代", "", "女频"], "人设": ["", " "], "细纲": ["a=b", "c=", ""]}
+    rows = [(s, ",".join(f"{k}={v}" for k, v in cli.asked(s, lambda _, it=iter(answers): next(it)).items())) for s, answers in given.items()]
+    return spark.createDataFrame(rows, "stage string, params string")
