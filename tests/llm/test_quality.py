@@ -76,3 +76,13 @@ def test_only_certified_cutoffs_reject(spark):
     out = {r.doc_id: r for r in quality.rate(docs.union(bad), labels).where("doc_id in (7, 8, 9000, 9001)").collect()}
     assert not out[9000].kept and out[9000].rejected_by == ["symbols_per_100_words"]
     assert out[9001].kept and out[8].kept
+
+
+def test_very_long_texts(spark):
+    """A text of 300,000 words: distinct, all equal, and one window twice at its ends."""
+    n = 300_000
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), " ")
+    head = F.lit(" ".join(map(str, range(1, 9))))
+    docs = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("doc_id"), words.alias("text")), F.struct(F.lit(2).alias("doc_id"), F.repeat(F.lit("w "), n).alias("text")), F.struct(F.lit(3).alias("doc_id"), F.concat(words, F.lit(" "), head).alias("text")))).alias("d")).select("d.*")
+    got = {r.doc_id: r.s for r in docs.select("doc_id", quality.statistics(F.col("text")).alias("s")).collect()}
+    assert [(got[i].n_words, got[i].n_repeat_words) for i in (1, 2, 3)] == [(n, 0), (n, n), (n + 8, 16)]
