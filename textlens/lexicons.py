@@ -38,7 +38,7 @@ ZH_GENRES: dict[str, dict[str, list[str]]] = {
 }
 
 # Surnames by how sure they are, and what can't be in or must follow a name.
-COMPOUND_SURNAMES = "慕容 欧阳 司马 上官 诸葛 东方 西门 南宫 独孤 端木 尉迟 皇甫 令狐 夏侯 长孙 宇文 司徒 司空".split()
+COMPOUND_SURNAMES = ["慕容", "欧阳", "司马", "上官", "诸葛", "东方", "西门", "南宫", "独孤", "端木", "尉迟", "皇甫", "令狐", "夏侯", "长孙", "宇文", "司徒", "司空"]
 STRONG_SURNAMES = "赵钱孙李周吴郑王冯蒋韩杨朱秦尤何吕施张孔曹严华金魏陶姜戚谢邹喻章"
 MEDIUM_SURNAMES = "苏沈顾楚陆萧"
 WEAK_SURNAMES = "方白江林叶云柳陈许"
