@@ -46,8 +46,22 @@ def test_all_documents(spark, sf):
     assert got == want
 
 
-@pytest.mark.parametrize("group", [100_000, 40])
-def test_random_fingerprints_and_large_groups(spark, group):
+@pytest.mark.parametrize("radius", [1, 3, 4, 6])
+def test_some_key_holds_all_words_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    for n in (1, 10**6, 10**9, 10**11):
+        masks = np.array(simhash.keys(n, radius), dtype=np.uint64)
+        flips = np.zeros(3000, dtype=np.uint64)
+        for i in range(3000):
+            for bit in rng.choice(64, radius, replace=False):
+                flips[i] |= np.uint64(1) << np.uint64(bit)
+        assert ((flips[:, None] & masks) == 0).any(1).all()
+    sizes = [n / 2 ** int(np.bitwise_count(np.array(simhash.keys(n, radius), dtype=np.uint64)).min()) for n in (10**6, 10**9, 10**11)]
+    assert max(sizes) < 10**6  # groups don't grow with the square of the corpus
+
+
+@pytest.mark.parametrize("group,rows", [(100_000, None), (40, None), (100_000, 10**9), (100_000, 10**11)])
+def test_random_fingerprints_and_large_groups(spark, group, rows):
     """Chains and clouds of near fingerprints; with small parts, groups are cut and each pair of parts is searched."""
     rng = np.random.default_rng(5)
     fps = set(rng.integers(0, 1 << 64, 300, dtype=np.uint64).tolist()) | {0, 1, 3, 1 << 63}
@@ -57,11 +71,11 @@ def test_random_fingerprints_and_large_groups(spark, group):
     for b in range(0, 60, 3):
         chain ^= 0b111 << b
         fps.add(chain)
-    rows = [(i, f) for i, f in enumerate(sorted(fps, key=lambda x: x * 7919 % 10007))]
+    expected, rows = rows, [(i, f) for i, f in enumerate(sorted(fps, key=lambda x: x * 7919 % 10007))]
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(d, signed(f)) for d, f in rows] + [(5, signed(rows[5][1]))], "doc_id long, fp long")
     classes = df.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("rep"), "fp", "least")
-    trees = {r.node: r.component for r in simhash.components(simhash.links(classes, group=group)).collect()}
+    trees = {r.node: r.component for r in simhash.components(simhash.links(classes, group=group, rows=expected)).collect()}
     least = {}
     for d, f in rows:
         c = trees.get(signed(f), signed(f))

@@ -1,7 +1,8 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` bit blocks, so each goes to a group per block. In a
-group they are sorted by Gray rank, where neighbours share bits; nodes over runs of them hold the bits that all below
+Fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` bit blocks, so each goes to a group per block. Where
+so few bits would make groups of a large corpus too long, more blocks are cut and several of them make a key: of ``b``
+blocks in ``g`` parts at least ``b - RADIUS`` agree, so that many that some part has ``t`` of them. In a group fingerprints are sorted by Gray rank, where neighbours share bits; nodes over runs of them hold the bits that all below
 have in common as a mask and a pattern. Two nodes are compared by the differences of their common bits: these only grow
 on the way down, and beyond ``RADIUS`` the whole pair of subtrees is left out. Leaves that link are joined by union-find
 on the spot, so that a group gives at most one link a fingerprint, however many of its pairs are near.
@@ -10,6 +11,8 @@ on the spot, so that a group gives at most one link a fingerprint, however many
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import free_name, in_pieces, kept_rows, written
 
 SHINGLE, RADIUS, SEED, FANOUT = 4, 4, 42, 8
+#: Fingerprints that one meets in its group at about the cost of one more group.
+MEETS = 5000
 #: Rows of a block group that one task takes at most; larger groups are cut and each pair of parts is a task's work.
 GROUP = 100_000
 
@@ -53,10 +58,24 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp",
     return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """``(lowest bit, bits)`` of each of ``radius + 1`` blocks of the 64 bits."""
-    cut = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+def keys(n: int, radius: int = RADIUS) -> list[int]:
+    """Masks of bits: two words that differ in at most ``radius`` bits are equal under one of them, at least.
+
+    Of all cuts into blocks that which makes least work of ``n`` words: those shuffled, and what they meet in their groups.
+    """
+    best: tuple[float, list[int]] | None = None
+    for b in range(radius + 1, min(64, 5 * radius + 1) + 1):
+        cut = [64 * i // b for i in range(b + 1)]
+        masks = [(1 << z) - (1 << a) for a, z in zip(cut, cut[1:], strict=False)]
+        for g in range(1, b + 1):
+            t = (b - radius - 1) // g + 1
+            parts = [masks[i::g] for i in range(g)]
+            number = sum(comb(len(p), t) for p in parts)
+            if 0 < number <= 512:
+                cost = number * (1 + n / 2 ** (64 * t / b) / MEETS)
+                if best is None or cost < best[0]:
+                    best = cost, [sum(c) for p in parts for c in combinations(p, t)]
+    return best[1]
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -129,10 +148,10 @@ def near_forest(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.n
     return out
 
 
-def links(classes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """Links ``a > b`` between class ids that connect every class within reach, from ``rep, fp`` (distinct fingerprints)."""
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftright(F.col("fp"), low).bitwiseAND(F.lit((1 << bits) - 1)).alias("bits")) for i, (low, bits) in enumerate(blocks(radius))])
-    each = classes.select("rep", "fp", F.explode(keys).alias("k")).select("rep", "fp", "k.*")
+def links(classes: DataFrame, radius: int = RADIUS, group: int = GROUP, rows: int | None = None) -> DataFrame:
+    """Links ``a > b`` between class ids that connect every class within reach, from ``rep, fp`` (distinct fingerprints; ``rows`` of them)."""
+    masks = keys(classes.count() if rows is None else rows, radius)
+    each = classes.select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("block", "bits"))
     large = each.groupBy("block", "bits").count().where(F.col("count") > group).select("block", "bits", F.ceil(F.col("count") / group).alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
     cells = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.least(i, part) * F.col("parts") + F.greatest(i, part)))
