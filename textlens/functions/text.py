@@ -18,8 +18,9 @@ def letter(p: LanguageProfile) -> str:
 
 
 def letter_count(t: Column, p: LanguageProfile) -> Column:
-    """By what goes when runs of letters go: one match a word instead of one a letter."""
-    return (F.length(t) - F.length(F.regexp_replace(t, letter(p) + "+", ""))).cast("long")
+    """By what goes when letters go: looked up one by one where there are few, else matched as runs."""
+    rest = F.translate(t, p.few_letters, "") if p.few_letters else F.regexp_replace(t, letter(p) + "+", "")
+    return (F.length(t) - F.length(rest)).cast("long")
 
 
 def literal_count(t: Column, k: str) -> Column:

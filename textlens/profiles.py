@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,14 @@ class LanguageProfile:
     genres: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     context: dict[str, str] = field(default_factory=dict)  # texts of a rendered context
 
+    @property
+    def few_letters(self) -> str | None:
+        """All letters, if they are few."""
+        ends = re.findall(r"(.)-(.)", self.letters)
+        if "".join(f"{a}-{z}" for a, z in ends) != self.letters or sum(ord(z) - ord(a) + 1 for a, z in ends) > 500:
+            return None
+        return "".join(chr(c) for a, z in ends for c in range(ord(a), ord(z) + 1))
+
     def genre(self, name: str | None) -> dict[str, list[str]]:
         """The genre's lists, or the default's."""
         return self.genres.get(name or "default", self.genres["default"])
