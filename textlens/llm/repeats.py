@@ -35,7 +35,7 @@ RUN = SPAN - GRAM + 1
 #: Bytes of text in a unit file, about how many are dealt to a bucket, and units from which a minimizer's strings are dealt one by one.
 UNIT, BUCKET, HOT = 8 << 20, 4 << 20, 2000
 #: Fragments that are sorted together, about: small enough for the caches.
-STRINGS = 8000
+STRINGS = 5000
 #: Tasks of a pass at most; beyond, a task takes several buckets or units, one after the other.
 TASKS = 1 << 15
 BITS = 48
@@ -68,13 +68,18 @@ def runs(data: np.ndarray, stops: np.ndarray, block: int = 1 << 20) -> tuple[np.
         for step in (1, 2, 4, 8):
             m = np.minimum(m[:-step], m[step:])
         m = np.minimum(m[: z - a], m[RUN - 16 : RUN - 16 + z - a])  # the minimum of 31
-        place = np.arange(a, z)
-        end = stops[np.searchsorted(stops, place, side="right")]
-        fits = end - place >= SPAN
-        change = np.r_[True, (m[1:] != m[:-1]) | (fits[1:] != fits[:-1]) | (end[1:] != end[:-1])]
+        # what changes: the minimum, and the few places where documents end or have no room for another string
+        ends = stops[np.searchsorted(stops, a, side="right") : np.searchsorted(stops, z - 1, side="right") + 1]
+        last = np.maximum(ends - SPAN + 1, np.r_[0, ends[:-1]])
+        change = np.empty(z - a, dtype=bool)
+        change[0] = True
+        np.not_equal(m[1:], m[:-1], out=change[1:])
+        cut = np.r_[ends, last] - a
+        change[cut[(cut > 0) & (cut < z - a)]] = True
         first = np.flatnonzero(change)
         size = np.diff(np.r_[first, len(m)])
-        per = np.where(fits[first], -(-size // RUN), 0)
+        fits = stops[np.searchsorted(stops, first + a, side="right")] - first - a >= SPAN
+        per = np.where(fits, -(-size // RUN), 0)
         at = np.repeat(first, per) + RUN * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
         starts.append(at + a)
         counts.append(np.minimum(RUN, np.repeat(first + size, per) - at))
@@ -221,12 +226,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             unit = _Unit.of(batch)
             unit.put(f"{base}/unit-{number}")
             at, _, value = unit.runs()
-            doc = unit.doc_at(at)
-            order = np.lexsort((doc, value))
+            doc = np.searchsorted(unit.stops, at, side="right")
+            order = np.argsort(value)
             value, doc = value[order], doc[order]
             first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-            last = np.r_[first[1:], len(value)] - 1
-            shared = doc[first] != doc[last] if len(value) else np.zeros(0, bool)
+            shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(value) else np.zeros(0, bool)
             own = value[first]
             rows = [(number, b, np.ascontiguousarray(own[a:z].astype("<u8").view("u1").reshape(-1, 8)[:, : BITS // 8]).tobytes() + np.packbits(shared[a:z]).tobytes()) for b, a, z in by_bucket(own)]
             number += 1
@@ -261,7 +265,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for number, rows in grouped(batches, "unit"):
             unit = _Unit.get(f"{base}/unit-{number}")
             at, count, value = unit.runs()
-            own, which = np.unique(value, return_inverse=True)
+            order = np.argsort(value, kind="stable")  # the same order in every try of the task
+            at, count, value = at[order], count[order], value[order]
+            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+            own, times = value[first], np.diff(np.r_[first, len(value)])
             shared, hot = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
             bitmap = {r["bucket"]: np.frombuffer(r["blob"], "u1") for r in rows}
             for b, a, z in by_bucket(own):
@@ -271,15 +278,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if len(bitmap[b]) > n:
                         hot[a:z] = np.unpackbits(bitmap[b][n:], count=z - a).astype(bool)
             view = np.lib.stride_tricks.sliding_window_view(np.concatenate([unit.data, np.zeros(WIDTH, np.uint8)]), WIDTH)
-            keep, single = shared[which] & ~hot[which], hot[which]
+            keep, single = np.repeat(shared & ~hot, times), np.repeat(hot, times)
             if single.any():
                 n = count[single]
                 one = np.repeat(at[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 at, count, value = np.r_[at[keep], one], np.r_[count[keep], np.ones(len(one), dtype=count.dtype)], np.r_[value[keep], _string_hashes(view, one)]
+                order = np.argsort(value, kind="stable")
+                at, count, value = at[order], count[order], value[order]
             else:
                 at, count, value = at[keep], count[keep], value[keep]
-            order = np.argsort(value, kind="stable")
-            at, count, value = at[order], count[order], value[order]
             doc = unit.doc_at(at)
             kinds = np.empty(len(at), dtype=np.int64)
             out = []
