@@ -35,7 +35,7 @@ RUN = SPAN - GRAM + 1
 #: Bytes of text in a unit file, about how many are dealt to a bucket, and units from which a minimizer's strings are dealt one by one.
 UNIT, BUCKET, HOT = 8 << 20, 4 << 20, 2000
 #: Fragments that are sorted together, about: small enough for the caches.
-STRINGS = 5000
+STRINGS = 16_000
 #: Tasks of a pass at most; beyond, a task takes several buckets or units, one after the other.
 TASKS = 1 << 15
 BITS = 48
