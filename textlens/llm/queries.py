@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import finished
-from . import langid, lm, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
+from . import divergence, langid, lm, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
 
 
 #: The queries' key; a deployment passes its own secret.
@@ -79,6 +79,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that each has above its language."""
+    return finished(lambda: divergence.audit(_table(spark, sf_dir, "documents")), "op13-divergence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_repeats": op2_repeats,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_top_k": op9_top_k,
     "op10_source_mix": op10_source_mix,
+    "op13_divergence": op13_divergence,
 }
 
 _WARC_SQL = """
@@ -126,4 +132,16 @@ v AS (SELECT *, array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op8_quality_rules": _quality_sql(), "op9_top_k": _TOP_SQL}
+_DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, lang_n, coalesce(x.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+p AS MATERIALIZED (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER s + 5 * count(*) OVER s)::HUGEINT AS q FROM c WINDOW s AS (PARTITION BY lang, source)),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u QUALIFY part = 'pair' OR rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op13_divergence": _DIVERGENCE_SQL, "op3_warc": _WARC_SQL, "op8_quality_rules": _quality_sql(), "op9_top_k": _TOP_SQL}
