@@ -28,7 +28,7 @@ from .common import in_pieces, release, written
 #: Least documents of a kept term, smoothing, unit of a share, terms reported for each source.
 LEAST, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Counted terms that a task holds, bytes of a text that are split together, histogram entries and sources of a block, postings of a part.
-HELD, PIECE, BLOCK, SOURCES, PART = 300_000, 1 << 20, 4096, 256, 2_000_000
+HELD, PIECE, BLOCK, SOURCES, PART = 300_000, 1 << 20, 4096, 256, 100_000
 # Bytes of a term are ASCII letters and all bytes above ASCII; A-Z count as a-z.
 _TERM = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
