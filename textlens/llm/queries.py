@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import finished
-from . import divergence, langid, lm, mixing, packing, pseudonyms, quality, repeats, simhash, topk, warc
+from .common import SPACE, SPACE_RE, finished, let
+from . import divergence, langid, lm, mixing, packing, pseudonyms, quality, repeats, runs, setsketch, simhash, topk, warc
 
 
 #: The queries' key; a deployment passes its own secret.
@@ -79,6 +79,37 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document by word shingles."""
+    return finished(lambda: setsketch.near_copies(_table(spark, sf_dir, "documents")), "op11-setsketch")
+
+
+def _with_cycles(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by their ids, get a tail that repeats its own beginning: the known runs of the query."""
+    words = F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE)), SPACE_RE, -1)
+    g = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10)
+
+    def cycled(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        block = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))), " ")
+
+    return docs.withColumn("text", F.when((F.crc32(F.col("doc_id").cast("string")) % 10 == 0) & (F.btrim("text", F.lit(SPACE)) != ""), let(words, cycled)).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, and what remains without their repeats."""
+    found = runs.periodic_runs(_with_cycles(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text"))
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda y, x: F.when(y.isNull() | more(x, y), x).otherwise(y))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that each has above its language."""
     return finished(lambda: divergence.audit(_table(spark, sf_dir, "documents")), "op13-divergence")
@@ -95,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_top_k": op9_top_k,
     "op10_source_mix": op10_source_mix,
+    "op11_setsketch": op11_setsketch,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_divergence": op13_divergence,
 }
 
@@ -144,4 +177,16 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
   UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u QUALIFY part = 'pair' OR rank <= 50"""
 
-ORACLE_SQL: dict[str, str] = {"op13_divergence": _DIVERGENCE_SQL, "op3_warc": _WARC_SQL, "op8_quality_rules": _quality_sql(), "op9_top_k": _TOP_SQL}
+_NEAR_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, len(w) > 0 AS filled, list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+n AS MATERIALIZED (SELECT r, CASE WHEN filled THEN len(s) ELSE 0 END AS n, md5(array_to_string(list_sort(s), chr(10))) AS k FROM s),
+c AS MATERIALIZED (SELECT k, min(r) AS c, min(n) AS n FROM n WHERE n > 0 GROUP BY k),
+e AS MATERIALIZED (SELECT c, n, hash(unnest(s)) AS h FROM c JOIN s ON s.r = c.c),
+l AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.h = b.h AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+m AS (SELECT n.r, d.doc_id, n.n, CASE WHEN n.n > 0 THEN least(c.c, coalesce((SELECT min(b) FROM t WHERE t.a = c.c), c.c)) END AS g FROM n JOIN d ON d.r = n.r LEFT JOIN c ON c.k = n.k AND n.n > 0),
+o AS (SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN g IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS component_id FROM m)
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o"""
+
+ORACLE_SQL: dict[str, str] = {"op11_setsketch": _NEAR_SQL, "op13_divergence": _DIVERGENCE_SQL, "op3_warc": _WARC_SQL, "op8_quality_rules": _quality_sql(), "op9_top_k": _TOP_SQL}
