@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, filesystem, in_pieces, release, shared_dir, written
+from .common import drop_written, filesystem, in_pieces, release, rows_of, shared_dir, written
 from .simhash import components
 
 SHINGLE, SEED = 4, 42
@@ -33,10 +33,10 @@ LEAST = (80, 100)
 #: with probability 0.26 at least, and 48 bands miss a pair with one of 4e-7.
 BANDS, BAND, BASE, SCALE, Q = 48, 6, 1.001, 20.0, (1 << 16) - 2
 M = BANDS * BAND
-#: Estimates below are no candidates; the error at 0.8 has a standard deviation of 0.024.
-CUT = 0.6
-#: Bytes of a stored hash, sets of a task's block on either side, sets that a task holds.
-WIDTH, FEW, MANY, HELD = 6, 256, 4096, 3000
+#: Estimates below are no candidates: 5 standard deviations of the error at 0.8, which is as rare as a pair that no band has.
+CUT = 0.68
+#: Bytes of a stored hash and of what stands before a set, sets of a task's block on either side, hashes that a task holds, pairs of a task.
+WIDTH, HEAD, FEW, MANY, HELD, PAIRS = 6, 8 + 2 * M, 256, 4096, 8_000_000, 20_000
 _AT = (1 << 36) - 1
 
 
@@ -117,30 +117,53 @@ class Stored:
     """Reads sets and sketches by place: the number of the file above 36 bits, the position in it below."""
 
     def __init__(self, base: str):
-        self.base, self.files, self.held = base, {}, {}
+        self.base, self.files, self.heads, self.sets, self.size = base, {}, {}, {}, 0
 
-    def _read(self, loc: int, size: int) -> bytes:
+    def _read(self, loc: int, skip: int, size: int) -> bytes:
         part = loc >> 36
         if part not in self.files:
             if len(self.files) >= 64:
                 self.files.clear()
             fs, path = filesystem(f"{self.base}/{part}")
             self.files[part] = fs.open_input_file(path)
-        return self.files[part].read_at(size, loc & _AT)
-
-    def registers(self, locs: list[int]) -> np.ndarray:
-        return np.frombuffer(b"".join(self._read(loc, 2 * M) for loc in locs), dtype="<u2").reshape(-1, M)
-
-    def whole(self, loc: int, stored: int) -> tuple[np.ndarray, np.ndarray]:
-        """The registers and the stored hashes, kept for a while."""
-        if loc not in self.held:
-            if len(self.held) >= HELD:
-                self.held.clear()
-            data = self._read(loc, 2 * M + stored * WIDTH)
-            out = np.zeros((stored, 8), dtype=np.uint8)
-            out[:, :WIDTH] = np.frombuffer(data, dtype=np.uint8, offset=2 * M).reshape(-1, WIDTH)
-            self.held[loc] = np.frombuffer(data, dtype="<u2", count=M), out.view("<u8").ravel()
-        return self.held[loc]
+        return self.files[part].read_at(size, (loc & _AT) + skip)
+
+    def head(self, locs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and registers, kept for a while."""
+        if len(self.heads) > 4 * MANY:
+            self.heads.clear()
+        for loc in locs:
+            if loc not in self.heads:
+                self.heads[loc] = self._read(loc, 0, HEAD)
+        data = np.frombuffer(b"".join(self.heads[loc] for loc in locs), dtype=np.uint8).reshape(-1, HEAD)
+        return data[:, :8].copy().view("<i8").ravel(), data[:, 8:].copy().view("<u2")
+
+    def whole(self, loc: int, n: int) -> np.ndarray:
+        """The hashes, kept for a while."""
+        if loc not in self.sets:
+            if self.size > HELD:
+                self.sets.clear()
+                self.size = 0
+            out = np.zeros((n, 8), dtype=np.uint8)
+            out[:, :WIDTH] = np.frombuffer(self._read(loc, HEAD, n * WIDTH), dtype=np.uint8).reshape(-1, WIDTH)
+            self.sets[loc] = out.view("<u8").ravel()
+            self.size += n
+        return self.sets[loc]
+
+    def similar(self, a: int, b: int, n: int, m: int) -> bool:
+        """Whether two whole sets are."""
+        both = np.concatenate([self.whole(a, n), self.whole(b, m)])
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        return LEAST[1] * shared >= LEAST[0] * (n + m - shared)
+
+
+def likely(n: np.ndarray, m: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The estimates of pairs whose sizes allow the similarity; -1 for others and those below ``CUT``."""
+    out = np.full(len(n), -1.0)
+    ok = np.flatnonzero(LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m))
+    out[ok] = estimates(above[ok], below[ok], n[ok], m[ok])
+    return np.where(out >= CUT, out, -1.0)
 
 
 def with_sketches(docs: DataFrame, base: str, text_col: str, shingle: int) -> DataFrame:
@@ -166,7 +189,7 @@ def with_sketches(docs: DataFrame, base: str, text_col: str, shingle: int) -> Da
                     loc.append(part << 36 | at if len(s) else None)
                     digest.append(xxh3_128_digest(s.astype("<u8").tobytes()))
                     if len(s):
-                        data = registers[i].astype("<u2").tobytes() + np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+                        data = len(s).to_bytes(8, "little") + registers[i].astype("<u2").tobytes() + np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
                         out.write(data)
                         at += len(data)
                     else:
@@ -179,50 +202,43 @@ def with_sketches(docs: DataFrame, base: str, text_col: str, shingle: int) -> Da
 
 
 def linked(pairs: DataFrame, base: str) -> DataFrame:
-    """Of pairs ``a, b, n, m`` (places and sizes) those whose sets are similar: estimated first, then compared whole."""
+    """Of a table of pairs ``a, b`` (places) those whose sets are similar: estimated first, then compared whole."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = Stored(base)
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("a", "b", "n", "m")]
             keep = []
-            for s in range(0, len(cols[0]), 512):
-                a, b, n, m = (c[s : s + 512] for c in cols)
-                one, two = ([stored.whole(loc, k) for loc, k in zip(x.tolist(), y.tolist(), strict=True)] for x, y in ((a, n), (b, m)))
-                ra, rb = np.stack([x[0] for x in one]), np.stack([x[0] for x in two])
-                likely = estimates((ra > rb).sum(1), (ra < rb).sum(1), n, m) >= CUT
-                for i in np.flatnonzero(likely).tolist():
-                    both = np.concatenate([one[i][1], two[i][1]])
-                    both.sort()
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if LEAST[1] * shared >= LEAST[0] * (len(both) - shared):
+            for s in range(0, batch.num_rows, 512):
+                a, b = (batch.column(c).slice(s, 512).to_pylist() for c in ("a", "b"))
+                (n, ra), (m, rb) = stored.head(a), stored.head(b)
+                for i in np.flatnonzero(likely(n, m, (ra > rb).sum(1), (ra < rb).sum(1)) >= 0).tolist():
+                    if stored.similar(a[i], b[i], int(n[i]), int(m[i])):
                         keep.append(s + i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
         release()
 
-    return pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(work, "a bigint, b bigint")
-
+    tasks = max(12, pairs.count() // PAIRS)
+    return pairs.repartitionByRange(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(work, "a bigint, b bigint")
 
-def _sized(n: str, m: str) -> Column:
-    """Whether sizes allow the similarity."""
-    return LEAST[1] * F.least(n, m) >= LEAST[0] * F.greatest(n, m)
 
+def across(members: DataFrame, base: str) -> DataFrame:
+    """Links ``a, b`` between different components of a group.
 
-def _across(members: DataFrame, base: str) -> DataFrame:
-    """Pairs ``a, b, n, m`` of different components of a group that their registers make likely.
-
-    ``members`` has ``key, leader, loc, n, c`` of the groups that aren't one component. One of a pair is outside the leader's
-    component; those are few, and their blocks meet the blocks of all.
+    ``members`` has ``key, leader, loc, c`` of the groups that aren't one component. One of a pair is outside the leader's
+    component; those are few, and their blocks meet the blocks of all. A pair is looked at in the first band that it agrees in,
+    and as long as its components aren't linked there: so it is compared once at most.
     """
     lead = members.where("loc = leader").select("key", F.col("c").alias("lead"))
-    sizes = members.join(lead, "key").groupBy("key", "lead").agg(F.count_if(F.col("c") != F.col("lead")).alias("few"), F.count("*").alias("many"))
-    sizes = written(sizes.select("key", "lead", F.ceil(F.col("few") / FEW).alias("few"), F.ceil(F.col("many") / MANY).alias("many")), "setsketch-sizes")
-    placed = members.join(sizes, "key").withColumn("f", F.pmod(F.xxhash64("loc"), F.col("few"))).withColumn("w", F.pmod(F.xxhash64("loc", F.lit(1)), F.col("many")))
+    members = members.join(lead, "key").withColumn("asks", F.col("c") != F.col("lead"))
+    sizes = written(members.groupBy("key").agg(F.count_if("asks").alias("few"), F.count("*").alias("many")), "setsketch-sizes")
+    tasks = max(12, int(sizes.agg(F.sum(F.col("few").cast("double") * F.col("many"))).first()[0] or 0) // (PAIRS * 25))
+    blocks = sizes.select("key", F.ceil(F.col("few") / FEW).alias("few"), F.ceil(F.col("many") / MANY).alias("many"))
+    placed = members.join(blocks, "key").withColumn("f", F.pmod(F.xxhash64("loc"), F.col("few"))).withColumn("w", F.pmod(F.xxhash64("loc", F.lit(1)), F.col("many")))
     upto = lambda x: F.sequence(F.lit(0).cast("long"), F.col(x) - 1)
-    row = ["key", "f", "w", "asks", "loc", "n", "c"]
-    asking = placed.where("c <> lead").withColumn("w", F.explode(upto("many"))).withColumn("asks", F.lit(True)).select(row)
-    asked = placed.withColumn("f", F.explode(upto("few"))).withColumn("asks", F.lit(False)).select(row)
-    cells = asking.unionByName(asked).repartition("key", "f", "w").sortWithinPartitions("key", "f", "w", F.desc("asks"), "loc")
+    row = ["key", "f", "w", "asked", "loc", "c", "asks"]
+    asking = placed.where("asks").withColumn("w", F.explode(upto("many"))).withColumn("asked", F.lit(False)).select(row)
+    asked = placed.withColumn("f", F.explode(upto("few"))).withColumn("asked", F.lit(True)).select(row)
+    cells = asking.unionByName(asked).repartition(tasks, "key", "f", "w").sortWithinPartitions("key", "f", "w", "asked", "loc")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored, now, ask, held = Stored(base), None, [], []
@@ -230,41 +246,52 @@ def _across(members: DataFrame, base: str) -> DataFrame:
         def solve() -> Iterator[pa.RecordBatch]:
             if not (ask and held):
                 return
-            la, na, ca = (np.array(x, dtype=np.int64) for x in zip(*ask, strict=True))
-            lb, nb, cb = (np.array(x, dtype=np.int64) for x in zip(*held, strict=True))
-            ra, rb = stored.registers(la.tolist()), stored.registers(lb.tolist())
+            (la, ca, _), (lb, cb, minor) = (tuple(np.array(x) for x in zip(*rows, strict=True)) for rows in (ask, held))
+            (na, ra), (nb, rb) = stored.head(la.tolist()), stored.head(lb.tolist())
+            band = int(np.flatnonzero(band_keys(ra[:1])[0] == now[0])[0])
+            names, of = np.unique(np.r_[ca, cb], return_inverse=True)
+            root, ia, ib = np.arange(len(names)), of[: len(ca)], of[len(ca) :]
+            cut, out = rb.reshape(len(rb), BANDS, BAND), []
             for i in range(len(la)):
-                ok = np.flatnonzero((cb != ca[i]) & (LEAST[1] * np.minimum(nb, na[i]) >= LEAST[0] * np.maximum(nb, na[i])))
-                above, below = (ra[i] > rb[ok]).sum(1), (ra[i] < rb[ok]).sum(1)
-                ok = ok[estimates(above, below, np.full(len(ok), na[i]), nb[ok]) >= CUT]
-                first = la[i] < lb[ok]
-                pair = (np.where(first, la[i], lb[ok]), np.where(first, lb[ok], la[i]), np.where(first, na[i], nb[ok]), np.where(first, nb[ok], na[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b", "n", "m"])
+                # of two that both ask, the smaller one's question counts
+                ok = np.flatnonzero((root[ib] != root[ia[i]]) & (~minor | (lb > la[i])))
+                if not len(ok):
+                    continue
+                agree = (cut[ok] == ra[i].reshape(BANDS, BAND)).all(axis=2)
+                ok = ok[agree.argmax(axis=1) == band]
+                similarity = likely(np.full(len(ok), na[i]), nb[ok], (ra[i] > rb[ok]).sum(1), (ra[i] < rb[ok]).sum(1))
+                for k in np.argsort(-similarity, kind="stable")[: int((similarity >= 0).sum())].tolist():
+                    j = int(ok[k])
+                    if root[ib[j]] != root[ia[i]] and stored.similar(int(la[i]), int(lb[j]), int(na[i]), int(nb[j])):
+                        out.append((int(la[i]), int(lb[j])))
+                        root[root == root[ib[j]]] = root[ia[i]]
+            if out:
+                yield rows_of("a bigint, b bigint", out)
 
         for batch in batches:
-            for key, f, w, asks, loc, n, c in zip(*(batch.column(x).to_pylist() for x in row), strict=True):
+            for key, f, w, is_asked, loc, c, asks in zip(*(batch.column(x).to_pylist() for x in row), strict=True):
                 if (key, f, w) != now:
                     yield from solve()
                     now, ask, held = (key, f, w), [], []
-                (ask if asks else held).append((loc, n, c))
+                (held if is_asked else ask).append((loc, c, asks))
         yield from solve()
+        release()
 
-    return cells.mapInArrow(work, "a bigint, b bigint, n bigint, m bigint").distinct()
+    return cells.mapInArrow(work, "a bigint, b bigint")
 
 
 def similar_links(classes: DataFrame, base: str) -> DataFrame:
-    """Links ``a, b`` between the places of similar sets from ``loc, n, keys`` (distinct sets), enough to connect all that are linked."""
-    bands = classes.select("loc", "n", F.explode("keys").alias("key"))
-    heads = bands.groupBy("key").agg(F.min(F.struct("loc", "n")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    members = written(bands.join(heads, "key").select("key", F.col("h.loc").alias("leader"), F.col("h.n").alias("m"), "loc", "n"), "setsketch-members")
-    stars = members.where((F.col("loc") != F.col("leader")) & _sized("n", "m")).select(F.col("leader").alias("a"), F.col("loc").alias("b"), F.col("m").cast("long").alias("n"), F.col("n").cast("long").alias("m")).distinct()
+    """Links ``a, b`` between the places of similar sets from ``loc, keys`` (distinct sets), enough to connect all that are linked."""
+    bands = classes.select("loc", F.explode("keys").alias("key"))
+    heads = bands.groupBy("key").agg(F.min("loc").alias("leader"), F.max("loc").alias("last")).where("leader < last").drop("last")
+    # one plan at every size
+    members = written(bands.join(heads.hint("merge"), "key"), "setsketch-members")
+    stars = written(members.where("loc <> leader").select(F.col("leader").alias("a"), F.col("loc").alias("b")).distinct(), "setsketch-pairs")
     first = written(linked(stars, base), "setsketch-stars")
     trees = written(components(first), "setsketch-trees")
-    placed = members.join(trees, members.loc == trees.node, "left").select("key", "leader", "loc", F.col("n").cast("long").alias("n"), F.coalesce("component", "loc").alias("c"))
-    placed = written(placed, "setsketch-placed")
+    placed = written(members.join(trees, members.loc == trees.node, "left").select("key", "leader", "loc", F.coalesce("component", "loc").alias("c")), "setsketch-placed")
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low < high and k > 2").select("key")
-    more = written(_across(placed.join(apart, "key"), base), "setsketch-across")
-    return first.unionByName(linked(more.join(stars.select("a", "b"), ["a", "b"], "left_anti"), base))
+    return first.unionByName(written(across(placed.join(apart, "key"), base), "setsketch-across"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -281,9 +308,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(with_sketches(rows, base, "text", shingle), "setsketch-rows")  # once, as its tasks write files
     some = rows.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("loc").alias("loc"), F.first("n").alias("n"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("loc").alias("loc"))
     classes = written(classes, "setsketch-classes")
-    one = some.select("loc", "keys").join(classes.select("loc", "n"), "loc")
+    one = some.select("loc", "keys").join(classes.select("loc"), "loc")
     trees = written(components(similar_links(one, base)), "setsketch-components")
     of = classes.join(trees, classes.loc == trees.node, "left").select("digest", "least", F.coalesce("component", "loc").alias("c"))
     named = of.groupBy("c").agg(F.min("least").alias("component_id"))
