@@ -1,9 +1,7 @@
-"""Word segmentation by the most probable path through a dictionary."""
+"""Word segmentation by the most probable path through a dictionary, as a column function."""
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,39 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HAN = re.compile("([一-鿿]+)")
+from ..profiles import ZH
+from . import trie
 
 
-def segment(text: str, freq: dict[str, int], longest: int, log_total: float) -> list[str]:
-    """Words of a text: for each run of Han letters the path with the highest product of shares; ties take the longer first word."""
-    out: list[str] = []
-    for run in HAN.split(text):
-        if not run or not HAN.fullmatch(run):
-            continue
-        n = len(run)
-        best: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            ends = [j for j in range(i + 1, min(n, i + longest) + 1) if j == i + 1 or freq.get(run[i:j], 0) > 0]
-            best[i] = max((math.log(freq.get(run[i:j], 0) or 1) - log_total + best[j][0], j) for j in ends)
-        i = 0
-        while i < n:
-            out.append(run[i : best[i][1]])
-            i = best[i][1]
-    return out
-
-
-def segmenter(dictionary: DataFrame, most: int = 1_000_000):
+def segmenter(dictionary: DataFrame, most: int = trie.MOST, letters: str = ZH.letters):
     """A column function from text to words for a dictionary ``term, freq`` of at most ``most`` terms (it is held by every worker)."""
-    rows = dictionary.select("term", "freq").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the dictionary has more than {most} terms")
-    freq = {r["term"]: r["freq"] for r in rows}
-    held = dictionary.sparkSession.sparkContext.broadcast((freq, max(map(len, freq), default=1), math.log(sum(freq.values()) or 1)))
+    held = dictionary.sparkSession.sparkContext.broadcast(trie.built(dictionary, letters, most))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = trie.letter_table(letters)
         for texts in batches:
-            yield texts.map(lambda t: segment(t, *held.value) if t is not None else None)
+            yield pd.Series(trie.segmented(list(texts), table, *held.value))
 
     return words
 

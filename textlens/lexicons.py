@@ -66,7 +66,7 @@ STAGES = [
 
 # The texts of a context, in the order in which they stand in it.
 ZH_CONTEXT: dict[str, str] = {
-    "opening": "你是熔铸仿写引擎。按以下流程生成一篇约10000字的番茄风格短篇小说。\n",
+    "opening": "你是短篇小说作者。请按以下步骤写一篇约10000字的通俗短篇小说。\n",
     "sources": "## 第一步: 阅读5份指纹\n",
     "source": "### 源文{i}: {name}",
     "counts": "字数: {chars} | 句数: {sentences}",
@@ -90,7 +90,7 @@ ZH_CONTEXT: dict[str, str] = {
 
 死亡方式和背景必须是你自创的，不能跟任何一篇源文相同或相似。
 如果犹豫一个设定是否太像某篇源文 → 换掉。宁可远，不可近。
-目标: 朱雀对着5篇源文扫描输出的16字连续子串，一个都匹配不到。
+目标: 成稿中不出现任何一篇源文里的16字连续原文。
 """,
     "rules": """
 ## 生成硬性约束
@@ -128,10 +128,10 @@ ZH_CONTEXT: dict[str, str] = {
 
 # What a stage asks for in an interactive run.
 STAGE_QUESTIONS: dict[str, list[tuple[str, str]]] = {
-    "脑洞": [("小说类型", "如：古代言情/都市复仇/玄幻系统"), ("核心卖点", "如：重生复仇/金手指爽文/马甲大佬"), ("目标受众", "如：女频/男频")],
-    "人设": [("主角人设", "如：杀伐果断/清醒独立/黑莲花"), ("金手指类型", "如：系统/空间/预知")],
-    "开篇": [("开篇风格", "如：爽文直给/慢热铺垫/悬念切入")],
-    "正文": [("开篇风格", "如：爽文直给/慢热铺垫/悬念切入")],
+    "脑洞": [("小说类型", "例如：古代/现代/科幻"), ("核心卖点", "例如：一句话写出最吸引人的一点"), ("目标受众", "例如：少年/成人")],
+    "人设": [("主角人设", "例如：冷静/勇敢/固执"), ("金手指类型", "例如：记忆/技能/工具")],
+    "开篇": [("开篇风格", "例如：对话/场景/悬念")],
+    "正文": [("开篇风格", "例如：对话/场景/悬念")],
 }
 
 # Our own lists for Latin-script corpora.

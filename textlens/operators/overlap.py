@@ -1,30 +1,30 @@
 """Overlap of documents with reference texts by character n-grams.
 
-Every place of every story is an n-gram, so none of them becomes a row before it is likely to be one of a source: the
-sources' n-grams set bits of a map of fixed size, stories' n-grams are hashed and looked up there in whole Arrow
-batches, and only what hits goes on as text to be joined exactly. What the map lets through by chance the join drops.
+Every place of every story is an n-gram, so none of them becomes a row before it is one of a source: stories' n-grams are
+hashed in whole Arrow batches and looked up in the sources' hashes, behind a map of bits that is sized by them and lets one
+place in ``SPARE`` through. Only what hits goes on as text to be joined exactly. Sources of more than ``GRAMS`` distinct
+n-grams are dealt by hash to passes over the stories, so that what a worker holds is bounded whatever their number.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import pieces
 from ..profiles import LanguageProfile
 
 GRAM, STRIDE = 16, 5
-#: The map has 2**BITS bits (2**15 at least): 2 MB for each worker, whatever the size of the sources.
-BITS = 24
-#: Bytes of text that are looked at together.
-PIECE = 4 << 20
+#: Hashes of n-grams that a pass holds (8 bytes each), and bits of the map for each.
+GRAMS, SPARE = 4 << 20, 16
 # White space outside ASCII.
 _SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -65,24 +65,33 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PIECE, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
-def _rows(batch: pa.RecordBatch, codes: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, slots: np.ndarray) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, codes: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, h: np.ndarray) -> pa.RecordBatch:
     text = codes.astype("<u4").tobytes()
     grams = [text[4 * i : 4 * (i + n)].decode("utf-32-le", "surrogatepass") for i in at.tolist()]
-    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(grams, pa.string()), pa.array(slots.astype(np.int64))], names=["id", "gram", "slot"])
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(grams, pa.string()), pa.array(h.view(np.int64))], names=["id", "gram", "hash"])
+
 
+@dataclass(frozen=True)
+class Wanted:
+    """Sorted hashes, and a map with the bit of each one's leading ``bits`` bits set."""
 
-def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return h >> np.uint64(64 - bits)
+    hashes: np.ndarray
+    bits: int
+    found: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, bits: int | None = None) -> Wanted:
+        bits = bits or max(15, int(SPARE * len(hashes)).bit_length())
+        found = np.zeros(1 << bits, dtype=bool)
+        found[hashes >> np.uint64(64 - bits)] = True
+        return Wanted(np.sort(hashes), bits, np.packbits(found, bitorder="little"))
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where ``h`` has one of the hashes."""
+        slot = h >> np.uint64(64 - self.bits)
+        at = np.flatnonzero(self.found[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        near = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        return at[self.hashes[near] == h[at]] if len(self.hashes) else at
 
 
 def _places(stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,60 +100,58 @@ def _places(stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc, at - np.r_[0, stops][doc], stops[doc] - at
 
 
-def wanted_grams(sources: DataFrame, p: LanguageProfile, source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE, bits: int = BITS) -> DataFrame:
-    """``source, gram, slot, places``: every ``stride``-th n-gram of each source; that which ends the text is no start (a text of ``n`` characters has none)."""
+def wanted_grams(sources: DataFrame, p: LanguageProfile, source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE) -> DataFrame:
+    """``source, gram, hash, places``: every ``stride``-th n-gram of each source; that which ends the text is no start (a text of ``n`` characters has none)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             codes, stops = _clean(batch.column("text").to_pylist(), p.dropped)
             h = hashes(codes, n)
             doc, place, left = _places(stops, np.arange(len(h)))
             at = np.flatnonzero((place % stride == 0) & (left > n))
-            yield _rows(batch, codes, doc[at], at, n, _slots(h[at], bits))
+            yield _rows(batch, codes, doc[at], at, n, h[at])
 
-    schema = T.StructType([T.StructField("id", sources.schema[source_id].dataType), T.StructField("gram", T.StringType()), T.StructField("slot", T.LongType())])
+    schema = T.StructType([T.StructField("id", sources.schema[source_id].dataType), T.StructField("gram", T.StringType()), T.StructField("hash", T.LongType())])
     rows = sources.select(F.col(source_id).alias("id"), "text").mapInArrow(work, schema)
-    return rows.groupBy(F.col("id").alias(source_id), "gram", "slot").agg(F.count("*").alias("places"))
+    return rows.groupBy(F.col("id").alias(source_id), "gram", "hash").agg(F.count("*").alias("places"))
 
 
-def _map(slots: DataFrame, bits: int) -> np.ndarray:
-    """The map of the slots, put together by the executors; its size is fixed."""
-    rows = slots.select((F.col("slot") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        out[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
-    return out
+def passes(wanted: DataFrame, grams: int = GRAMS, bits: int | None = None) -> Iterator[Wanted]:
+    """The sources' hashes, in parts of about ``grams``; the driver holds one part at a time."""
+    distinct = wanted.select("hash").distinct()
+    turns = -(-distinct.count() // grams) or 1
+    for turn in range(turns):
+        own = distinct.where(F.pmod(F.xxhash64("hash"), F.lit(turns)) == turn) if turns > 1 else distinct
+        yield Wanted.of(own.toArrow()["hash"].to_numpy().view(np.uint64), bits)
 
 
-def hits(stories: DataFrame, found: np.ndarray, p: LanguageProfile, story_id: str = "doc_id", n: int = GRAM, bits: int = BITS) -> DataFrame:
-    """``story, gram``: the distinct n-grams of each story row whose bit is set."""
-    held = stories.sparkSession.sparkContext.broadcast(found)
+def hits(stories: DataFrame, wanted: Wanted, p: LanguageProfile, story_id: str = "doc_id", n: int = GRAM) -> DataFrame:
+    """``story, gram``: the distinct n-grams of each story row whose hash is wanted."""
+    held = stories.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             codes, stops = _clean(batch.column("text").to_pylist(), p.dropped)
             h = hashes(codes, n)
-            slot = _slots(h, bits)
-            at = np.flatnonzero(held.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            at = held.value.places(h)
             doc, _, left = _places(stops, at)
             at, doc = at[left >= n], doc[left >= n]
             _, first = np.unique(np.stack([doc.astype(np.uint64), h[at]]), axis=1, return_index=True) if len(at) else (None, np.zeros(0, dtype=np.int64))
-            yield _rows(batch, codes, doc[first], at[first], n, slot[at[first]])
+            yield _rows(batch, codes, doc[first], at[first], n, h[at[first]])
 
-    schema = T.StructType([T.StructField("id", stories.schema[story_id].dataType), T.StructField("gram", T.StringType()), T.StructField("slot", T.LongType())])
+    schema = T.StructType([T.StructField("id", stories.schema[story_id].dataType), T.StructField("gram", T.StringType()), T.StructField("hash", T.LongType())])
     return stories.select(F.col(story_id).alias("id"), "text").mapInArrow(work, schema).select(F.col("id").alias(story_id), "gram")
 
 
-def overlap(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE, bits: int = BITS) -> DataFrame:
+def overlap(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", n: int = GRAM, stride: int = STRIDE, grams: int = GRAMS, bits: int | None = None) -> DataFrame:
     """``story, source, matches`` for pairs that share some: the number of the source's places whose n-gram is in the story.
 
-    Rows with equal story ids are one story.
+    Rows with equal story ids are one story. ``grams`` bounds the hashes of a pass, ``bits`` fixes the size of its map.
     """
-    wanted = wanted_grams(sources, p, source_id, n, stride, bits)
+    wanted = wanted_grams(sources, p, source_id, n, stride)
     # a gram's row meets all its sources at once; rows of one story with equal ids are made distinct among the hits only
-    have = hits(stories, _map(wanted, bits), p, story_id, n, bits).distinct()
-    return have.join(wanted.drop("slot"), "gram").groupBy(story_id, source_id).agg(F.sum("places").alias("matches"))
+    have = reduce(DataFrame.unionByName, [hits(stories, part, p, story_id, n) for part in passes(wanted, grams, bits)]).distinct()
+    return have.join(wanted.drop("hash"), "gram").groupBy(story_id, source_id).agg(F.sum("places").alias("matches"))
 
 
 def overlap_report(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id") -> DataFrame:

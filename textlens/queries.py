@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import segment
+from .functions import segment, trie
 from .functions import text as X
-from .operators import corpus, fingerprint, names, overlap, rewrite, rules, templates
+from .operators import corpus, fingerprint, lexicon, names, overlap, rewrite, rules, templates
 from .plans import cli
 from .profiles import LATIN, ZH
 from .sources import corpus as files
+from .sources import files as source
 from .sources import sinks
 
 P = LATIN
@@ -346,6 +347,32 @@ def banned_anti(spark, sf_dir):
     return corpus.without_any(docs(spark, sf_dir), _banned(spark)).select("doc_id")
 
 
+WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS term FROM benchmark"
+
+
+def _lexicon(spark, sf_dir) -> DataFrame:
+    """Every word of the benchmark, repeats kept."""
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[ \n]+")).alias("term"))
+
+
+@query(f"SELECT doc_id, term, {n_lit('§', 'text').replace(q('§'), 'term').replace('// 1', '// length(term)')}::BIGINT AS n FROM documents JOIN ({WORDS}) ON contains(text, term)")
+def lexicon_counts(spark, sf_dir):
+    """Every word of the benchmark counted in every document, in one pass over the texts."""
+    return lexicon.term_counts(docs(spark, sf_dir), _lexicon(spark, sf_dir))
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM documents JOIN ({WORDS}) ON contains(text, term) WHERE length(term) >= 9)")
+def lexicon_semi(spark, sf_dir):
+    """Documents with some long word of the benchmark."""
+    return lexicon.with_any(docs(spark, sf_dir).select("doc_id", "text"), _lexicon(spark, sf_dir).where(F.length("term") >= 9)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents JOIN ({WORDS}) ON contains(text, term) WHERE length(term) >= 9)")
+def lexicon_anti(spark, sf_dir):
+    """Documents without any."""
+    return lexicon.without_any(docs(spark, sf_dir).select("doc_id", "text"), _lexicon(spark, sf_dir).where(F.length("term") >= 9)).select("doc_id")
+
+
 def _rule(severity: str, rule: str, value: str, when: str = "TRUE", term: str = "") -> str:
     return f"SELECT doc_id, {severity} AS severity, '{rule}' AS rule, {q(term)} AS term, ({value})::DOUBLE AS value FROM m WHERE {when}"
 
@@ -482,6 +509,54 @@ def dictionary_lookup(spark, sf_dir):
     return corpus.frequencies(terms, spark.createDataFrame(DICTIONARY, "term string, freq long")).select("doc_id", "term", "n", "freq")
 
 
+# each letter run is folded from its end: the best way from a place to the end, of its words and the ways from where they end
+_PATHS = f"""
+WITH f AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{LETTER}+')) AS term FROM benchmark) GROUP BY term),
+d AS MATERIALIZED (SELECT term, least(-1, floor(ln(n::DOUBLE / (SELECT sum(n) FROM f)) * {trie.UNIT})::BIGINT) AS w FROM f),
+z AS MATERIALIZED (SELECT max(length(term)) AS longest, least(-1, floor(ln(1.0::DOUBLE / (SELECT sum(n) FROM f)) * {trie.UNIT})::BIGINT) AS alone FROM d),
+r AS MATERIALIZED (SELECT doc_id, unnest(w) AS s, generate_subscripts(w, 1) AS run FROM (SELECT doc_id, regexp_extract_all(replace(text, ' ', ''), '{LETTER}+') AS w FROM documents)),
+i AS (SELECT doc_id, run, s, unnest(range(1, length(s) + 1)) AS p FROM r),
+x AS (SELECT doc_id, run, s, p, unnest(range(1, least(longest, length(s) - p + 1) + 1)) AS x, alone FROM i, z),
+e AS (SELECT doc_id, run, p, list({{'v': coalesce(w, alone), 'x': x, 'g': x * x * p, 'c': 1::BIGINT}}) AS es FROM x LEFT JOIN d ON term = substring(s, p, x) WHERE term IS NOT NULL OR x = 1 GROUP BY doc_id, run, p),
+l AS (SELECT doc_id, run, list(es ORDER BY p DESC) AS ls FROM e GROUP BY doc_id, run),
+b AS (SELECT doc_id, list_reduce(ls, lambda a, y: list_prepend(list_max(list_transform(y, lambda e: {{'v': e.v + a[e.x].v, 'x': e.x, 'g': e.g + a[e.x].g, 'c': 1 + a[e.x].c}})), a)[1:40], [{{'v': 0::BIGINT, 'x': 0::BIGINT, 'g': 0::BIGINT, 'c': 0::BIGINT}}])[1] AS b FROM l),
+t AS (SELECT doc_id, sum(b.c)::BIGINT AS n, sum(b.g)::BIGINT AS places FROM b GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(places, 0) AS places FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+@query(_PATHS)
+def segmented_documents(spark, sf_dir):
+    """Documents without their spaces, segmented by the benchmark's words: how many words, and a sum over their places and lengths in each run of letters."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(f"({LETTER}+)"))).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    runs = docs(spark, sf_dir).select("doc_id", F.posexplode_outer(F.regexp_extract_all(F.replace("text", F.lit(" "), F.lit("")), F.lit(f"({LETTER}+)"))).alias("run", "s"))
+    cut = trie.with_words(runs, words, P.letters, "s")
+    step = lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), (a["sum"] + F.length(w) * F.length(w) * (a["at"] + 1)).alias("sum"))
+    of = F.aggregate("words", F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("sum")), step)["sum"]
+    return cut.groupBy("doc_id").agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("n_words"), F.coalesce(F.sum(of), F.lit(0)).alias("places"))
+
+
+def _written(spark, sf_dir) -> str:
+    """All documents as text files by language."""
+    source.register(spark)
+    folder = source.scratch(spark, "corpus")
+    docs(spark, sf_dir).select(F.col("lang").alias("category"), F.col("doc_id").cast("string").alias("name"), "text").write.format("corpus").mode("append").save(folder)
+    return folder
+
+
+@query("SELECT lang AS category, doc_id, octet_length(encode(text))::BIGINT AS bytes, md5(text) AS content FROM documents")
+def corpus_files(spark, sf_dir):
+    """All documents written as files by language, and read back."""
+    found = spark.read.format("corpus").load(_written(spark, sf_dir))
+    return found.select("category", F.col("name").cast("long").alias("doc_id"), "bytes", F.md5("text").alias("content"))
+
+
+@query("SELECT doc_id, md5(text) AS content FROM documents WHERE lang = 'fr' AND octet_length(encode(text)) BETWEEN 1000 AND 20000")
+def corpus_files_chosen(spark, sf_dir):
+    """Of these files those of one language and a range of sizes; no other is opened."""
+    found = spark.read.format("corpus").load(_written(spark, sf_dir)).where("category = 'fr' and bytes >= 1000 and bytes <= 20000")
+    return found.select(F.col("name").cast("long").alias("doc_id"), F.md5("text").alias("content"))
+
+
 # inline fixtures
 TEMPLATE = "头\n<!-- FILE_SECTION: 人设生成器 -->\n描述\n---\n模板A\n---\n模板B 黑莲花\n<!-- FILE_SECTION: 其他 -->\nX"
 FILES = [(1, "人设生成器", TEMPLATE), (2, "其他", TEMPLATE), (3, "没有", TEMPLATE), (4, "人设生成器", "只有一段")]
