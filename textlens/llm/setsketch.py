@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, filesystem, in_pieces, release, rows_of, shared_dir, written
+from .common import drop_written, filesystem, in_pieces, kept_rows, release, rows_of, shared_dir, written
 from .simhash import components
 
 SHINGLE, SEED = 4, 42
@@ -305,12 +305,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     base = shared_dir(spark, "setsketch-sets")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(with_sketches(rows, base, "text", shingle), "setsketch-rows")  # once, as its tasks write files
     some = rows.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("loc").alias("loc"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("loc", "row")).alias("one")).select("digest", "least", "one.*")
     classes = written(classes, "setsketch-classes")
-    one = some.select("loc", "keys").join(classes.select("loc"), "loc")
+    one = kept_rows(some.select("row", "loc", "keys"), "row", classes.select("row"))
     trees = written(components(similar_links(one, base)), "setsketch-components")
     of = classes.join(trees, classes.loc == trees.node, "left").select("digest", "least", F.coalesce("component", "loc").alias("c"))
     named = of.groupBy("c").agg(F.min("least").alias("component_id"))
