@@ -1,10 +1,11 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-A vector is cut into 1, 4, 16 and 32 segments, each known by its mean and deviation. For two vectors the inner product is
-at most the sum over segments of ``length * (mean * mean + deviation * deviation)`` (equivalently, a lower bound of
-their distance), and finer segments give tighter bounds. Candidates run past the queries block by block: a pair whose
-coarse bound can't reach the query's k-th best score so far goes, the rest meet the finer bounds, and survivors are
-scored exactly. Every pair meets a bound; the bounds only save work.
+A vector is cut into 1, 4, 16 and more segments, as long as their numbers are fewer than the vector's, each known by its mean
+and deviation. For two vectors the inner product is at most the sum over segments of ``length * (mean * mean +
+deviation * deviation)`` (equivalently, a lower bound of their distance), and finer segments give tighter bounds. A
+query's first threshold comes from a few candidates spread over its first block. Then candidates run past the queries block by
+block: a pair whose coarse bound can't reach the query's k-th best score so far goes, the rest meet the finer bounds, and
+survivors are scored exactly. A level that lately left out less than it costs rests, and is tried again from time to time.
 
 Candidates and queries are written once as packed blocks in the shared folder. A task takes some blocks of each and
 reads them there, so no vector is shuffled; what is shuffled are the best of each query from each task.
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, get_file, put_file, release, shared_dir, unzipped, written, zipped
 
-LEVELS = (1, 4, 16, 32)
+#: Segments of the levels, and the part of a vector's length that a level's numbers may have.
+LEVELS, CHEAPER = (1, 4, 16, 64, 256, 1024), 0.75
+#: Candidates of the first block that give the first thresholds, for each of the best; blocks after which a resting level is tried again.
+SEEDS, AGAIN = 8, 16
 #: Bytes of doubles in a file, in the queries that a task holds, and in the candidates that it reads at most.
 FILE, TURN, GROUP = 16 << 20, 32 << 20, 512 << 20
 #: Queries and candidates that are compared at a time.
 ROWS, COLUMNS = 1024, 4096
-#: Survivors are scored pair by pair where they are less than this part of their rows and columns, else as a product.
-SPARSE = 1 / 16
+#: A query's survivors are gathered where they are less than this part of a block, else the block is multiplied whole for it.
+SPARSE = 1 / 4
 #: Part of the product of two lengths that a bound is raised by: floats of up to a few thousand components lose less.
 SLACK = 1e-4
 LONG = (-(2**63), 2**63 - 1)
@@ -59,7 +63,7 @@ class Vectors:
     def stats(self, kind=np.float64) -> list[np.ndarray]:
         """What bounds are products of, for each level; the last column is slack beyond what rounding can take from them."""
         slack = SLACK**0.5 * np.sqrt((self.m**2).sum(1, keepdims=True))
-        return [np.concatenate([segments(self.m, s), slack], axis=1).astype(kind) for s in LEVELS]
+        return [np.concatenate([segments(self.m, s), slack], axis=1).astype(kind) for s in LEVELS if 2 * s <= CHEAPER * self.m.shape[1]]
 
     def whole(self, i: int) -> list[int]:
         """The numbers of a vector."""
@@ -106,15 +110,24 @@ class Best:
         self.known = np.zeros(0, dtype=bool)
         self.least = np.full(len(queries.ids), -np.inf)
         self.exact: dict[int, int] = {}
-        self.pairs = self.scored = 0
+        self.pairs = self.multiplied = self.blocks = 0
+        self.rest = [0] * len(self.stats)  # blocks for which a level rests
 
     def add(self, c: Vectors) -> None:
         """Compare all queries with some candidates."""
-        if not len(c.ids):
-            return
+        if len(c.ids) > SEEDS * self.k and not np.isfinite(self.least).all():
+            seed = np.zeros(len(c.ids), dtype=bool)
+            seed[:: len(c.ids) // (SEEDS * self.k)] = True
+            self._compare(c[seed])
+            c = c[~seed]
+        if len(c.ids):
+            self._compare(c)
+
+    def _compare(self, c: Vectors) -> None:
         exact = self.q.most * c.most * max(c.m.shape[1], 1)
         stats = c.stats(self.kind)
         found = []
+        self.blocks += 1
         for start in range(0, len(self.q.ids), ROWS):
             a = np.arange(start, min(len(self.q.ids), start + ROWS))
             found += self._small(a, c, stats, np.float32 if exact < 2**24 else np.float64) if exact < 2**53 else self._large(a, c, stats)
@@ -128,26 +141,39 @@ class Best:
         may = np.ones((len(a), len(b)), dtype=bool)
         least = self.least[a]
         if np.isfinite(least).any():
-            for own, other in zip(self.stats, stats, strict=True):
+            for level, (own, other) in enumerate(zip(self.stats, stats, strict=True)):
+                if self.blocks < self.rest[level]:
+                    continue
+                met = int(may.sum())
                 may &= own[a] @ other[b].T >= least[:, None]
+                if (met - int(may.sum())) * self.q.m.shape[1] < may.size * own.shape[1]:
+                    self.rest[level] = self.blocks + AGAIN
                 rows, columns = may.any(1), may.any(0)
                 a, b, least, may = a[rows], b[columns], least[rows], may[np.ix_(rows, columns)]
                 if not may.size:
                     return []
-        survivors = int(may.sum())
-        self.scored += survivors
-        own_row = self.q.rows[a][:, None] == c.rows[b][None, :]
-        may &= ~own_row
-        if survivors < SPARSE * may.size:
-            i, j = np.nonzero(may)
-            score = np.einsum("ij,ij->i", self.q.m[a[i]], c.m[b[j]])
-            ok = score >= least[i]
-            return [(a[i[ok]], b[j[ok]], score[ok].astype(np.int64))]
-        score = (self.q.m[a].astype(kind) @ c.m[b].astype(kind).T).astype(np.float64)
-        score[~may] = -np.inf
-        most = np.partition(score, len(b) - self.k, axis=1)[:, len(b) - self.k] if len(b) > self.k else np.full(len(a), -np.inf)
-        i, j = np.nonzero((score >= np.maximum(most, least)[:, None]) & may)
-        return [(a[i], b[j], score[i, j].astype(np.int64))]
+        few = may.sum(1) < SPARSE * len(b)
+        may &= self.q.rows[a][:, None] != c.rows[b][None, :]
+        theirs, out = c.m[b].astype(kind), []
+
+        def best(score: np.ndarray, least: float) -> np.ndarray:
+            most = np.partition(score, len(score) - self.k)[len(score) - self.k] if len(score) > self.k else -np.inf
+            return np.flatnonzero(score >= max(most, least))
+
+        for i in np.flatnonzero(few).tolist():
+            j = np.flatnonzero(may[i])
+            self.multiplied += len(j)
+            score = theirs[j] @ self.q.m[a[i]].astype(kind)
+            top = best(score, least[i])
+            out.append((np.full(len(top), a[i]), b[j[top]], score[top].astype(np.int64)))
+        some = np.flatnonzero(~few)
+        self.multiplied += len(some) * len(b)
+        for i, score in zip(some.tolist(), self.q.m[a[some]].astype(kind) @ theirs.T, strict=True):
+            score[~may[i]] = -np.inf
+            top = best(score, least[i])
+            top = top[may[i][top]]
+            out.append((np.full(len(top), a[i]), b[top], score[top].astype(np.int64)))
+        return out
 
     def _large(self, a: np.ndarray, c: Vectors, stats: list[np.ndarray]) -> list:
         """The same for numbers of any size: products of mantissas choose what can be among the best, whole numbers score it."""
@@ -168,7 +194,7 @@ class Best:
                 for x in bound:
                     may &= x[i] + 2.0**-1000 >= least - abs(least) * 1e-12
             own = np.flatnonzero(may)
-            self.scored += len(own)
+            self.multiplied += len(c.ids)
             if len(own) > self.k:
                 low = near[i, own] - slack[i, own]
                 own = own[near[i, own] + slack[i, own] >= np.partition(low, len(own) - self.k)[len(own) - self.k]]
@@ -276,6 +302,19 @@ def _packed(vectors: DataFrame, base: str, id_col: str, vector_col: str, scale:
     return slim.mapInArrow(work, "dim bigint, kind bigint, size bigint, path string")
 
 
+def search(asks: list[str], offers: list[str], dim: int, k: int) -> list[Best]:
+    """The best of the queries in some files among the candidates in others."""
+    asked = [Vectors.unpack(get_file(path), dim) for path in asks]
+    kinds = ([v for v in asked if v.most < np.inf], [v for v in asked if v.most == np.inf])
+    best = [Best(Vectors.joined(some), k) for some in kinds if some]
+    for path in offers:
+        v = Vectors.unpack(get_file(path), dim)
+        for i in range(0, len(v.ids), COLUMNS):
+            for b in best:
+                b.add(v[i : i + COLUMNS])
+    return best
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """``query_id, rank, vec_id, score, exact`` of the ``k`` highest inner products for each row whose id is divisible by ``every``.
 
@@ -302,14 +341,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("dim", "asks", "offers")), strict=True):
-                asked = [Vectors.unpack(get_file(path), dim) for path in mine]
-                kinds = ([v for v in asked if v.most < np.inf], [v for v in asked if v.most == np.inf])
-                best = [Best(Vectors.joined(some), k) for some in kinds if some]
-                for path in theirs:
-                    v = Vectors.unpack(get_file(path), dim)
-                    for i in range(0, len(v.ids), COLUMNS):
-                        for b in best:
-                            b.add(v[i : i + COLUMNS])
+                best = search(mine, theirs, dim, k)
                 for b in best:
                     yield b.rows()
         release()
