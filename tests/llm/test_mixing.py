@@ -1,4 +1,5 @@
 import re
+from fractions import Fraction
 from itertools import accumulate
 
 import pytest
@@ -34,7 +35,7 @@ def plain(rows, block=64, cap=3):
     total, high = sum(slots.values()), dict(zip(order, accumulate(slots[s] for s in order), strict=True))
     rank, times = dict.fromkeys(order, 0), {s: [0] * -(-sizes[s] // block) for s in order}
     for i in range(total):
-        at = ((i * mixing.STEP) % (1 << 40) >> 9) * total >> 31
+        at = int(Fraction(i * mixing.STEP % 2**40, 2**40) * total)
         s = next(x for x in order if at < high[x])
         if rank[s] < len(times[s]) * cap:
             times[s][rank[s] % len(times[s])] += 1
@@ -125,3 +126,30 @@ def test_mixed_documents_take_what_the_mix_says(spark, sf):
     got = {r[0]: r[1] for r in mixed.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text")))).collect()}
     want = {r.doc_id: r.taken for r in mixing.mix(docs).where("taken > 0").collect()}
     assert got == want
+
+
+def test_narrow_sources_of_a_long_plan_get_their_slots(spark):
+    """Of 2**33 and 2**38 slots those that can fall to some narrow sources, found by turning the points back."""
+    back = pow(mixing.STEP, -1, 2**40)
+    for total, widths in ((2**33, (1, 2, 3, 7, 100)), (2**38 - 12345, (1, 2, 3, 7, 100))):
+        low, plan, slots = total // 3, [], []
+        for sid, width in enumerate(widths):
+            plan.append((sid, low, low + width))
+            points = range(-(-low * 2**40 // total), -(-(low + width) * 2**40 // total))
+            slots += [i for i in (p * back % 2**40 for p in points) if i < total]
+            low += width + 1000
+        rest = [(9, 0, plan[0][1]), (10, low, total)]
+        df = spark.createDataFrame([(i,) for i in {*slots, *range(500)}], "slot long")
+        got = {}
+        for r in mixing.slot_sources(df, spark.createDataFrame([*plan, *rest], "sid int, low long, high long"), total).collect():
+            at = int(Fraction(r.slot * mixing.STEP % 2**40, 2**40) * total)
+            assert any(s == r.sid and a <= at < z for s, a, z in [*plan, *rest])
+            got[r.sid] = got.get(r.sid, 0) + 1
+        for sid, width in enumerate(widths):
+            assert abs(got.get(sid, 0) - width) <= 4, (total, sid)
+
+
+def test_a_plan_beyond_the_points_is_refused(spark):
+    plan = spark.createDataFrame([(1, 0, 5)], "sid int, low long, high long")
+    with pytest.raises(ValueError, match="at most"):
+        mixing.schedule(plan, 2**40 + 1)

@@ -17,7 +17,8 @@ from .common import SPACE, SPACE_RE, free_name, written
 WEIGHTS = (5, 2, 1)
 #: The golden ratio as a step in 2**40 points; odd, so that each point comes once in a period.
 STEP, BITS = 679_528_507_925, 40
-CELLS = 4096
+#: Cells of the look-up of sources for each source, and at least; slots of a plan at most, so that each has points of its own.
+CELLS, LEAST_CELLS, MOST_SLOTS = 4, 4096, 1 << BITS
 
 
 def word_count(text: Column) -> Column:
@@ -66,18 +67,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3)
     return levelled.withColumn("target", F.when(F.col("free"), found).otherwise((size * cap).cast("double"))).drop("level", "free", "before", "weights")
 
 
+def _place(p: Column, total_slots: int) -> Column:
+    """``p * total_slots >> BITS``, exact: the point's halves are multiplied one by one, which stays below 2**63."""
+    half = BITS // 2
+    high, low = F.shiftright(p, half), p.bitwiseAND(F.lit((1 << half) - 1))
+    return F.shiftright(high * F.lit(total_slots).cast("long") + F.shiftright(low * F.lit(total_slots).cast("long"), half), half)
+
+
+def slot_sources(slots: DataFrame, plan: DataFrame, total_slots: int) -> DataFrame:
+    """``slot, sid`` of given slots: the source whose interval has the slot's place.
+
+    Sources lie in cells of equal width, several of them for each source, so that a slot meets few sources.
+    """
+    if total_slots > MOST_SLOTS:
+        raise ValueError(f"a plan takes at most {MOST_SLOTS} slots")
+    count = max(LEAST_CELLS, min(CELLS * plan.count(), 1 << 22))
+    width = -(-total_slots // count)
+    cell = lambda x: F.expr(f"{x} div {width}")
+    cells = plan.where("high > low").select("sid", "low", "high", F.explode(F.sequence(cell("low"), cell("(high - 1)"))).alias("cell"))
+    placed = slots.select("slot", _place(_point(F.col("slot")), total_slots).alias("at")).withColumn("cell", cell("at"))
+    return placed.join(cells, "cell").where("at >= low and at < high").select("slot", "sid")
+
+
 def schedule(plan: DataFrame, total_slots: int) -> DataFrame:
     """Slots ``slot, sid, rank``: the source of each slot and its rank among the source's slots, from 0.
 
     ``plan`` has ``sid, low, high``: the source's interval of ``[0, total_slots)``.
     """
-    spark = plan.sparkSession
-    cell = lambda x: (x * CELLS / total_slots).cast("long")
-    cells = plan.where("high > low").select("sid", "low", "high", F.explode(F.sequence(F.greatest(cell(F.col("low")) - 1, F.lit(0)), cell(F.col("high")) + 1)).alias("cell"))
-    # the product stays below 2**63: the point's upper 31 bits times the upper part of the number of slots
-    at = (F.shiftright(F.col("p"), BITS - 31).cast("decimal(20,0)") * F.lit(total_slots).cast("decimal(18,0)") / F.lit(1 << 31)).cast("long") if total_slots >= 1 << 31 else F.shiftright(F.shiftright(F.col("p"), BITS - 31) * F.lit(total_slots), 31)
-    slots = spark.range(total_slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("p")).select("slot", at.alias("at"))
-    found = slots.withColumn("cell", cell(F.col("at"))).join(cells, "cell").where("at >= low and at < high").select("slot", "sid", F.shiftright("slot", 14).alias("run"))
+    slots = plan.sparkSession.range(total_slots).select(F.col("id").alias("slot"))
+    found = slot_sources(slots, plan, total_slots).withColumn("run", F.shiftright("slot", 14))
     runs = found.groupBy("sid", "run").agg(F.count("*").alias("n"))
     first = runs.select("sid", "run", (F.sum("n").over(Window.partitionBy("sid").orderBy("run")) - F.col("n")).alias("first"))
     within = found.withColumn("k", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1)
