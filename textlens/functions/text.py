@@ -62,9 +62,13 @@ def per_sentence(n: Column, sentence_n: Column) -> Column:
     return n / F.greatest(sentence_n, F.lit(1))
 
 
+# White space of any script.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(s: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def quote_in_head(t: Column, letters: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrow import free_name
 from ..profiles import LanguageProfile
 
 LEAST_LETTERS, LEAST_DOCS = 500, 3
@@ -33,17 +34,39 @@ def draw_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
 
 
-def sample(df: DataFrame, n: int, seed: int | str = 42, category_col: str | None = "category", id_col: str = "doc_id") -> DataFrame:
-    """``n`` rows of each category (all, if it has fewer), drawn by a seeded hash of the id.
+def sample(df: DataFrame, n: int, seed: int | str = 42, category_col: str | None = "category", id_col: str = "doc_id", most: int = 100_000) -> DataFrame:
+    """``n`` documents of each category (all, if it has fewer), drawn by a seeded hash of the id; rows of one id are one document.
 
-    A first cut by the key's own rank inside hash buckets keeps the final window small: only the ``n`` smallest of each bucket can win.
+    Only ids and categories are ranked, and each task passes on no more than ``n`` of a category. Up to ``most`` drawn ids are
+    looked up where the rows are read, so that no text is sorted or shuffled; more of them are joined.
     """
-    key = draw_key(seed, id_col)
-    cats = [category_col] if category_col else []
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 32, 1))
-    few = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*cats, "_bucket").orderBy("_key"))).where(F.col("_n") <= n)
-    ranked = few.withColumn("_n", F.row_number().over(Window.partitionBy(*(cats or [F.lit(0)])).orderBy("_key"))).where(F.col("_n") <= n)
-    return ranked.drop("_key", "_bucket", "_n")
+    names = [free_name(df.columns, x) for x in ("drawn_id", "drawn_category", "drawn_key")]
+    an_id, cat, key = names
+    slim = df.select(F.col(id_col).alias(an_id), (F.col(category_col) if category_col else F.lit(0)).alias(cat), draw_key(seed, id_col).alias(key))
+    ranked = slim.withColumn("rank", F.dense_rank().over(Window.partitionBy(cat).orderBy(key))).where(F.col("rank") <= n).select(an_id, cat).distinct()
+    rows = ranked.limit(most + 1).collect()
+    drawn = F.broadcast(df.sparkSession.createDataFrame(rows, ranked.schema)) if len(rows) <= most else ranked
+    same = F.col(id_col).eqNullSafe(F.col(an_id))
+    return df.join(drawn, same & F.col(category_col).eqNullSafe(F.col(cat)) if category_col else same, "left_semi")
+
+
+def guarded(df: DataFrame, p: LanguageProfile, categories: list[str], category_col: str = "category", text_col: str = "text", least: int = LEAST_LETTERS) -> tuple[DataFrame, Observation]:
+    """``healthy`` rows, and an observation that has, after any action on them, what that one pass met: ``docs`` and ``healthy`` of
+    all rows and, as ``docs_0``, ``healthy_0`` and on, of the given categories. ``enough`` then judges it."""
+    seen = Observation()
+    letters = free_name(df.columns, "letters")
+    counted = df.withColumn(letters, X.letter_count(F.col(text_col), p))
+    good = F.coalesce(F.col(letters) >= least, F.lit(False))
+    each = [x for i, c in enumerate(categories) for own in [F.col(category_col).eqNullSafe(F.lit(c))] for x in (F.count_if(own).alias(f"docs_{i}"), F.count_if(own & good).alias(f"healthy_{i}"))]
+    return counted.observe(seen, F.count(F.lit(1)).alias("docs"), F.count_if(good).alias("healthy"), *each).where(good), seen
+
+
+def enough(seen: Observation, categories: list[str], least: int = LEAST_DOCS) -> list[tuple[str, int, int]]:
+    """``category, healthy, rejected`` of what an observation met; an error if fewer than ``least`` documents were healthy."""
+    got = seen.get
+    if got["healthy"] < least:
+        raise ValueError(f"at least {least} documents are needed, found {got['healthy']}")
+    return [(c, got[f"healthy_{i}"], got[f"docs_{i}"] - got[f"healthy_{i}"]) for i, c in enumerate(categories)]
 
 
 def require(df: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -87,6 +110,9 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def frequencies(df: DataFrame, dictionary: DataFrame, term_col: str = "term") -> DataFrame:
-    """``df`` with the term's dictionary frequency, -1 if it has none."""
-    d = dictionary.select(F.col("term").alias("_term"), F.col("freq"))
-    return df.join(d, F.col(term_col) == F.col("_term"), "left").drop("_term").withColumn("freq", F.coalesce("freq", F.lit(-1)).cast("long"))
+    """``df`` with ``freq``, the term's dictionary frequency, -1 if it has none; a ``freq`` that ``df`` has is an error."""
+    if "freq" in df.columns:
+        raise ValueError("the rows have a column freq already")
+    key = free_name(df.columns, "dictionary_term")
+    d = dictionary.select(F.col("term").alias(key), F.col("freq"))
+    return df.join(d, F.col(term_col) == F.col(key), "left").drop(key).withColumn("freq", F.coalesce("freq", F.lit(-1)).cast("long"))

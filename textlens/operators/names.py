@@ -104,6 +104,32 @@ def names(df: DataFrame, dictionary: DataFrame | None = None, compat: bool = Fal
     return rows.groupBy("doc_id", group.alias("g")).agg(best).select("doc_id", "x.name", "x.times")
 
 
+def prefix_pairs(names_: Column) -> Column:
+    """``struct(short, long)`` for each two names of an array of which one begins with the other.
+
+    A walk over the sorted names keeps a stack of those that the present one begins with: a name that it doesn't begin
+    with can't begin any later one. So the work is that of the pairs there are.
+    """
+    empty = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<short:string,long:string>>").alias("pairs"))
+
+    def step(state: Column, name: Column) -> Column:
+        found = lambda kept: F.struct(F.array_append(kept, name).alias("stack"), F.concat(state["pairs"], F.transform(kept, lambda a: F.struct(a.alias("short"), name.alias("long")))).alias("pairs"))
+        return X.bind(F.filter(state["stack"], lambda a: F.startswith(name, a)), found)
+
+    return F.aggregate(F.sort_array(F.array_distinct(names_)), empty, step)["pairs"]
+
+
+def capitalised(t: Column, least: int = 3) -> Column:
+    """Distinct capitalised words of Latin script with so many letters at least: what may be a name there."""
+    words = F.regexp_extract_all(t, F.lit("([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)"), F.lit(1))
+    return F.filter(F.array_distinct(words), lambda w: F.length(w) >= least)
+
+
+def latin_aliases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, short, long``: capitalised words of a document of which one begins with the other; in its own row, without a shuffle."""
+    return df.select(F.col(id_col).alias("doc_id"), F.inline(prefix_pairs(capitalised(F.col(text_col)))))
+
+
 def aliases(df: DataFrame, dictionary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, short, long``: names of a document of which one starts with the other, before one is chosen for a group.
 
@@ -112,8 +138,8 @@ def aliases(df: DataFrame, dictionary: DataFrame | None = None, id_col: str = "d
     rows = named(df, id_col, text_col)
     if dictionary is not None:
         rows = verified(rows, dictionary)
-    longer = lambda c: F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: F.startswith(b, a) & (b != a) & ~_in(F.right(b, F.lit(1)), L.SPEECH_TAIL)), lambda b: F.struct(a.alias("short"), b.alias("long")))))
-    return rows.groupBy("doc_id").agg(F.collect_set("name").alias("c")).select("doc_id", F.inline(longer(F.col("c"))))
+    pairs = rows.groupBy("doc_id").agg(F.collect_set("name").alias("c")).select("doc_id", F.inline(prefix_pairs(F.col("c"))))
+    return pairs.where(~_in(F.right("long", F.lit(1)), L.SPEECH_TAIL))
 
 
 def alias_findings(found: DataFrame) -> DataFrame:

@@ -16,21 +16,27 @@ from ..profiles import LanguageProfile
 ISSUE, WARN, PASS = "issue", "warn", "pass"
 
 
-def measured(df: DataFrame, p: LanguageProfile, genre: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the struct ``m`` of everything that the rules look at."""
-    t, g, lists = F.col(text_col), p.genre(genre), p.lists
+def measures(p: LanguageProfile, genre: str | None, t: Column) -> dict[str, Column]:
+    """Everything that some rule looks at, by name."""
+    g, lists = p.genre(genre), p.lists
     counts = lambda name: F.array(*[X.literal_count(t, k) for k in lists[name]])
     end = X.tail(t)
 
     def of_sections(s: Column) -> Column:
         return F.struct(F.size(s).cast("long").alias("n"), X.total_count(X.first_sections(s), g["climax"]).alias("climax"), X.contains_any(F.element_at(s, 1), g["setup"]).alias("setup"))
 
-    m = F.struct(
-        X.letter_count(t, p).alias("letters"), X.sentence_count(t, p).alias("sentences"), X.literal_count(t, p.exclamation).alias("exclamations"), X.literal_count(t, p.comma).alias("commas"),
-        counts("banned_marks").alias("marks"), X.quote_tally(t).alias("quotes"), counts("templates_check").alias("templates"), counts("thinking").alias("thinking"), counts("templates_audit").alias("templates_audit"), counts("patterns_audit").alias("patterns_audit"),
-        X.bind(X.sections(t, p), of_sections).alias("sections"), X.total_count(t, g["emotion"]).alias("emotion"), X.total_count(end, lists["open_endings"]).alias("open"), X.total_count(end, lists["ending_power"]).alias("power"),
-        (X.dialogue_spans(t, p) + X.dialogue_cues(t, p)).alias("dialogue"), X.paragraph_stats(t).alias("paragraphs"), F.regexp_count(t, F.lit("[「」]")).cast("long").alias("corner_quotes"),
-    )
+    return {
+        "letters": X.letter_count(t, p), "sentences": X.sentence_count(t, p), "exclamations": X.literal_count(t, p.exclamation), "commas": X.literal_count(t, p.comma),
+        "marks": counts("banned_marks"), "quotes": X.quote_tally(t), "templates": counts("templates_check"), "thinking": counts("thinking"), "templates_audit": counts("templates_audit"), "patterns_audit": counts("patterns_audit"),
+        "sections": X.bind(X.sections(t, p), of_sections), "emotion": X.total_count(t, g["emotion"]), "open": X.total_count(end, lists["open_endings"]), "power": X.total_count(end, lists["ending_power"]),
+        "dialogue": X.dialogue_spans(t, p) + X.dialogue_cues(t, p), "paragraphs": X.paragraph_stats(t), "corner_quotes": F.regexp_count(t, F.lit("[「」]")).cast("long"),
+    }
+
+
+def measured(df: DataFrame, p: LanguageProfile, genre: str | None = None, id_col: str = "doc_id", text_col: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
+    """``doc_id`` and the struct ``m`` of what the rules look at, or of ``only`` some of it."""
+    all_of = measures(p, genre, F.col(text_col))
+    m = F.struct(*[all_of[k].alias(k) for k in only or all_of])
     # bound, so that the optimizer doesn't compute a field again for each rule that reads it
     return df.select(F.col(id_col).alias("doc_id"), X.bind(m, lambda x: x).alias("m"))
 
@@ -80,6 +86,10 @@ def check_rules(p: LanguageProfile) -> list[Column]:
     ]
 
 
+#: What each set of rules looks at; nothing else is measured for it.
+check_rules.reads = ("letters", "marks", "quotes", "templates", "thinking", "sections", "emotion", "open", "power", "dialogue", "paragraphs")
+
+
 def audit_rules(p: LanguageProfile) -> list[Column]:
     """The audit's rules: a header of measures, then bans; one pass row if nothing is found."""
     m = F.col("m")
@@ -91,8 +101,11 @@ def audit_rules(p: LanguageProfile) -> list[Column]:
     return [*info, *bans, _finding(PASS, "fixed_rules", F.lit(0), when=clean)]
 
 
-def _rows(df: DataFrame, p: LanguageProfile, genre: str | None, id_col: str, text_col: str) -> DataFrame:
-    return measured(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), p, genre, id_col, text_col)
+audit_rules.reads = ("letters", "sentences", "exclamations", "commas", "marks", "templates_audit", "patterns_audit", "corner_quotes")
+
+
+def _rows(df: DataFrame, p: LanguageProfile, genre: str | None, id_col: str, text_col: str, rules) -> DataFrame:
+    return measured(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), p, genre, id_col, text_col, getattr(rules, "reads", None))
 
 
 def _present(rules: list[Column]) -> Column:
@@ -102,11 +115,11 @@ def _present(rules: list[Column]) -> Column:
 def findings(df: DataFrame, p: LanguageProfile, genre: str | None = None, rules=check_rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, severity, rule, term, value`` of every document; null texts are empty."""
     # the array stands inside: as a column of its own the optimizer would filter by it, and so compute it twice
-    return _rows(df, p, genre, id_col, text_col).select("doc_id", F.inline(_present(rules(p))))
+    return _rows(df, p, genre, id_col, text_col, rules).select("doc_id", F.inline(_present(rules(p))))
 
 
 def totals(df: DataFrame, p: LanguageProfile, genre: str | None = None, rules=check_rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, passes, warns, issues`` of every document, counted in its own row."""
     n = lambda s, name: F.size(F.filter(F.col("s"), lambda x: x == s)).cast("long").alias(name)
     severities = X.bind(F.transform(_present(rules(p)), lambda x: x["severity"]), lambda s: s)
-    return _rows(df, p, genre, id_col, text_col).select("doc_id", severities.alias("s")).select("doc_id", n(PASS, "passes"), n(WARN, "warns"), n(ISSUE, "issues"))
+    return _rows(df, p, genre, id_col, text_col, rules).select("doc_id", severities.alias("s")).select("doc_id", n(PASS, "passes"), n(WARN, "warns"), n(ISSUE, "issues"))

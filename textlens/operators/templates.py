@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons
 from ..functions import text as X
+from ..functions.arrow import free_name
 
 PREVIOUS, CONTEXT = 2000, 3000
 #: Candidate files of a stage's output, in the order in which they are looked for.
@@ -65,11 +66,35 @@ def previous_outputs(stage_rows: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def previous_turn(turns: DataFrame, by: str = "conv_id", order: str = "turn", text_col: str = "text") -> DataFrame:
-    """Each turn with the text of the one before, cut to what a prompt takes."""
+    """Each turn with ``previous``, the text of the one before, cut to what a prompt takes; a column of that name is an error."""
+    if "previous" in turns.columns:
+        raise ValueError("the turns have a column previous already")
     w = Window.partitionBy(by).orderBy(order)
     return turns.withColumn("previous", F.left(F.lag(text_col).over(w), F.lit(PREVIOUS)))
 
 
+def chained(turns: DataFrame, roles: list[str], by: str = "conv_id", order: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = 1000) -> DataFrame:
+    """Each turn with ``previous`` (or that with underscores in front): the latest earlier text that isn't empty, of the first of ``roles`` that has one.
+
+    Turns (whole numbers) go in chunks of ``chunk``: each is walked by itself, and carries on the latest text of each role from
+    the chunks before; so a long conversation is many tasks' work, and what is carried is a text a role. Earlier is a smaller
+    turn; of equal turns of a role the last text in order counts. Null turns and roles are before nothing; null keys are one
+    conversation.
+    """
+    name = free_name(turns.columns, "previous")
+    part, row = free_name(turns.columns, "chunk"), free_name(turns.columns, "latest")
+    said = lambda r: F.when((F.col(role_col) == r) & (F.col(text_col) != "") & F.col(order).isNotNull(), F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))
+    cut = turns.withColumn(part, F.floor(F.col(order) / chunk))
+    here = Window.partitionBy(by, part).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    walked = cut.withColumn(row, F.array(*[F.max(said(r)).over(here) for r in roles]))
+    ends = cut.where(F.col(part).isNotNull()).groupBy(F.col(by).alias(f"{row}_by"), F.col(part).alias(f"{row}_part")).agg(*[F.max(said(r)).alias(f"{row}_{i}") for i, r in enumerate(roles)])
+    before = Window.partitionBy(f"{row}_by").orderBy(f"{row}_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(f"{row}_by", f"{row}_part", F.array(*[F.max(f"{row}_{i}").over(before) for i in range(len(roles))]).alias(f"{row}_carried"))
+    both = walked.join(carried, F.col(by).eqNullSafe(F.col(f"{row}_by")) & (F.col(part) == F.col(f"{row}_part")), "left")
+    best = F.coalesce(*[x for i in range(len(roles)) for x in (F.get(row, F.lit(i)), F.get(f"{row}_carried", F.lit(i)))])
+    return both.withColumn(name, F.left(F.when(F.col(order).isNotNull(), best["t"]), F.lit(PREVIOUS))).select(*turns.columns, name)
+
+
 def prompt(template: Column, previous: Column, context: Column, params: Column, stage: Column | None = None, role: str = "You are an experienced editor.") -> Column:
     """One text of role, template, previous output, context (not for the polishing stage) and parameters; missing parts are left out."""
     shows = (F.coalesce(context, F.lit("")) != "") & (F.lit(True) if stage is None else ~stage.eqNullSafe(F.lit("优化")))

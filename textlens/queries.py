@@ -448,6 +448,28 @@ def prompt_assembly(spark, sf_dir):
     return c.select("conv_id", "turn", templates.prompt(F.left("text", F.lit(100)), F.col("previous"), F.lit(None).cast("string"), params).alias("prompt"))
 
 
+@query("SELECT conv_id, turn, role, left((SELECT e.text FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn < c.turn AND e.role IN ('assistant', 'user') AND e.text <> '' ORDER BY e.role, e.turn DESC LIMIT 1), 2000) AS previous FROM conversations c")
+def chained_turns(spark, sf_dir):
+    """Each turn with the latest earlier text of the assistant, or else of the user."""
+    return templates.chained(table(spark, sf_dir, "conversations"), ["assistant", "user"], chunk=3).select("conv_id", "turn", "role", "previous")
+
+
+@query("WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+')) AS w FROM documents) SELECT a.doc_id, a.w AS short, b.w AS long FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.w <> b.w AND starts_with(b.w, a.w) AND length(a.w) >= 3")
+def latin_aliases(spark, sf_dir):
+    """Capitalised words of which one begins with the other."""
+    return names.latin_aliases(docs(spark, sf_dir))
+
+
+@query(f"SELECT lang, count(*) FILTER (l >= 500)::BIGINT AS healthy, count(*) FILTER (l < 500)::BIGINT AS rejected FROM (SELECT lang, {LETTERS} AS l FROM documents) GROUP BY lang")
+def guarded_counts(spark, sf_dir):
+    """Healthy and rejected documents of each language and the guard against too few, from the one pass that a job makes over the healthy ones."""
+    d = docs(spark, sf_dir)
+    langs = sorted(r[0] for r in table(spark, sf_dir, "documents").select("lang").distinct().limit(1000).collect())
+    good, seen = corpus.guarded(d, P, langs, "lang")
+    good.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(corpus.enough(seen, langs), "lang string, healthy long, rejected long")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, lang FROM documents WHERE source = 'src1'")
 def source_union(spark, sf_dir):
     d = docs(spark, sf_dir)
