@@ -233,3 +233,12 @@ def test_values_next_to_digits_and_separators(spark):
     [iban] = [t for t, _ in run(spark, ["BE68 5390 0754 7034 EUR"])]
     assert re.fullmatch(r"BE\d\d \d{4} \d{4} \d{4} EUR", iban) and int("".join(str(int(c, 36)) for c in (iban[4:-4] + iban[:4]).replace(" ", ""))) % 97 == 1
     assert re.fullmatch(r"3,user\w+@mail\w+\.example,berlin", run(spark, ["3,john@example.com,berlin"])[0][0])
+
+
+def test_mail_addresses_of_many_forms(spark):
+    """Accents, apostrophes, underscores and names of other scripts belong to the address; what stands around it doesn't."""
+    mails = ["müller@example.de", "o'brien@example.com", "o’brien@example.com", "josé.garcia@example.com", "a@bücher.de", "john_@example.com", "_x@example.com", "x+@example.com", "иван@почта.рф", "γιώργος@example.gr", "a@xn--bcher-kva.xn--p1ai", "é@é.eu"]
+    around = [("", ""), ("<", ">"), ("'", "'"), ("mailto:", "?x=1"), ("email=", "&b"), ("邮箱", "邮箱"), ("1,", ",2"), ("see ", ".")]
+    for (a, z), row in zip([x for x in around for _ in mails], zip(mails * len(around), run(spark, [a + m + z for a, z in around for m in mails]), strict=True), strict=True):
+        mail, (text, kinds) = row
+        assert kinds == ["email"] and re.fullmatch(re.escape(a) + r"user[0-9a-f]{12}@mail[0-9a-f]{6}\.example" + re.escape(z), text), (a, mail, z, text)

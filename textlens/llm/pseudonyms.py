@@ -21,9 +21,11 @@ from .common import free_name, let
 ROUNDS = 5  # each of two half rounds
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Letters of mail addresses: Latin with its accents, Greek and Cyrillic.
+_L = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
 #: Patterns of whole values, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}",
+    "email": rf"[{_L}0-9_](?:[{_L}0-9._%+'’-]{{0,62}}[{_L}0-9_+-])?@(?:[{_L}0-9](?:[{_L}0-9-]{{0,61}}[{_L}0-9])?\.){{1,8}}(?:xn--[a-z0-9-]{{1,59}}|[{_L}]{{2,24}})",
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
@@ -51,7 +53,7 @@ def _bounded(kind: str) -> str:
 
 
 def _any(kinds: list[str]) -> str:
-    return "(?<![A-Za-z0-9])(?=[A-Za-z0-9+(])(?:" + "|".join(map(_bounded, kinds)) + ")"
+    return f"(?<![A-Za-z0-9])(?=[{_L}0-9_+(])(?:" + "|".join(map(_bounded, kinds)) + ")"
 
 
 KINDS = [*PATTERNS]
