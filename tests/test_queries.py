@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from textlens import queries
+from textlens import queries, table_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")

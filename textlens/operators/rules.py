@@ -123,3 +123,31 @@ def totals(df: DataFrame, p: LanguageProfile, genre: str | None = None, rules=ch
     n = lambda s, name: F.size(F.filter(F.col("s"), lambda x: x == s)).cast("long").alias(name)
     severities = X.bind(F.transform(_present(rules(p)), lambda x: x["severity"]), lambda s: s)
     return _rows(df, p, genre, id_col, text_col, rules).select("doc_id", severities.alias("s")).select("doc_id", n(PASS, "passes"), n(WARN, "warns"), n(ISSUE, "issues"))
+
+
+def reports(df: DataFrame, p: LanguageProfile, head: dict[str, str] | None = None, decimals: dict[str, int] | None = None, genre: str | None = None, rules=check_rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, report``: each document's findings as one text, made in its own row.
+
+    A banner with the id and ``head``, findings by severity in the order of the rules, and how many there are of each.
+    Values have the ``decimals`` of their rule, half up, none where none are named.
+    """
+
+    def shown(x: Column) -> Column:
+        out = F.floor(x["value"] + 0.5).cast("string")
+        for rule, places in (decimals or {}).items():
+            if places:
+                n = F.floor(x["value"] * 10**places + 0.5)
+                out = F.when(x["rule"] == rule, F.concat(F.floor(n / 10**places).cast("string"), F.lit("."), F.lpad((n % 10**places).cast("string"), places, "0"))).otherwise(out)
+        return F.coalesce(out, F.lit("-"))
+
+    line = lambda x: F.concat(F.lit("  "), x["rule"], F.when(x["term"] == "", "").otherwise(F.concat(F.lit(" "), x["term"])), F.lit(": "), shown(x))
+
+    def block(s: str) -> Column:
+        own = F.filter("found", lambda x: x["severity"] == s)
+        return X.bind(own, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(f"\n{s} ("), F.size(f).cast("string"), F.lit(")\n"), F.array_join(F.transform(f, line), "\n"))))
+
+    count = lambda s: F.concat(F.size(F.filter("found", lambda x: x["severity"] == s)).cast("string"), F.lit(f" {s}"))
+    rows = _rows(df, p, genre, id_col, text_col, rules).select("doc_id", X.bind(_present(rules(p)), lambda x: x).alias("found"))
+    banner = [F.col("doc_id").cast("string"), F.lit("=" * 50), *[F.lit(f"{k}: {v}") for k, v in (head or {}).items()]]
+    total = F.concat(F.lit("\ntotal: "), F.concat_ws(" / ", *map(count, (PASS, WARN, ISSUE))), F.lit("\n"))
+    return rows.select("doc_id", F.concat_ws("\n", *banner, *map(block, ("info", PASS, WARN, ISSUE)), total).alias("report"))

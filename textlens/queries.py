@@ -377,7 +377,8 @@ def _rule(severity: str, rule: str, value: str, when: str = "TRUE", term: str =
     return f"SELECT doc_id, {severity} AS severity, '{rule}' AS rule, {q(term)} AS term, ({value})::DOUBLE AS value FROM m WHERE {when}"
 
 
-def _findings_sql() -> str:
+def finding_rows() -> tuple[str, list[str]]:
+    """What the checker's rules look at as ``m``, and the rows of each rule, in order."""
     each = lambda s, rule, name: [_rule(s, rule, n_lit(k), f"{n_lit(k)} > 0", k) for k in LISTS[name]]
     marks, quotes, thinking, tpl = n_all(LISTS["banned_marks"]), "(" + n_lit('"') + " + " + n_lit("'") + ")", n_all(LISTS["thinking"]), n_all(LISTS["templates_check"])
     first = "array_to_string(s[1:3], '')"
@@ -404,7 +405,12 @@ def _findings_sql() -> str:
         _rule("'warn'", "long_paragraph", long, f"{long} > 0"),
         _rule(f"CASE WHEN {average} > 80 THEN 'warn' ELSE 'pass' END", "paragraph_length", average, "len(p) > 0"),
     ]
-    return f"WITH m AS MATERIALIZED (SELECT doc_id, text, {LETTERS} AS letters, {_splits()} AS s, {PARAGRAPHS} AS p FROM documents) " + " UNION ALL ".join(rows)
+    return f"WITH m AS MATERIALIZED (SELECT doc_id, text, {LETTERS} AS letters, {_splits()} AS s, {PARAGRAPHS} AS p FROM documents)", rows
+
+
+def _findings_sql() -> str:
+    measures, rows = finding_rows()
+    return f"{measures} " + " UNION ALL ".join(rows)
 
 
 @query(_findings_sql())
@@ -557,7 +563,7 @@ def segmented_documents(spark, sf_dir):
     return cut.groupBy("doc_id").agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("n_words"), F.coalesce(F.sum(of), F.lit(0)).alias("places"))
 
 
-def _written(spark, sf_dir) -> str:
+def written_corpus(spark, sf_dir) -> str:
     """All documents as text files by language."""
     source.register(spark)
     folder = source.scratch(spark, "corpus")
@@ -568,14 +574,14 @@ def _written(spark, sf_dir) -> str:
 @query("SELECT lang AS category, doc_id, octet_length(encode(text))::BIGINT AS bytes, md5(text) AS content FROM documents")
 def corpus_files(spark, sf_dir):
     """All documents written as files by language, and read back."""
-    found = spark.read.format("corpus").load(_written(spark, sf_dir))
+    found = spark.read.format("corpus").load(written_corpus(spark, sf_dir))
     return found.select("category", F.col("name").cast("long").alias("doc_id"), "bytes", F.md5("text").alias("content"))
 
 
 @query("SELECT doc_id, md5(text) AS content FROM documents WHERE lang = 'fr' AND octet_length(encode(text)) BETWEEN 1000 AND 20000")
 def corpus_files_chosen(spark, sf_dir):
     """Of these files those of one language and a range of sizes; no other is opened."""
-    found = spark.read.format("corpus").load(_written(spark, sf_dir)).where("category = 'fr' and bytes >= 1000 and bytes <= 20000")
+    found = spark.read.format("corpus").load(written_corpus(spark, sf_dir)).where("category = 'fr' and bytes >= 1000 and bytes <= 20000")
     return found.select(F.col("name").cast("long").alias("doc_id"), F.md5("text").alias("content"))
 
 
