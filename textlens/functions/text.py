@@ -99,11 +99,13 @@ def heading_counts(t: Column, p: LanguageProfile) -> Column:
 
 
 def sections(t: Column, p: LanguageProfile) -> Column:
-    """Split by the first heading pattern that gives two pieces; by the last one if none does."""
-    splits = [F.split(t, h, -1) for h in p.headings]
-    out = splits[-1]
-    for s in reversed(splits[:-1]):
-        out = bind(s, lambda x, out=out: F.when(F.size(x) >= 2, x).otherwise(out))
+    """Split by the first heading pattern that the text has (each takes characters, so a match gives two pieces); by the last one if it has none.
+
+    A pattern is looked for up to its first match, and only one of them splits the text.
+    """
+    out = F.split(t, p.headings[-1], -1)
+    for h in reversed(p.headings[:-1]):
+        out = F.when(t.rlike(h), F.split(t, h, -1)).otherwise(out)
     return out
 
 

@@ -84,6 +84,29 @@ def own_terms(counted: DataFrame, least: int = 3) -> DataFrame:
     return counted.where(F.col("docs") < least)
 
 
+def category_terms(df: DataFrame, p: LanguageProfile, tokens: Callable[[Column], Column] = latin_tokens, category_col: str = "category", text_col: str = "text", whole: bool = True) -> DataFrame:
+    """``category, term, docs, of``: in how many of all the category's documents each term is.
+
+    A document gives each of its terms once, in its own row; counts are summed in the tasks before they are shuffled, so a
+    term that all documents have is a row a task. Null categories are one.
+    """
+    words = F.filter(F.array_distinct(_words(p, tokens, text_col, whole)), lambda w: F.length(w) >= 2)
+    counted = df.select(F.col(category_col).alias("category"), F.explode(words).alias("term")).groupBy("category", "term").agg(F.count("*").alias("docs"))
+    sizes = df.groupBy(F.col(category_col).alias("size_of")).agg(F.count("*").alias("of"))
+    return counted.join(sizes, F.col("category").eqNullSafe(F.col("size_of"))).drop("size_of")
+
+
+def common_terms(counted: DataFrame, share: tuple[int, int] = (3, 5)) -> DataFrame:
+    """Of ``category_terms`` those in at least a share of the category's documents, as numerator and denominator."""
+    return counted.where(F.col("docs") * share[1] >= F.col("of") * share[0])
+
+
+def terms_of_one(counted: DataFrame, least: int = 3) -> DataFrame:
+    """Of ``category_terms`` those that only one category has, in ``least`` of its documents at least."""
+    alone = counted.groupBy("term").agg(F.count("*").alias("categories"), F.first("category").alias("category"), F.sum("docs").alias("docs"))
+    return alone.where((F.col("categories") == 1) & (F.col("docs") >= least)).select("category", "term", "docs")
+
+
 def rounded(value: Column, places: int) -> Column:
     """A ratio to some places, half up, without trailing zeros: ``0.5``, ``1.0``, ``0.333``."""
     unit = 10**places

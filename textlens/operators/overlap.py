@@ -161,10 +161,12 @@ def overlap_report(stories: DataFrame, sources: DataFrame, p: LanguageProfile, s
     return out.withColumn("verdict", F.when(F.col("matches") == 0, "OK").otherwise("FAIL"))
 
 
-def overlap_grid(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", most: int = 1000) -> DataFrame:
-    """Every asked pair with its matches and verdict, as a report of at most ``most`` stories."""
-    if stories.limit(most + 1).count() > most:
+def overlap_grid(stories: DataFrame, sources: DataFrame, p: LanguageProfile, story_id: str = "doc_id", source_id: str = "source_id", most: int = 1000, cells: int = 1_000_000) -> DataFrame:
+    """Every asked pair with its matches and verdict, as a report of at most ``most`` stories and ``cells`` pairs; ``overlap_report`` takes any number."""
+    if (asked := stories.limit(most + 1).count()) > most:
         raise ValueError(f"a grid takes at most {most} stories")
+    if asked * sources.limit(cells // max(asked, 1) + 1).count() > cells:
+        raise ValueError(f"a grid takes at most {cells} pairs")
     pairs = stories.select(story_id).crossJoin(sources.select(source_id))
     found = overlap(stories, sources, p, story_id, source_id)
     out = pairs.join(found, [story_id, source_id], "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))

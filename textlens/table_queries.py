@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import rewrite, rules, templates
+from .operators import fingerprint, rewrite, rules, templates
 from .profiles import LATIN as P
-from .queries import BODY, FIRST, LETTER, MARK, STRIP, docs, finding_rows, q, query, table, text_, written_corpus
+from .queries import BAG, BODY, FIRST, LETTER, MARK, STRIP, docs, finding_rows, q, query, table, text_, written_corpus
 from .sources import corpus as files
 from .sources import files as source
 from .sources import sinks
@@ -120,3 +120,18 @@ def document_reports(spark, sf_dir):
     """The checker's report of every document, made in its own row."""
     found = rules.reports(docs(spark, sf_dir), P, {"genre": "default"}, sinks.DECIMALS)
     return found.select("doc_id", F.md5("report").alias("report"))
+
+
+_BY_SOURCE = f"SELECT source AS category, term, count(*) AS docs, any_value(of) AS of FROM ({BAG}) JOIN documents USING (doc_id) JOIN (SELECT source, count(*) AS of FROM documents GROUP BY source) USING (source) GROUP BY source, term"
+
+
+@query(f"SELECT category, term, docs::BIGINT AS docs, of::BIGINT AS of FROM ({_BY_SOURCE}) WHERE docs * 5 >= of * 3")
+def common_by_source(spark, sf_dir):
+    """Terms that three of five documents of a source have, of all its documents."""
+    return fingerprint.common_terms(fingerprint.category_terms(docs(spark, sf_dir), P, category_col="source"))
+
+
+@query(f"SELECT any_value(category) AS category, term, sum(docs)::BIGINT AS docs FROM ({_BY_SOURCE}) GROUP BY term HAVING count(*) = 1 AND sum(docs) >= 3")
+def terms_of_one_source(spark, sf_dir):
+    """Terms of three documents or more that all lie in one source."""
+    return fingerprint.terms_of_one(fingerprint.category_terms(docs(spark, sf_dir), P, category_col="source"))
