@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import fingerprint, rewrite, rules, templates
+from . import lexicons as L
+from .operators import fingerprint, names, rewrite, rules, templates
 from .profiles import LATIN as P
 from .queries import BAG, BODY, FIRST, LETTER, MARK, STRIP, docs, finding_rows, q, query, table, text_, written_corpus
 from .sources import corpus as files
@@ -135,3 +136,44 @@ def common_by_source(spark, sf_dir):
 def terms_of_one_source(spark, sf_dir):
     """Terms of three documents or more that all lie in one source."""
     return fingerprint.terms_of_one(fingerprint.category_terms(docs(spark, sf_dir), P, category_col="source"))
+
+# documents in Han letters: each Latin letter becomes one, so that surnames, verbs of speech and marks stand in every text
+_FROM = "etaoinshrdlucmfpgwybvkxqjz"
+_TO = "说慕天明雪海笑容风山林水苏李月白星赵云石竹松兰梅金华"
+_HAN = f"translate(replace(text, ' ', ''), {q(_FROM + _FROM.upper() + '.,')}, {q(_TO * 2 + '。，')})"
+_SURE, _WEAK, _COMPOUND = L.STRONG_SURNAMES + L.MEDIUM_SURNAMES, L.WEAK_SURNAMES, "|".join(L.COMPOUND_SURNAMES)
+# what a name stands before is marked, as the patterns here can't look ahead; a mark may stand inside a name
+_NAMED = [rf"((?:{_COMPOUND})\x01?H)\x01", rf"((?:{_COMPOUND})\x01?H\x01?H)\x01", rf"([{_SURE}]\x01?H)\x01", rf"([{_SURE}]\x01?H\x01?H)\x01", rf"([{_WEAK}]\x01?H\x01?H)\x01", rf"(?:^|[^一-鿿\x01])([{_WEAK}]\x01?H)\x01"]
+_FOUND = " || ".join(f"regexp_extract_all(m, {q(x.replace('H', '[一-鿿]'))}, 1)" for x in _NAMED)
+_NAMES = f"""
+d AS MATERIALIZED (SELECT doc_id, {_HAN} AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_replace(t, {q("([" + L.NAME_CONTEXT + "])")}, chr(1) || '\\1', 'g') AS m FROM d),
+c AS (SELECT DISTINCT doc_id, t, replace(unnest({_FOUND}), chr(1), '') AS n FROM m),
+g AS (SELECT doc_id, n, (length(t) - length(replace(t, n, ''))) // length(n) AS times, regexp_matches(n, '^(?:{_COMPOUND})') AS compound FROM c
+  WHERE NOT (length(n) IN (2, 3) AND (regexp_matches(substring(n, 2, 1), '^[{L.UNLIKELY_SECOND}]') OR length(n) = 3 AND (regexp_matches(substring(n, 2, 1), '^[{L.NUMERALS}]') OR substring(n, 1, 1) = substring(n, 2, 1))))
+  AND NOT (length(n) = 2 AND regexp_matches(n, '^[{_SURE}{_WEAK}]{{2}}'))),
+n AS (SELECT doc_id, n AS name, times::BIGINT AS times FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, left(n, CASE WHEN compound THEN 3 ELSE 2 END) ORDER BY regexp_matches(right(n, 1), '^[{L.SPEECH_TAIL}]'), times DESC, length(n) DESC, n DESC) = 1)"""
+
+
+def _han(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.translate(F.replace("text", F.lit(" "), F.lit("")), _FROM + _FROM.upper() + ".,", _TO * 2 + "。，").alias("text"))
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, name, times FROM n")
+def document_names(spark, sf_dir):
+    """The names in every document's Han letters, one of each group that starts alike, with how often they occur."""
+    return names.names(_han(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, count(*) FILTER (regexp_matches(name, '^(?:{_COMPOUND})'))::BIGINT AS compound, count(*) FILTER (regexp_matches(name, '^[{L.STRONG_SURNAMES}]'))::BIGINT AS strong, count(*) FILTER (regexp_matches(name, '^[{L.MEDIUM_SURNAMES}]'))::BIGINT AS medium, count(*) FILTER (regexp_matches(name, '^[{_WEAK}]'))::BIGINT AS weak FROM n GROUP BY doc_id")
+def document_name_tiers(spark, sf_dir):
+    """How many names of each kind of surname every document has."""
+    return names.tiers(names.names(_han(spark, sf_dir)))
+
+
+@query(f"""WITH {_NAMES}, k AS (SELECT doc_id, count(*) AS k, array_to_string(list_sort(list(name))[1:8], ',') AS term FROM n GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(k, 0) BETWEEN 1 AND 10 THEN 'pass' ELSE 'warn' END AS severity, coalesce(k, 0)::DOUBLE AS value, coalesce(term, '') AS term FROM documents LEFT JOIN k USING (doc_id)""")
+def document_casts(spark, sf_dir):
+    """The finding on every document's cast."""
+    d = _han(spark, sf_dir)
+    return names.cast_findings(names.names(d), d).select("doc_id", "severity", "value", "term")
