@@ -56,6 +56,8 @@ def test_damaged_archive_gives_records_before_the_damage(spark, tmp_path):
     (tmp_path / "b" / "part-0.txt").write_bytes(data[:cut] + b"junk" + data[cut:])
     got = {r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/b", 2000).collect()}
     assert got == set(range(20))
+    assert [(r.path.rsplit("/", 1)[1], r["at"]) for r in warc.breaks(spark, f"file://{tmp_path}/b", 2000).collect()] == [("part-0.txt", cut)]
+    assert warc.breaks(spark, f"file://{tmp_path}/a", 2000).collect() == []
 
 
 def record(i, payload, version="1.0", extra=""):
@@ -92,3 +94,22 @@ def test_gzip_members_and_both_versions(spark, tmp_path):
     (tmp_path / "cut" / "a.warc.gz").write_bytes(data[: len(data) // 2])
     some = [r.page_id for r in warc.read_records(spark, f"file://{tmp_path}/cut", 500).collect()]
     assert sorted(some) == [*range(len(some))] and 0 < len(some) < 30
+    starts = [0]
+    for i, p in enumerate(parts[:30]):
+        starts.append(starts[-1] + len(gzip.compress(p, i % 10)))
+    assert [r["at"] for r in warc.breaks(spark, f"file://{tmp_path}/cut", 500).collect()] == [max(x for x in starts if x <= len(data) // 2)]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "a.warc.gz").write_bytes(data)
+    assert warc.breaks(spark, f"file://{tmp_path}/whole", 500).collect() == []
+
+
+def test_folded_headers_anywhere(spark, tmp_path):
+    """Lines that go on, some longer than a block, in the middle of a file; values are joined by a space."""
+    long = "X: a\r\n " + "b" * 70_000 + "\r\n\tc\r\n"
+    parts = [record(i, f"page {i} ".encode() * 30, extra=("X: one\r\n  two\r\n\tthree\r\n", "", long)[i % 3]) for i in range(30)]
+    (tmp_path / "f.warc").write_bytes(b"".join(parts))
+    for size in (700, 1 << 20):
+        assert sorted(r.page_id for r in warc.read_records(spark, f"file://{tmp_path}", size).collect()) == [*range(30)]
+    fields, _, n = warc.parse_header(lambda: b"", parts[0])
+    assert fields["x"] == "one two three" and parts[0][n:].startswith(b"page 0 ")
+    assert warc.parse_header(lambda: b"", b"WARC/1.0\r\n folded\r\nContent-Length: 1\r\n\r\n") is None

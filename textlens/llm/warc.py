@@ -29,6 +29,8 @@ GZIP = b"\x1f\x8b\x08"
 RANGE, BLOCK, HEADER = 4 << 20, 1 << 16, 64 << 20
 LEAST_REVISIT = 100
 RECORDS = "page_id bigint, record_type string, refers_to bigint, stated_digest string, payload_bytes bigint, payload_digest string"
+#: Where a chain broke, beside the columns of records.
+BREAK = "broken_path string, broken_at bigint"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -71,6 +73,7 @@ def parse_header(more: Callable[[], bytes], data: bytes = b"") -> tuple[dict[str
     """The fields of a record header, what was read beyond it, and its length with the blank line; None if it isn't one.
 
     ``more`` gives the next bytes, so headers may be longer than a block; what is no header is left at its first odd line.
+    A line that begins with white space goes on with the field before it.
     """
     seen = 0  # up to where lines are known to be fields
     while True:
@@ -78,7 +81,8 @@ def parse_header(more: Callable[[], bytes], data: bytes = b"") -> tuple[dict[str
         whole = data[seen : end + 2] if end >= 0 else data[seen : data.rfind(b"\r\n") + 2] if b"\r\n" in data[seen:] else b""
         if not seen and (whole or len(data) >= 10) and not MAGIC.match(data):
             return None
-        if any(b":" not in line for line in whole.split(b"\r\n")[int(not seen) : -1]):
+        lines = whole.split(b"\r\n")[int(not seen) : -1]
+        if any(b":" not in line and line[:1] not in (b" ", b"\t") for line in lines) or (not seen and lines and lines[0][:1] in (b" ", b"\t")):
             return None
         if end >= 0:
             break
@@ -89,7 +93,7 @@ def parse_header(more: Callable[[], bytes], data: bytes = b"") -> tuple[dict[str
         data += block
         if len(data) > HEADER:
             raise ValueError(f"a header of more than {HEADER} bytes")
-    pairs = (line.partition(b":") for line in data[:end].split(b"\r\n")[1:])
+    pairs = (line.partition(b":") for line in re.sub(rb"\r\n[ \t]+", b" ", data[:end]).split(b"\r\n")[1:])
     fields = {name.strip().lower().decode("ascii", "replace"): value.strip().decode("utf-8", "replace") for name, _, value in pairs}
     size = fields.get("content-length", "")
     return (fields, data[end + 4 :], end + 4) if size.isascii() and size.isdigit() else None
@@ -201,47 +205,51 @@ def _record(fields: dict[str, str], block: bytes, more: Callable[[], bytes]) ->
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the verified chain inside each range, reading payloads in blocks."""
-    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    """Walk the verified chain inside each range, reading payloads in blocks; a row of its own says where it breaks."""
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in f"{RECORDS}, {BREAK}".split(", "))])
     for batch in batches:
         for path, at, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "stop")), strict=True):
-            rows = []
+            rows, whole = [], True
             fs, p = filesystem(path)
             with fs.open_input_file(p) as f:
                 if path.endswith(".gz"):
-                    while at is not None and at < stop:
-                        member, rest = _Member(f, at), b""
+                    while whole and at < stop:
+                        member, rest, n = _Member(f, at), b"", 0
                         try:
                             while found := parse_header(member.read, rest):
                                 row, rest = _record(found[0], found[1], member.read)
                                 if row is None:
+                                    whole = False
                                     break
-                                rows.append(row)
+                                rows.append((*row, None, None))
+                                n += 1
                             while member.read():  # what is no record
                                 pass
                         except zlib.error:
-                            break
-                        at = member.stop
+                            whole = False
+                        if whole and n:
+                            at = member.stop
+                        else:
+                            whole = False
                 else:
                     more, rest = _reader(f, at), b""
-                    while at < stop and (found := parse_header(more, rest)):
-                        size = int(found[0]["content-length"])
-                        row, rest = _record(found[0], found[1], more)
+                    while whole and at < stop:
+                        found = parse_header(more, rest)
+                        row, rest = _record(found[0], found[1], more) if found else (None, b"")
                         if row is None:
-                            break
-                        rows.append(row)
-                        at += found[2] + size + 4
+                            whole = False
+                        else:
+                            rows.append((*row, None, None))
+                            at += found[2] + int(found[0]["content-length"]) + 4
+            if not whole:
+                rows.append((*[None] * 6, path, at))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """The records of all archives in a folder: page id, type, what it refers to, stated digest, and size and digest of the payload as read.
-
-    Versions 1.0 and 1.1; files that end in ``.gz`` are gzip members, one or many. Bytes that the chain from a file's start
-    doesn't reach are no record, whatever they look like; a damaged file gives its records up to the damage. Headers may
-    be of any length up to ``HEADER``; a longer one on the chain is an error, not a loss. An empty folder gives no row.
-    """
+def read_all(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The rows of ``read_records``, and for each file whose chain breaks before its end one of nulls with ``broken_path, broken_at``."""
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("fid"), "length")
     files = written(files, "warc-files")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
@@ -250,18 +258,39 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Da
     found = written(ranges.repartition(tasks, "fid", "start").mapInArrow(_candidates, "fid bigint, at bigint, successor bigint, leaves bigint"), "warc-candidates")
     enter = reached(found, files)
     walk = enter.join(files, "fid").where("at < length").withColumn("stop", F.least((F.floor(F.col("at") / range_bytes) + 1) * range_bytes, F.col("length")))
-    return walk.select("path", "at", "stop").repartition(tasks, "path", "at").mapInArrow(_records, RECORDS)
+    return walk.select("path", "at", "stop").repartition(tasks, "path", "at").mapInArrow(_records, f"{RECORDS}, {BREAK}")
+
+
+def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The records of all archives in a folder: page id, type, what it refers to, stated digest, and size and digest of the payload as read.
+
+    Versions 1.0 and 1.1; files that end in ``.gz`` are gzip members, one or many. Bytes that the chain from a file's start
+    doesn't reach are no record, whatever they look like; a damaged file gives its records up to the damage, and
+    ``breaks`` says where that is. Headers may have folded lines and any length up to ``HEADER``; a longer one on the chain
+    is an error, not a loss. An empty folder gives no row.
+    """
+    return read_all(spark, path, range_bytes).where("broken_at is null").drop("broken_path", "broken_at")
+
+
+def breaks(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """``path, at``: the files whose records don't lead to their end, and the first byte that no record explains."""
+    return read_all(spark, path, range_bytes).where("broken_at is not null").select(F.col("broken_path").alias("path"), F.col("broken_at").alias("at"))
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back, and resolve revisits to the payloads they refer to.
 
-    Gives ``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row.
+    Gives ``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row. Null payloads are empty, null
+    ids and URLs are left out of the record; repeated rows are records of their own; a payload is never held whole, however
+    long; an empty table gives no row; other columns are not looked at. An archive that doesn't read to its end is an error.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_archives(pages, path, **columns)
-    records = written(read_records(spark, path), "warc-records")
+    records = written(read_all(spark, path), "warc-records")
+    broken = records.where("broken_at is not null").select("broken_path", "broken_at").limit(3).collect()
+    if broken:
+        raise ValueError(f"archives that end too early: {[tuple(r) for r in broken]}")
     plain = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     meant = plain.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
     again = records.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("stated_digest").alias("payload_digest"), "record_type").join(meant, ["refers_to", "payload_digest"], "left")
