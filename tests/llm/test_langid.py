@@ -154,3 +154,11 @@ def test_mixed_text_scripts_and_edge_cases(spark):
 def test_nothing_learned_is_und(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in langid.identify(docs).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_rows_without_anything_to_learn_from(spark):
+    """Without labels nothing is identified; an empty table gives no row; columns of any name pass."""
+    docs = spark.createDataFrame([(1, "some words here", None, "x"), (None, None, None, "y")], "doc_id long, text string, lang string, lang_pred string")
+    out = langid.keep_identified(docs)
+    assert out.columns == docs.columns and out.count() == 0
+    assert langid.keep_identified(docs.limit(0)).count() == 0

@@ -2,7 +2,7 @@
 
 Each word (a run of letters) is scored per language by its letter trigrams, whose counts come from all training rows
 and are held in ``BUCKETS`` hashed cells per language, so the model's size is bounded. Languages that don't use the
-word's script are no candidates. The best labelling of a text's words pays ``SWITCH`` for each change of language.
+word's script pay a penalty that no word's letters make up for, so they are chosen only where no language uses it. The best labelling of a text's words pays ``SWITCH`` for each change of language.
 """
 
 from __future__ import annotations
@@ -257,7 +257,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a language: without those that are ``und`` or whose main language has under ``least`` of the letters."""
+    """The rows of ``docs`` with a language: without those that are ``und`` or whose main language has under ``least`` of the letters.
+
+    Null, empty and letterless texts go; repeated rows are judged each; null ids are judged but not learned from; texts of any
+    length are scored whole; an empty table gives no row, and one without labelled rows for training keeps none. Columns of
+    any name pass.
+    """
     model = train(docs.where(~held_out(id_col)), text_col, lang_col)
     lang = free_name(docs.columns, "lang_pred")
     score = free_name(docs.columns, "lang_score")
