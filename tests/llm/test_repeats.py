@@ -104,6 +104,23 @@ def test_parts_answer_as_the_whole_does(monkeypatch):
         assert all((a == b).all() for a, b in zip(parts, whole, strict=True))
 
 
+def test_fragments_that_share_no_50_bytes_are_not_sorted(monkeypatch):
+    """Of fragments around one minimizer only those enter the transform that have a 50-byte string in common, and answers stay."""
+    rng = np.random.default_rng(9)
+    counts = np.full(300, 31)
+    matrix = rng.integers(97, 123, (300, repeats.WIDTH), dtype=np.uint8)
+    matrix[:, 30:50] = 65  # the minimizer
+    matrix[7, 10:60] = matrix[3, 10:60]
+    matrix[11, 30:79] = matrix[5, 30:79]  # 49 bytes
+    sorted_, answers = [], repeats._answers
+    monkeypatch.setattr(repeats, "_answers", lambda f, n, d: sorted_.append(len(n)) or answers(f, n, d))
+    docs = np.arange(300)
+    got = repeats._by_parts(matrix, docs, counts, docs, np.zeros(300, "u1"))
+    assert sorted_ == [2]
+    assert all((a == b).all() for a, b in zip(got, answers([matrix], counts, docs), strict=True))
+    assert (got[7] == [3 if k == 10 else 7 for k in range(31)]).all()
+
+
 def test_rounds_hold_no_strings():
     """What the rounds hold of a string doesn't depend on its length: the columns stay in the file."""
     rng = np.random.default_rng(8)

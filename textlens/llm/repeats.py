@@ -174,14 +174,43 @@ def _answers(fragments: list[np.ndarray], counts: np.ndarray, docs: np.ndarray)
     return np.split(out, first[1:]) if len(counts) else []
 
 
+def _meeting(matrix: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which fragments have a 50-byte string whose hash another string among them has: no string of the others occurs twice."""
+    held = [np.zeros(0, np.uint64)]
+    for a in range(0, len(counts), 1 << 12):
+        w = matrix[a : a + (1 << 12)].astype(np.uint64)
+        for step in (1, 2, 4):  # eight bytes from each place
+            w = w[:, :-step] | (w[:, step:] << np.uint64(8 * step))
+        h = np.full((len(w), RUN), 0x9E3779B97F4A7C15, dtype=np.uint64)
+        for at in (*range(0, SPAN - 8, 8), SPAN - 8):
+            h ^= w[:, at : at + RUN]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+        held.append(h[np.arange(RUN) < counts[a : a + (1 << 12), None]])
+    value = np.concatenate(held)
+    order = np.argsort(value)
+    value = value[order]
+    same = value[1:] == value[:-1]
+    frag = np.repeat(np.arange(len(counts)), counts)[order]
+    out = np.zeros(len(counts), dtype=bool)
+    out[frag[1:][same]] = True
+    out[frag[:-1][same]] = True
+    return out
+
+
 def _by_parts(matrix: np.ndarray, first: np.ndarray, counts: np.ndarray, docs: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
-    """The answers to the fragments ``first``, from collections of about ``STRINGS`` each: equal strings are of one part."""
-    shift = max(0, 8 - (len(first) // STRINGS).bit_length())
-    part = part[first] >> shift
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(first)
+    """The answers to the fragments ``first``, from collections of about ``STRINGS`` each: equal strings are of one part.
+
+    Most fragments share their minimizer and no 50 bytes; those have their own document as the answer and are not sorted.
+    """
+    size = counts[first]
+    out = np.split(np.repeat(docs, size), np.cumsum(size)[:-1]) if len(size) else []
+    meet = np.flatnonzero(_meeting(matrix[first], size))
+    shift = max(0, 8 - (len(meet) // STRINGS).bit_length())
+    part = part[first[meet]] >> shift
     for k in np.unique(part).tolist():
-        own = np.flatnonzero(part == k)
-        for i, x in zip(own.tolist(), _answers([matrix[first[own]]], counts[first[own]], docs[own]), strict=True):
+        own = meet[part == k]
+        for i, x in zip(own.tolist(), _answers([matrix[first[own]]], size[own], docs[own]), strict=True):
             out[i] = x
     return out
 
