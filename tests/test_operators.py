@@ -1,8 +1,11 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from textlens import lexicons as L
 from textlens.operators import corpus, names, rules, templates
 from textlens.profiles import LATIN
 
@@ -74,6 +77,43 @@ def test_chained_turns(spark, chunk):
     assert templates.chained(df.limit(0), ["a"]).count() == 0
 
 
+def plain_named(t):
+    """Candidates by regular expressions, each counted in the whole text, with the letters before it."""
+    han, every = "[一-鿿]", L.STRONG_SURNAMES + L.MEDIUM_SURNAMES + L.WEAK_SURNAMES
+    sure, weak, two, then = f"[{L.STRONG_SURNAMES}{L.MEDIUM_SURNAMES}]", f"[{L.WEAK_SURNAMES}]", "(?:" + "|".join(L.COMPOUND_SURNAMES) + ")", f"(?=[{L.NAME_CONTEXT}])"
+    patterns = [two + han, two + han * 2, sure + han, sure + han * 2, weak + han * 2, f"(?<!{han}){weak}{han}"]
+    out = {}
+    for n in {x for p in patterns for x in re.findall(f"({p}){then}", t)}:
+        odd = n[1] in L.UNLIKELY_SECOND or len(n) == 3 and (n[1] in L.NUMERALS or n[0] == n[1])
+        if len(n) == 4 or not odd and not (len(n) == 2 and n[1] in every):
+            places = [m.start() for m in re.finditer(n, t)]
+            out[n] = len(places), {t[i - 1] if i else "" for i in places}
+    return out
+
+
+def test_names_of_odd_texts(spark):
+    r = random.Random(5)
+    letters = "慕容欧阳李李周苏方方白的一说，。走雪雪山🙂a\0\n "
+    texts = {i: "".join(r.choices(letters, k=r.randint(0, 120))) for i in range(300)} | {300: "李雪李雪李，李雪李，" * 50, 301: "", 302: "方雪，方雪说", 303: "李" * 999 + "，"}
+    df = spark.createDataFrame([*texts.items(), (304, None)], "id int, t string").repartition(3)
+    got = {i: {} for i in texts}
+    for x in names.named(df, "id", "t").collect():
+        got[x.doc_id][x.name] = x.times, set(x.before)
+    assert got == {i: plain_named(t) for i, t in texts.items()}
+    assert {(x.doc_id, x.name, x.times) for x in names.named(df, "id", "t", False).collect()} == {(i, n, k) for i, own in got.items() for n, (k, _) in own.items()}
+
+
+def test_names_take_the_work_of_the_text_whatever_their_number(spark):
+    """Each name used to be looked for in the whole text."""
+    r = random.Random(6)
+    text = "".join(r.choice("李周苏方") + chr(r.randint(0x4E00, 0x9FFF)) + chr(r.randint(0x4E00, 0x9FFF)) + "，" for _ in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    got = {x.name: x.times for x in names.named(df).collect()}
+    assert time.time() - began < 30 and len(got) > 50_000
+    assert all(got[n] == text.count(n) for n in r.sample(sorted(got), 200))
+
+
 def test_pairs_of_names_by_a_stack(spark):
     r = random.Random(4)
     sets = [["".join(r.choices("ABé", k=r.randint(1, 4))) for _ in range(r.randint(0, 25))] for _ in range(40)]

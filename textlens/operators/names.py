@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from .. import lexicons as L
 from ..functions import text as X
+from ..functions.arrow import pieces
 
 _HAN = "[一-鿿]"
 _COMPOUND = "|".join(L.COMPOUND_SURNAMES)
 _SURE = L.STRONG_SURNAMES + L.MEDIUM_SURNAMES
-_AFTER = f"(?=[{L.NAME_CONTEXT}])"
-# A surname of each kind with one or two letters, before a context character.
-PATTERNS = [
-    f"((?:{_COMPOUND}){_HAN}){_AFTER}",
-    f"((?:{_COMPOUND}){_HAN}{{2}}){_AFTER}",
-    f"([{_SURE}]{_HAN}){_AFTER}",
-    f"([{_SURE}]{_HAN}{{2}}){_AFTER}",
-    f"([{L.WEAK_SURNAMES}]{_HAN}{{2}}){_AFTER}",
-    f"(?<!{_HAN})([{L.WEAK_SURNAMES}]{_HAN}){_AFTER}",
-]
+# what a letter may be, as bits; letters beyond the basic plane are none of these
+HAN, SURE, WEAK, COMPOUND, AFTER, UNLIKELY, NUMERAL = (1 << i for i in range(7))
+_KINDS = np.zeros(1 << 16, dtype=np.uint8)
+_KINDS[0x4E00 : 0x9FFF + 1] = HAN
+for _chars, _kind in ((_SURE, SURE), (L.WEAK_SURNAMES, WEAK), ([x[0] for x in L.COMPOUND_SURNAMES], COMPOUND), (L.NAME_CONTEXT, AFTER), (L.UNLIKELY_SECOND, UNLIKELY), (L.NUMERALS, NUMERAL)):
+    _KINDS[[ord(c) for c in _chars]] |= _kind
+_PAIRS = np.array([ord(a) << 16 | ord(b) for a, b in L.COMPOUND_SURNAMES], dtype=np.uint32)
 
 
 def _at(n: Column, i: int) -> Column:
@@ -31,27 +34,107 @@ def _in(c: Column, chars: str) -> Column:
     return c.rlike(f"^[{chars}]")
 
 
-def candidates(t: Column) -> Column:
-    """Distinct matches of all patterns that no rule on their letters excludes."""
-    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(x), F.lit(1)) for x in PATTERNS])))
-    every = _SURE + L.WEAK_SURNAMES
-
-    def good(n: Column) -> Column:
-        size, second = F.length(n), _at(n, 2)
-        odd = _in(second, L.UNLIKELY_SECOND) | ((size == 3) & (_in(second, L.NUMERALS) | (_at(n, 1) == second)))
-        two = (size == 2) & _in(n, every) & _in(second, every)
-        return ~(size.isin(2, 3) & odd) & ~two
-
-    return F.filter(found, good)
-
-
-def before(t: Column, n: Column) -> Column:
-    """The distinct characters before the occurrences of ``n``; empty at the text's start."""
-    return F.array_distinct(F.regexp_extract_all(t, F.concat(F.lit("(?s)(?:^|(?<=(.)))"), X.escaped(n)), F.lit(1)))
-
+def _apart(at: np.ndarray, size: int) -> np.ndarray:
+    """Which of the sorted places a search from the left takes, if each match takes ``size`` letters.
 
-def occurrences(t: Column, n: Column) -> Column:
-    return ((F.length(t) - F.length(F.replace(t, n, F.lit("")))) / F.length(n)).cast("long")
+    A place that none before reaches is taken; what follows from it is marked by jumps of doubled length.
+    """
+    n = len(at)
+    taken = np.ones(n + 1, dtype=bool)
+    taken[1:n] = np.diff(at) >= size
+    jump = np.append(np.searchsorted(at, at + size), n)
+    while True:
+        before = np.count_nonzero(taken)
+        taken[jump[taken]] = True
+        if np.count_nonzero(taken) == before:
+            return taken[:n]
+        jump = jump[jump]
+
+
+def _keys(letters: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` letters from each place as one number, in the order of the names."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i in range(size):
+        out |= letters[at + i].astype(np.uint64) << np.uint64(48 - 16 * i)
+    return out
+
+
+def _candidates(kinds: np.ndarray, letters: np.ndarray, at: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """Places of the matches, by the name's length, among the places ``at`` of surnames.
+
+    Patterns: a surname of each kind with one or two letters before a context letter; a weak one with one letter has no Han
+    letter before it. Each is searched by itself, from the left.
+    """
+    own = kinds[at]
+    han = [(kinds[at + i] & HAN) > 0 for i in (1, 2, 3)]
+    ends = {i: (kinds[at + i] & AFTER) > 0 for i in (2, 3, 4)}
+    sure, weak = (own & SURE) > 0, (own & WEAK) > 0
+    first = (own & COMPOUND) > 0
+    first[first] = np.isin(letters[at[first]].astype(np.uint32) << 16 | letters[at[first] + 1], _PAIRS)
+    found = [
+        (3, first & han[1] & ends[3]),
+        (4, first & han[1] & han[2] & ends[4]),
+        (2, sure & han[0] & ends[2]),
+        (3, sure & han[0] & han[1] & ends[3]),
+        (3, weak & han[0] & han[1] & ends[3]),
+        (2, weak & han[0] & ends[2] & ((kinds[at - 1] & HAN) == 0)),
+    ]
+    out: dict[int, list[np.ndarray]] = {2: [], 3: [], 4: []}
+    for size, hit in found:
+        places = at[hit]
+        out[size].append(places[_apart(places, size)])
+    return out
+
+
+def _good(kinds: np.ndarray, letters: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Which names no rule on their letters excludes."""
+    if size == 4:
+        return np.ones(len(at), dtype=bool)
+    second = kinds[at + 1]
+    if size == 2:
+        return (second & (UNLIKELY | SURE | WEAK)) == 0
+    return ((second & (UNLIKELY | NUMERAL)) == 0) & (letters[at + 1] != letters[at])
+
+
+def _found(texts: list[str], with_before: bool) -> tuple[np.ndarray, list[str], np.ndarray, list[list[str]] | None]:
+    """Of each candidate in a batch of texts: its text's number, the name, how often it occurs, and the letters before it."""
+    whole = "\0" + "".join(t + "\0" for t in texts) + "\0" * 4
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    letters = np.where(points < 1 << 16, points, 0).astype(np.uint16)
+    kinds = _KINDS[letters]
+    stops = np.cumsum([len(t) + 1 for t in texts])  # of the texts' end marks
+    at = np.flatnonzero(kinds & (SURE | WEAK | COMPOUND))
+    rows, names_, times, heads = [], [], [], []
+    for size, places in _candidates(kinds, letters, at).items():
+        where = np.concatenate(places)
+        where = where[_good(kinds, letters, where, size)]
+        if not len(where):
+            continue
+        known, name = np.unique(_keys(letters, where, size), return_inverse=True)
+        pairs = np.unique(np.searchsorted(stops, where) * len(known) + name)
+        # all places of these names, by text and name
+        inside = at[np.logical_and.reduce([(kinds[at + i] & HAN) > 0 for i in range(1, size)])]
+        key = _keys(letters, inside, size)
+        name = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        inside, name = inside[known[name] == key], name[known[name] == key]
+        pair = np.searchsorted(stops, inside) * len(known) + name
+        rank = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        inside, rank = inside[pairs[rank] == pair], rank[pairs[rank] == pair]
+        order = np.argsort(rank, kind="stable")
+        inside, rank = inside[order], rank[order]
+        taken = _apart(rank * (len(points) + size) + inside, size)
+        inside, rank = inside[taken], rank[taken]
+        rows.append(pairs // len(known))
+        spelt = [k.to_bytes(8, "big").decode("utf-16-be")[:size] for k in known.tolist()]
+        names_ += [spelt[k] for k in (pairs % len(known)).tolist()]
+        times.append(np.bincount(rank, minlength=len(pairs)))
+        if with_before:
+            starts = np.isin(inside - 1, np.append(0, stops))
+            own = ["" if first else whole[i - 1] for i, first in zip(inside.tolist(), starts.tolist(), strict=True)]
+            cut = np.searchsorted(rank, np.arange(len(pairs) + 1)).tolist()
+            heads += [list(dict.fromkeys(own[a:z])) for a, z in zip(cut, cut[1:], strict=False)]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), names_, np.concatenate([none, *times]), heads if with_before else None
 
 
 def verified(rows: DataFrame, dictionary: DataFrame, compat: bool = False) -> DataFrame:
@@ -82,11 +165,25 @@ def verified(rows: DataFrame, dictionary: DataFrame, compat: bool = False) -> Da
     return out.where(F.coalesce(F.col("_sure"), F.col("_freely") & free)).select("doc_id", "name", "times", "before")
 
 
-def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, name, times, before`` of each candidate; what depends on the text is computed in its row, so no text is shuffled."""
-    t = F.col(text_col)
-    each = F.transform(candidates(t), lambda n: F.struct(n.alias("name"), occurrences(t, n).alias("times"), before(t, n).alias("before")))
-    return df.select(F.col(id_col).alias("doc_id"), F.inline(each))
+def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_before: bool = True) -> DataFrame:
+    """``doc_id, name, times, before`` of each candidate (``before`` if asked for).
+
+    Batches of texts are searched as one row of letters, so that the work is that of the letters, whatever the number of
+    names; no text is shuffled.
+    """
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([slim.schema["doc_id"]]).add("name", "string").add("times", "long")
+    if with_before:
+        schema.add("before", ArrayType(StringType()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            row, name, times, before = _found(texts, with_before)
+            cols = [batch.column("doc_id").take(pa.array(row)), pa.array(name, pa.string()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(before, pa.list_(pa.string()))] if with_before else [])], names=schema.names)
+
+    return slim.mapInArrow(work, schema)
 
 
 def names(df: DataFrame, dictionary: DataFrame | None = None, compat: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +192,7 @@ def names(df: DataFrame, dictionary: DataFrame | None = None, compat: bool = Fal
     A group is the first two letters, for compound surnames the first three (``compat``: two). Its best member doesn't end
     in a verb of speech, then occurs most, then is longest, then is last in code-point order.
     """
-    rows = named(df, id_col, text_col)
+    rows = named(df, id_col, text_col, dictionary is not None)
     if dictionary is not None:
         rows = verified(rows, dictionary, compat)
     n = F.col("name")
@@ -135,7 +232,7 @@ def aliases(df: DataFrame, dictionary: DataFrame | None = None, id_col: str = "d
 
     What only adds a verb of speech is no other name.
     """
-    rows = named(df, id_col, text_col)
+    rows = named(df, id_col, text_col, dictionary is not None)
     if dictionary is not None:
         rows = verified(rows, dictionary)
     pairs = rows.groupBy("doc_id").agg(F.collect_set("name").alias("c")).select("doc_id", F.inline(prefix_pairs(F.col("c"))))
