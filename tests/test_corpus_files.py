@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 
 import pytest
 from textlens.sources import files
@@ -70,3 +71,45 @@ def test_a_failed_job_leaves_nothing(spark, rows):
     with pytest.raises(Exception, match="no place"):
         bad.write.format("corpus").mode("append").save(folder)
     assert [x for _, _, names in os.walk(folder) for x in names] == []
+
+
+@pytest.mark.parametrize("what", ["plan", "commit"])
+def test_the_driver_holds_no_list_of_the_files(spark, tmp_path, monkeypatch, what):
+    """What the driver holds of one more file: a plan a few compressed bytes, a commit a digest and its sorted copy."""
+    monkeypatch.setattr(files, "FILES", 1000)
+
+    def peak(n):
+        root = tmp_path / f"{what}{n}"
+        folders = [root / "c"] if what == "plan" else [root / "_staging" / "job" / str(k) / "0" / "c" for k in range(n // 1000)]
+        for f in folders:
+            f.mkdir(parents=True)
+        for i in range(n):
+            (folders[i % len(folders)] / f"{i}.txt").touch()
+        writer, reader = files.CorpusWriter(str(root), files.StructType.fromDDL(files.SCHEMA), False), files.CorpusReader(str(root), None)
+        tracemalloc.start()
+        try:
+            if what == "plan":
+                parts = reader.partitions()
+            else:
+                writer.commit([files.Written([str(f)]) for f in folders])
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        parts = parts if what == "plan" else reader.partitions()
+        assert sorted(x[1] for p in parts for x in p.rows) == sorted(f"{root}/c/{i}.txt" for i in range(n))
+        assert all(len(p.rows) <= 1000 for p in parts)
+        return most
+
+    assert (peak(12_000) - peak(4_000)) / 8000 < 100
+
+
+def test_names_of_two_tasks_or_folders_clash(spark, tmp_path, monkeypatch):
+    files.register(spark)
+    monkeypatch.setattr(files, "FILES", 2)
+    twice = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("a", "3", "z"), ("a", "1", "w")], "category string, name string, text string")
+    for n in (1, 4):
+        with pytest.raises(Exception, match="another's place|two texts are named"):
+            twice.repartition(n).write.format("corpus").mode("append").save(str(tmp_path / str(n)))
+        assert [x for _, _, names in os.walk(tmp_path / str(n)) for x in names] == []
+    twice.where("text <> 'w'").coalesce(1).write.format("corpus").mode("append").save(str(tmp_path / "ok"))
+    assert sorted(x.name for x in read(spark, str(tmp_path / "ok")).collect()) == ["1", "2", "3"]

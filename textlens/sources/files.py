@@ -5,20 +5,27 @@
     df.write.format("corpus").mode("append").save(folder)
 
 Reading plans its partitions by the files' sizes; conditions on category and bytes choose folders and files before any is
-opened. Tasks decode: UTF-8, else GBK, else UTF-8 with replacements. Writing puts each task's files into a folder of its
+opened. Tasks decode: UTF-8, else GBK, else UTF-8 with replacements. Writing puts each task's files into folders of its
 own attempt, which the commit moves into place; what didn't end well is removed.
+
+The driver goes over the files one by one and holds no list of them: of a plan the names and sizes, compressed by
+partition, and in a commit 16 bytes for each file of one category. (Where files aren't local, a folder is listed at once.)
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import pickle
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -28,7 +35,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 SCHEMA = "category string, name string, bytes long, text string"
-#: Bytes and files of a partition, bytes of a batch, files that a commit moves at a time.
+#: Bytes and files of a partition (and files of a folder that a task writes), bytes of a batch, folders that a commit moves from at a time.
 PART, FILES, BATCH, MOVES = 64 << 20, 20_000, 8 << 20, 16
 ENDING, STAGING = ".txt", "_staging"
 _COMPARED = {GreaterThan: lambda x, y: x > y, GreaterThanOrEqual: lambda x, y: x >= y, LessThan: lambda x, y: x < y, LessThanOrEqual: lambda x, y: x <= y}
@@ -72,11 +79,32 @@ def _name(part: str) -> str:
     return "" if part == "%" else unquote(part)
 
 
+def _listed(fs: pafs.FileSystem, folder: str, sizes: bool = True) -> Iterator[tuple[str, int]]:
+    """Name and size (0, if not asked for) of each file in a folder, without a list of them where the folder is local."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for x in entries:
+                if x.is_file():
+                    yield x.name, x.stat().st_size if sizes else 0
+    else:
+        for x in fs.get_file_info(pafs.FileSelector(folder)):
+            if x.type == pafs.FileType.File:
+                yield x.base_name, x.size
+
+
 @dataclass
 class Files(InputPartition):
-    """Category, path and size of each file."""
+    """Category, path and size of each file; held as the compressed names and sizes by folder."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, folders: list[tuple[str, str, list[tuple[str, int]]]]) -> Files:
+        return cls(zlib.compress(pickle.dumps([(category, path, sorted(files)) for category, path, files in folders if files]), 1))
 
-    rows: list[tuple[str, str, int]]
+    @property
+    def rows(self) -> list[tuple[str, str, int]]:
+        return [(category, f"{path}/{name}", size) for category, path, files in pickle.loads(zlib.decompress(self.packed)) for name, size in files]
 
 
 class CorpusReader(DataSourceReader):
@@ -98,20 +126,21 @@ class CorpusReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, root = filesystem(self.path)
-        out, rows, size = [], [], 0
+        out, held, n, size = [], [], 0, 0
         folders = [x for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.Directory and not x.base_name.startswith("_")]
         for folder in sorted(folders, key=lambda x: x.path):
             category = _name(folder.base_name)
             if self.categories is not None and category not in self.categories:
                 continue
-            for x in sorted(fs.get_file_info(pafs.FileSelector(folder.path)), key=lambda x: x.path):
-                if x.type == pafs.FileType.File and x.path.endswith(ENDING) and all(_COMPARED[type(f)](x.size, f.value) for f in self.sizes):
-                    if rows and (size + x.size > PART or len(rows) >= FILES):
-                        out.append(Files(rows))
-                        rows, size = [], 0
-                    rows.append((category, x.path, x.size))
-                    size += x.size
-        return [*out, Files(rows)] if rows else out or [Files([])]
+            held.append((category, folder.path, []))
+            for name, length in _listed(fs, folder.path):
+                if name.endswith(ENDING) and all(_COMPARED[type(f)](length, f.value) for f in self.sizes):
+                    if n and (size + length > PART or n >= FILES):
+                        out.append(Files.of(held))
+                        held, n, size = [(category, folder.path, [])], 0, 0
+                    held[-1][2].append((name, length))
+                    n, size = n + 1, size + length
+        return [*out, Files.of(held)] if n else out or [Files.of([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
@@ -134,8 +163,9 @@ class CorpusReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    folder: str
-    categories: list[str]
+    """The folders that a task wrote, each named like its category's."""
+
+    folders: list[str]
 
 
 class CorpusWriter(DataSourceArrowWriter):
@@ -146,39 +176,63 @@ class CorpusWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.path)
-        folder, made = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", {}
+        folder, made, counts, done = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", {}, {}, []
         for batch in iterator:
             for category, name, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("category", "name", "text")), strict=True):
                 if category is None or name is None:
                     raise ValueError("a text without a category or a name has no place")
-                if category not in made:
-                    made[category] = f"{folder}/{_folder(str(category))}"
+                if counts.get(category, 0) % FILES == 0:
+                    made[category] = f"{folder}/{counts.get(category, 0) // FILES}/{_folder(str(category))}"
                     fs.create_dir(made[category], recursive=True)
+                    done.append(made[category])
+                counts[category] = counts.get(category, 0) + 1
                 path = f"{made[category]}/{_folder(str(name))}{ENDING}"
                 if fs.get_file_info(path).type != pafs.FileType.NotFound:
                     raise ValueError(f"two texts are named {category}/{name}")
                 with fs.open_output_stream(path) as f:
                     f.write((text or "").encode("utf-8", "surrogatepass"))
-        return Written(folder, [p.rsplit("/", 1)[1] for p in made.values()])
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = filesystem(self.path)
+        written: dict[str, list[str]] = {}
+        for message in messages:
+            for folder in message.folders if message else []:
+                written.setdefault(folder.rsplit("/", 1)[1], []).append(folder)
+        for category, folders in written.items():
+            there = f"{root}/{category}"
+            if not self.overwrite and fs.get_file_info(there).type == pafs.FileType.Directory:
+                folders = [*folders, there]
+            if self._clash(fs, folders):
+                self._clear()
+                raise ValueError("some text would take another's place")
         if self.overwrite:
             for x in fs.get_file_info(pafs.FileSelector(root)):
                 if x.type == pafs.FileType.Directory and x.base_name != STAGING:
                     fs.delete_dir(x.path)
-        moves = []
-        for message in messages:
-            for category in message.categories if message else []:
-                fs.create_dir(f"{root}/{category}", recursive=True)
-                moves += [(x.path, f"{root}/{category}/{x.base_name}") for x in fs.get_file_info(pafs.FileSelector(f"{message.folder}/{category}"))]
-        if len({to for _, to in moves}) < len(moves) or any(x.type != pafs.FileType.NotFound for x in fs.get_file_info([to for _, to in moves])):
-            self._clear()
-            raise ValueError("some text would take another's place")
+
+        def place(folder: str) -> None:
+            to = f"{root}/{folder.rsplit('/', 1)[1]}"
+            for name in [name for name, _ in _listed(fs, folder, False)]:  # as many as a task puts into a folder
+                fs.move(f"{folder}/{name}", f"{to}/{name}")
+
+        for category in written:
+            fs.create_dir(f"{root}/{category}", recursive=True)
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda m: fs.move(*m), moves))
+            list(pool.map(place, [folder for folders in written.values() for folder in folders]))
         self._clear()
 
+    @staticmethod
+    def _clash(fs: pafs.FileSystem, folders: list[str]) -> bool:
+        """Whether two folders have a file of one name, by digests of 128 bits."""
+        marks = bytearray()
+        for folder in folders:
+            for name, _ in _listed(fs, folder, False):
+                marks += hashlib.blake2b(name.encode("utf-8", "surrogateescape"), digest_size=16).digest()
+        own = np.frombuffer(marks, "S16")  # of one length, so that ending in zeros makes none equal to another
+        own = np.sort(own)
+        return bool((own[1:] == own[:-1]).any())
+
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
