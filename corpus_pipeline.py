@@ -20,7 +20,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies by exact five-word similarity of 0.8 (SimHash misses most of these): of each group the document with the smallest id stays."""
+    """Near copies by SimHash, confirmed by a five-word similarity of 0.8 and completed by all other pairs of that similarity: of each group the document with the smallest id stays."""
     return similar.drop_similar(docs)
 
 

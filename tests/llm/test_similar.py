@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textlens.llm import similar
+from textlens.llm import similar, simhash
+from textlens.llm.common import shared_dir, written
 
 
 def plain_set(text):
@@ -79,3 +80,34 @@ def test_links_connect_as_all_pairs_do(listed):
     near = [(a, b) for a, b in combinations(sets, 2) if 9 * share(a, b) >= 4 * (len(sets[a]) + len(sets[b]))]
     assert 4 < len(set(classes(near).values())) < 160
     assert classes(found) == classes(near) and len(found) < 160
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """What SimHash brings together within four bits, and whole sets confirm, is linked, and the stage takes it from there."""
+    rng = np.random.default_rng(4)
+    base = [[f"w{k}" for k in rng.integers(0, 5000, 400)] for _ in range(12)]
+    texts = {}
+    for i, words in enumerate(base):
+        for j in range(4):
+            texts[i * 10 + j] = " ".join([f"x{i}{j}" if k and k % 97 == 0 and k // 97 <= j else w for k, w in enumerate(words)])
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    folder = shared_dir(spark, "test-sets")
+    sets = written(similar.with_sets(docs, folder, "text", 5), "test")
+    at = {r.loc: r for r in sets.collect()}
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in at.values()} == {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
+    found = {(at[r.a].doc_id, at[r.b].doc_id) for r in similar.simhash_links(sets, folder).collect()}
+    share = lambda a, b: len(plain_set(texts[a]) & plain_set(texts[b])) / len(plain_set(texts[a]) | plain_set(texts[b]))
+    assert len(found) >= 12 and all(share(a, b) >= 0.8 for a, b in found)
+
+    calls, plain = [], similar.simhash_links
+    monkeypatch.setattr(similar, "simhash_links", lambda *a: calls.append(1) or plain(*a))
+    assert {r.doc_id for r in similar.drop_similar(docs).collect()} == plain_kept([*texts.items()])[0] and calls
+
+
+def test_what_is_connected_is_not_compared_again():
+    x, loc, n = np.repeat(np.arange(9, dtype=np.uint64), 4), np.tile(np.arange(4), 9), np.full(36, 9)
+    read = []
+    sets = lambda p, _: read.append(p) or np.arange(9, dtype=np.uint64)
+    assert similar.linked_pairs(x, loc, n, sets, known=np.full(36, 2)) == [] and not read
+    assert similar.linked_pairs(x, loc, n, sets, 2, known=np.tile([0, 0, 2, 2], 9)) in ([(0, 2)], [(1, 2)], [(0, 3)], [(1, 3)])
+    assert len(read) == 2 and len(similar.linked_pairs(x, loc, n, sets)) == 3

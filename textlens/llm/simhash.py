@@ -28,24 +28,31 @@ MEETS = 5000
 GROUP = 100_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits: bit i is set if it is set in over half of the shingles' hashes; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each word shingle, repeats included; that of the whole text if it has fewer words, none without words."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     whole = b" ".join(words)
-    if len(words) <= shingle:
-        return h(whole, SEED)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     start = np.cumsum(size + 1) - size - 1
-    stop = (start + size)[shingle - 1 :]
-    hashes = np.array([h(whole[a:b], SEED) for a, b in zip(start[: len(stop)].tolist(), stop.tolist(), strict=True)], dtype=">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    stop = (start + size)[min(shingle, len(words)) - 1 :]
+    return np.array([h(whole[a:b], SEED) for a, b in zip(start[: len(stop)].tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is set if it is set in over half of the hashes; 0 of none."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The bits that are set in over half of the shingles' hashes; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with its texts' fingerprints as a signed long of the same bits. Null texts have no words."""
     from pyspark.sql.types import LongType, StructField, StructType

@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, confirmed and completed by exact Jaccard similarity of word shingles.
+
+SimHash comes first: texts whose fingerprints are connected within its radius are compared with the first text of their
+component over their whole sets, and those that hold are linked. It misses most pairs that are only just similar enough,
+so a prefix filter over all sets adds what it left out; what SimHash linked is not compared again.
 
 Two sets whose Jaccard similarity is at least ``T`` share one of the first ``n - ceil(T n) + 1`` elements of each, in any
 order of all shingles that both follow (prefix filter). Shingles are ordered by how often their bucket of a table of fixed
@@ -18,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, filesystem, free_name, get_file, in_pieces, kept_rows, put_file, release, shared_dir, written
+from . import simhash
 from .simhash import components
 
-SHINGLE, SEED = 5, 42
+SHINGLE = 5
 #: The least similarity of near copies, as numerator and denominator.
 T = (4, 5)
 #: Bytes of a hash; buckets of the table of counts and its slices.
@@ -32,16 +37,7 @@ _LOW, _AT = np.uint64((1 << 48) - 1), (1 << 36) - 1
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles; that of the whole text if it has fewer words."""
-    from xxhash import xxh64_intdigest as h
-
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    whole = b" ".join(words)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    start = np.cumsum(size + 1) - size - 1
-    stop = (start + size)[min(shingle, len(words)) - 1 :]
-    return np.unique(np.array([h(whole[a:b], SEED) for a, b in zip(start[: len(stop)].tolist(), stop.tolist(), strict=True)], dtype=np.uint64) & _LOW)
+    return np.unique(simhash.shingle_hashes(text, shingle) & _LOW)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -81,11 +77,11 @@ class Sets:
 
 
 def with_sets(docs: DataFrame, base: str, text_col: str, shingle: int) -> DataFrame:
-    """``docs`` without the text but with the place, size and digest of its set, which goes to a file of the task."""
+    """``docs`` without the text but with its SimHash fingerprint and the place, size and digest of its set, which goes to a file of the task."""
     from pyspark.sql.types import StructType
 
     rest = [c for c in docs.columns if c != text_col]
-    schema = StructType([docs.schema[c] for c in rest]).add("loc", "long").add("n", "integer").add("digest", "binary")
+    schema = StructType([docs.schema[c] for c in rest]).add("loc", "long").add("n", "integer").add("digest", "binary").add("fp", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4
@@ -98,22 +94,52 @@ def with_sets(docs: DataFrame, base: str, text_col: str, shingle: int) -> DataFr
         own = f"{path}.{uuid4().hex}.tmp"
         with fs.open_output_stream(own) as out:
             for batch in in_pieces(batches, text_col, 4 << 20):
-                loc, n, digest = [], [], []
+                loc, n, digest, fp = [], [], [], []
                 for t in batch.column(text_col).to_pylist():
-                    s = shingles(t, shingle)
+                    hashes = simhash.shingle_hashes(t, shingle)
+                    fp.append(simhash.majority(hashes))
+                    s = np.unique(hashes & _LOW)
                     data = packed(s)
                     out.write(data)
                     loc.append(part << 36 | at if len(s) else -1)
                     n.append(len(s))
                     digest.append(xxh3_128_digest(data))
                     at += len(s)
-                arrays = [*[batch.column(c) for c in rest], pa.array(loc, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "loc", "n", "digest"])
+                arrays = [*[batch.column(c) for c in rest], pa.array(loc, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "loc", "n", "digest", "fp"])
         fs.move(own, path)
 
     return docs.mapInArrow(work, schema)
 
 
+def similar_enough(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets have a similarity of ``T``."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * (T[0] + T[1]) >= T[0] * len(both)
+
+
+def simhash_links(classes: DataFrame, base: str) -> DataFrame:
+    """Links ``a, b`` of similarity ``T`` between sets ``loc, n, fp`` and the first of their component by SimHash."""
+    prints = classes.where("n > 0").select("loc", "n", "fp")
+    reps = written(prints.groupBy("fp").agg(F.min("loc").alias("rep")).select("rep", "fp"), "similar-prints")
+    trees = written(components(simhash.links(reps)), "similar-near")
+    first = reps.join(trees, reps.rep == trees.node, "left").select("fp", F.coalesce("component", "rep").alias("b"))
+    near = prints.select(F.col("loc").alias("a"), F.col("n").alias("a_n"), "fp").join(first, "fp").where("a <> b")
+    near = near.join(prints.select(F.col("loc").alias("b"), F.col("n").alias("b_n")), "b").select("a", "a_n", "b", "b_n")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(base)
+        for batch in batches:
+            a, a_n, b, b_n = (batch.column(c).to_pylist() for c in ("a", "a_n", "b", "b_n"))
+            hold = [similar_enough(sets.read(p, i), sets(q, j)) for p, i, q, j in zip(a, a_n, b, b_n, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hold, pa.bool_()))
+
+    # a component's pairs are many tasks' work
+    return near.repartition("a", "b").sortWithinPartitions("b").mapInArrow(work, "a bigint, b bigint")
+
+
 def bucket_counts(sets: DataFrame, base: str) -> str:
     """The file with the count of each bucket over all sets (``loc, n``), up to 65535."""
 
@@ -150,29 +176,29 @@ def bucket_counts(sets: DataFrame, base: str) -> str:
 
 
 def prefixes(sets: DataFrame, base: str, counts: str, parts: int) -> DataFrame:
-    """The prefix elements of all sets, by part and packed: ``part, k`` and the elements, places and sizes."""
+    """The prefix elements of all sets ``loc, n, known``, by part and packed: ``part, k`` and the elements, places, sizes and known components."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, table = Sets(base).read, None
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            x, loc, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            x, loc, n, known = (np.concatenate(c) for c in zip(*held, strict=True))
             part = (x % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            part, x, loc, n = part[order], x[order], loc[order], n[order]
+            part, x, loc, n, known = part[order], x[order], loc[order], n[order], known[order]
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
-            data = [pa.compress(packed(x[a:b]) + loc[a:b].tobytes() + n[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cut, cut[1:], strict=False)]
+            data = [pa.compress(packed(x[a:b]) + loc[a:b].tobytes() + n[a:b].tobytes() + known[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cut, cut[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.diff(cut).astype(np.int32)), pa.array(data, pa.binary())], names=["part", "k", "data"])
 
         for batch in batches:
             if table is None:
                 table = np.frombuffer(get_file(counts), dtype="<u2").astype(np.uint64) << np.uint64(48)
-            for loc, n in zip(batch.column("loc").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for loc, n, known in zip(*(batch.column(c).to_pylist() for c in ("loc", "n", "known")), strict=True):
                 s = read(loc, n)
                 first = n - -(-n * T[0] // T[1]) + 1
                 x = np.partition(table[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] | s, first - 1)[:first] & _LOW
-                held.append((x, np.full(first, loc, dtype=np.int64), np.full(first, n, dtype=np.int32)))
+                held.append((x, np.full(first, loc, dtype=np.int64), np.full(first, n, dtype=np.int32), np.full(first, known, dtype=np.int64)))
                 size += first
                 if size >= PART:
                     yield flush()
@@ -184,16 +210,22 @@ def prefixes(sets: DataFrame, base: str, counts: str, parts: int) -> DataFrame:
     return sets.mapInArrow(work, "part int, k int, data binary")
 
 
-def linked_pairs(x: np.ndarray, loc: np.ndarray, n: np.ndarray, sets: Sets, listed: int = LISTED) -> list[tuple[int, int]]:
-    """Links of similarity ``T`` between places that share an element, enough to connect all that are linked."""
+def linked_pairs(x: np.ndarray, loc: np.ndarray, n: np.ndarray, sets: Sets, listed: int = LISTED, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of similarity ``T`` between places that share an element, enough to connect all that are linked with what is
+    connected already (``known``: each place's component)."""
     order = np.lexsort((loc, x))
-    x, loc, n = x[order], loc[order], n[order].astype(np.int64)
+    x, loc, n, known = x[order], loc[order], n[order].astype(np.int64), None if known is None else known[order]
     start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[start, len(x)])
     names, at = np.unique(loc, return_inverse=True)
     sizes = np.zeros(len(names), dtype=np.int64)
     sizes[at] = n
     parent, out, failed = list(range(len(names))), [], set()
+    if known is not None:
+        of = np.zeros(len(names), dtype=np.int64)
+        of[at] = known
+        _, first, which = np.unique(of, return_index=True, return_inverse=True)
+        parent = first[which].tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -206,10 +238,7 @@ def linked_pairs(x: np.ndarray, loc: np.ndarray, n: np.ndarray, sets: Sets, list
         if a == b or (min(i, j), max(i, j)) in failed:
             return
         p, q = (int(names[k]) for k in (i, j))
-        both = np.concatenate([sets(p, int(sizes[i])), sets(q, int(sizes[j]))])
-        both.sort()
-        shared = int(np.count_nonzero(both[1:] == both[:-1]))
-        if shared * (T[0] + T[1]) >= T[0] * len(both):
+        if similar_enough(sets(p, int(sizes[i])), sets(q, int(sizes[j]))):
             parent[max(a, b)] = min(a, b)
             out.append((p, q))
         else:
@@ -253,13 +282,14 @@ def links(parts: DataFrame, base: str, count: int) -> DataFrame:
         sets = Sets(base)
 
         def solve(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            x, loc, n = [], [], []
+            x, loc, n, known = [], [], [], []
             for k, data in rows:
-                data = pa.decompress(data, k * (WIDTH + 12), "zstd", asbytes=True)
+                data = pa.decompress(data, k * (WIDTH + 20), "zstd", asbytes=True)
                 x.append(unpacked(data[: k * WIDTH]))
                 loc.append(np.frombuffer(data, dtype=np.int64, count=k, offset=k * WIDTH))
                 n.append(np.frombuffer(data, dtype=np.int32, count=k, offset=k * (WIDTH + 8)))
-            found = linked_pairs(np.concatenate(x), np.concatenate(loc), np.concatenate(n), sets)
+                known.append(np.frombuffer(data, dtype=np.int64, count=k, offset=k * (WIDTH + 12)))
+            found = linked_pairs(*map(np.concatenate, (x, loc, n)), sets, known=np.concatenate(known))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
         held, now = [], None
@@ -288,13 +318,16 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of = with_sets(numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), base, "text", shingle)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     of = written(of, "similar-digests")  # once, as its tasks write files
-    classes = written(of.groupBy("digest").agg(best, F.min("loc").alias("loc"), F.first("n").alias("n")).drop("digest"), "similar-classes")
+    classes = written(of.groupBy("digest").agg(best, F.min("loc").alias("loc"), F.first("n").alias("n"), F.first("fp").alias("fp")).drop("digest"), "similar-classes")
+    near = written(simhash_links(classes, base), "similar-simhash")
+    known = written(components(near), "similar-known")
     total = classes.agg(F.sum("n")).first()[0] or 0
     tasks = -(-total // READ) + 1
-    sets = written(classes.where("n > 0").select("loc", "n").repartitionByRange(max(tasks, 12), "loc").sortWithinPartitions("loc"), "similar-order")
+    sets = classes.where("n > 0").join(known, F.col("loc") == F.col("node"), "left").select("loc", "n", F.coalesce("component", "loc").alias("known"))
+    sets = written(sets.repartitionByRange(max(tasks, 12), "loc").sortWithinPartitions("loc"), "similar-order")
     parts = max(12, -(-total // (5 * PART)))
     found = links(prefixes(sets, base, bucket_counts(sets, base), parts), base, parts)
-    trees = written(components(found), "similar-trees")
+    trees = written(components(near.unionByName(found)), "similar-trees")
     stay = classes.join(trees, classes.loc == trees.node, "left").groupBy(F.coalesce("component", "loc").alias("c")).agg(F.min("best").alias("best"))
     stay = written(stay.select(F.col("best.row").alias(row)), "similar-stay")
     drop_written(spark, base)
