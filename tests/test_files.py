@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from textlens import queries, table_queries
 from textlens.functions import segment
 from textlens.plans import cli, jobs
 from textlens.profiles import LATIN, ZH
@@ -37,6 +39,42 @@ def test_scan(spark, tree):
         corpus.story(spark, f"{tree}/none.txt")
 
 
+@pytest.mark.parametrize("where", ["local", "elsewhere"])
+def test_files_without_a_byte(spark, tree, where):
+    """Spark's own sources leave them out; ``viewfs`` stands for a store that only Spark reaches."""
+    for name in ("in/b/empty.txt", "in/b/100%.txt", "in/b/a+b.txt", "flat/empty.txt"):
+        (tree / name).write_bytes(b"")
+    (tree / "in" / "none").mkdir()
+    (tree / "in" / "none" / "0.txt").write_bytes(b"")
+    root = str(tree)
+    if where == "elsewhere":
+        spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{tree.name}.link./t", f"file://{tree}")
+        root = f"viewfs://{tree.name}/t"
+    names = lambda rows: sorted((r.category, r.path.rsplit("/", 1)[1], r.length) for r in rows.where("text = ''").collect())
+    own = [("b", "100%.txt", 0), ("b", "a+b.txt", 0), ("b", "empty.txt", 0)]
+    assert names(corpus.scan(spark, f"{root}/in")) == [*own, ("none", "0.txt", 0)] and corpus.scan(spark, f"{root}/in").count() == 12
+    assert names(corpus.scan(spark, f"{root}/in", "b", most_kb=0.5)) == own and names(corpus.scan(spark, f"{root}/in", "b", least_kb=0.001)) == []
+    assert names(corpus.scan(spark, f"{root}/flat")) == [("corpus", "empty.txt", 0)] and corpus.scan(spark, f"{root}/flat").count() == 2
+    assert names(corpus.pick(spark, f"{root}/in", "b", 99)) == own and corpus.pick(spark, f"{root}/in", "b", 99).count() == 7
+    assert names(corpus.pick(spark, f"{root}/in", "b", 99, 0.001)) == [] and names(corpus.pick(spark, f"{root}/flat", "b", 9)) == [("corpus", "empty.txt", 0)]
+
+
+def test_a_scan_takes_one_level(spark, tree):
+    (tree / "in" / "b" / "deep").mkdir()
+    for name in ("deep/x.txt", "_x.txt", ".x.txt"):
+        (tree / "in" / "b" / name).write_text("x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in corpus.scan(spark, f"{tree}/in", "b").where("text = 'x'").collect()) == [".x.txt", "_x.txt"]
+
+
+def test_scanned_documents_with_empty_texts(spark, tmp_path):
+    rows = [(0, "", "en"), (1, "a", "en"), (2, "", "fr"), (3, "﻿é\r\n", ""), (4, "", "ü%+ "), (5, "\0", "_x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")
+    want = documents.query("documents", queries.ORACLE_SQL["scanned_documents"]).fetchall()
+    got = table_queries.scanned_documents(spark, str(tmp_path)).collect()
+    assert len(want) == 6 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_jobs_and_sinks(spark, tree):
     words = spark.createDataFrame([("方向", 50), ("你好", 40)], "term string, freq long")
     o = jobs.Options(f"{tree}/in", "甲类", 3, "人设", None, {"主题": "海"})

@@ -5,7 +5,8 @@
     df.write.format("corpus").mode("append").save(folder)
 
 Reading plans its partitions by the files' sizes; conditions on category and bytes choose folders and files before any is
-opened. Tasks decode: UTF-8, else GBK, else UTF-8 with replacements. Writing puts each task's files into folders of its
+opened. A schema can also ask for ``path string`` and ``content binary``; without text and content no file is opened. The
+option ``folders`` (a JSON list of names, ``""`` for the folder itself) says which folders are read. Tasks decode: UTF-8, else GBK, else UTF-8 with replacements. Writing puts each task's files into folders of its
 own attempt, which the commit moves into place; what didn't end well is removed.
 
 The driver goes over the files one by one and holds no list of them: of a plan the names and sizes, compressed by
@@ -15,6 +16,7 @@ partition, and in a commit 16 bytes for each file of one category. (Where files
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import pickle
 import tempfile
@@ -38,6 +40,7 @@ SCHEMA = "category string, name string, bytes long, text string"
 #: Bytes and files of a partition (and files of a folder that a task writes), bytes of a batch, folders that a commit moves from at a time.
 PART, FILES, BATCH, MOVES = 64 << 20, 20_000, 8 << 20, 16
 ENDING, STAGING = ".txt", "_staging"
+_KINDS = {"bytes": pa.int64(), "content": pa.binary()}
 _COMPARED = {GreaterThan: lambda x, y: x > y, GreaterThanOrEqual: lambda x, y: x >= y, LessThan: lambda x, y: x < y, LessThanOrEqual: lambda x, y: x <= y}
 
 
@@ -108,8 +111,8 @@ class Files(InputPartition):
 
 
 class CorpusReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: StructType, folders: list[str] | None = None):
+        self.path, self.schema, self.folders = path, schema, folders
         self.categories: set[str] | None = None
         self.sizes: list[Filter] = []
 
@@ -127,28 +130,36 @@ class CorpusReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         fs, root = filesystem(self.path)
         out, held, n, size = [], [], 0, 0
-        folders = [x for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.Directory and not x.base_name.startswith("_")]
-        for folder in sorted(folders, key=lambda x: x.path):
-            category = _name(folder.base_name)
+        folders = self.folders
+        if folders is None:
+            folders = [x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.Directory and not x.base_name.startswith("_")]
+        for folder in sorted(folders):
+            category, path = _name(folder), f"{root}/{folder}" if folder else root
             if self.categories is not None and category not in self.categories:
                 continue
-            held.append((category, folder.path, []))
-            for name, length in _listed(fs, folder.path):
+            held.append((category, path, []))
+            for name, length in _listed(fs, path):
                 if name.endswith(ENDING) and all(_COMPARED[type(f)](length, f.value) for f in self.sizes):
                     if n and (size + length > PART or n >= FILES):
                         out.append(Files.of(held))
-                        held, n, size = [(category, folder.path, [])], 0, 0
+                        held, n, size = [(category, path, [])], 0, 0
                     held[-1][2].append((name, length))
                     n, size = n + 1, size + length
         return [*out, Files.of(held)] if n else out or [Files.of([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
-        held: list[tuple[str, str, int, str]] = []
+        asked = set(self.schema.names)
+        held: list[dict] = []
         size = 0
         for category, path, n in partition.rows:
-            with fs.open_input_stream(path) as f:
-                held.append((category, _name(os.path.basename(path)[: -len(ENDING)]), n, decoded(f.read())))
+            row = {"category": category, "name": _name(os.path.basename(path)[: -len(ENDING)]), "path": path, "bytes": n}
+            if asked & {"text", "content"}:
+                with fs.open_input_stream(path) as f:
+                    row["content"] = f.read()
+            if "text" in asked:
+                row["text"] = decoded(row["content"])
+            held.append(row)
             size += n
             if size > BATCH:
                 yield self._batch(held)
@@ -156,9 +167,8 @@ class CorpusReader(DataSourceReader):
         if held:
             yield self._batch(held)
 
-    def _batch(self, rows: list[tuple[str, str, int, str]]) -> pa.RecordBatch:
-        cols = dict(zip(("category", "name", "bytes", "text"), zip(*rows, strict=True), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], pa.int64() if f.name == "bytes" else pa.string()) for f in self.schema], names=self.schema.names)
+    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _KINDS.get(c, pa.string())) for c in self.schema.names], names=self.schema.names)
 
 
 @dataclass
@@ -253,7 +263,8 @@ class CorpusFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> CorpusReader:
-        return CorpusReader(self.options["path"], schema)
+        folders = self.options.get("folders")
+        return CorpusReader(self.options["path"], schema, json.loads(folders) if folders else None)
 
     def writer(self, schema: StructType, overwrite: bool) -> CorpusWriter:
         return CorpusWriter(self.options["path"], schema, overwrite)
